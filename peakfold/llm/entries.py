@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import exact_dedup, mixing
 
-QUERIES = {"op1_mix_sources": mixing.op1}
-ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL}
+QUERIES = {"op1_mix_sources": mixing.op1, "op3_exact_dedup": exact_dedup.op3}
+ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
