@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,9 +82,14 @@ def range_bounds(df: DataFrame, col: str, parts: int) -> list:
 
 def bucket_of(col, bounds: list):
     """The number of bounds not above the value: 0 for null and the lowest range."""
-    if not bounds:
-        return F.lit(0)
-    return F.when(col.isNull(), 0).otherwise(_searched(col, bounds))
+    if len(bounds) <= 512:
+        return F.when(col.isNull(), 0).otherwise(_searched(col, bounds))
+    cuts = np.array(bounds)
+
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.where(x.isna(), 0, np.searchsorted(cuts, x.fillna(cuts[0] - 1).to_numpy(cuts.dtype), "right")).astype(np.int32))
+
+    return F.pandas_udf(place, "int")(col)
 
 
 def _searched(col, bounds: list):
@@ -155,3 +161,23 @@ def _or_segments(batches):
                 own |= np.frombuffer(more, np.uint8)
             out.append(own.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["segment", "bits"])
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+    """Left join to ``right``, which has each key once and in ``weight`` the number of left rows with it.
+
+    Keys that a thousandth of all ``rows`` share, at most 1,000 of them, are broadcast, and their left
+    rows are dealt by chance; the rest are joined by key, so no task gets a large group.
+    """
+    many = max(1_000, math.ceil(rows / 1_000))
+    cols = [c for c in right.columns if c != key]
+    hot = right.where(F.col(weight) >= many).select(F.col(key), *[F.col(c).alias(f"_hot_{c}") for c in cols])
+    cold = right.where(F.col(weight) < many).select(F.col(key).alias("_key"), F.lit(True).alias("_cold"), *cols)
+    out = left.join(F.broadcast(hot), key, "left")
+    is_hot = F.col(f"_hot_{weight}").isNotNull()
+    deal = F.monotonically_increasing_id()
+    # a hot row's key only deals it out; the second condition keeps it from meeting a cold row
+    out = out.withColumn("_deal", F.when(is_hot, deal.cast("string").cast("binary") if dict(left.dtypes)[key] == "binary" else deal).otherwise(F.col(key)))
+    out = out.withColumn("_open", ~is_hot)
+    out = out.join(cold, (F.col("_deal") == F.col("_key")) & (F.col("_open") == F.col("_cold")), "left")
+    return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in cols])

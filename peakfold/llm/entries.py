@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, fingerprints, mixing, near_dedup
 
-QUERIES = {"op1_mix_sources": mixing.op1, "op3_exact_dedup": exact_dedup.op3}
+QUERIES = {"op1_mix_sources": mixing.op1, "op3_exact_dedup": exact_dedup.op3, "op5_fingerprints": fingerprints.op5, "op8_near_dedup": near_dedup.op8}
 ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
