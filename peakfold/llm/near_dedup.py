@@ -7,7 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BoundedFilter, attach, documents, written
@@ -17,8 +17,8 @@ from .textops import _STEPS, mixed, row_shingles
 NO_ID = (1 << 63) - 1  # stands for a null id, above all others
 #: At 40 bands of 6 bins, two sets of similarity 0.85 miss all bands once in 10**8.
 BANDS, BAND_ROWS = 40, 6
-#: Members of an open bucket, at most, that are compared with all others of it in one round.
-CENTRES = 16
+#: Members of an open group, at most, that are compared with all others of it in one round.
+CENTRES = 64
 
 
 def shingle_sets(col: pa.Array, k: int):
@@ -75,9 +75,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        step = written(step, "labels")
         jump = step.select(F.col("node").alias("at"), F.col("comp").alias("further"))
-        step = written(step.join(jump, step["comp"] == jump["at"], "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
+        step = step.join(jump, step["comp"] == jump["at"], "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
+        step = written(step, "labels")
         if step.where("old > comp").isEmpty():
             return step.select("node", "comp")
         labels = step.select("node", "comp")
@@ -95,6 +95,40 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
+def _several(known: DataFrame) -> DataFrame:
+    """key, most: the keys whose nodes are in more than one component, and the component with most of them."""
+    each = known.groupBy("key", "comp").agg(F.count("*").alias("have"))
+    each = each.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("have", "comp")).alias("top"))
+    return each.where("comps > 1").select("key", F.col("top.comp").alias("most"))
+
+
+def _reach(share, sizes, percent: int):
+    """Whether sets with sizes of this sum can be alike while sharing so many."""
+    return share * (100 + percent) >= sizes * percent
+
+
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """The members of a group that could be alike to its smallest member, if not to it then to none:
+    what a set can share from its first common shingle on is ``room``, and a larger partner needs more."""
+    small = rows.groupBy("key").agg(F.min("n").alias("small"), F.count("*").alias("all")).where("all > 1").drop("all")
+    return rows.join(small, "key").where(_reach(F.col("room"), F.col("n") + F.col("small"), percent)).drop("small")
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, node, n, room: the rarest shingles of each node, so many that two sets alike enough share one.
+
+    Sets of sizes x and y that are alike share at least ``percent`` of either, so the first x less that
+    share, plus one, of x's shingles in any one order meet those of y.  The order is by frequency among
+    these nodes, so a passage that many of them share comes last.  ``room`` counts the shingles from
+    there on: two sets whose first common shingle this is share no more than the smaller room.
+    """
+    rows = sets.join(nodes, "node").select("node", "n", F.explode("hashes").alias("key"))
+    often = rows.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("often", "key")))
+    first = F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.where(first).where("often > 1").select("key", "node", "n", (F.col("n") - F.col("rank") + 1).alias("room"))
+
+
 def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -106,11 +140,13 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
     1. Rows of equal sets become one node, whatever their number.
     2. Each bucket of equal band keys makes a star: its smallest node against every other.  The links
        are confirmed on the whole sets.
-    3. A centre has met all members of its bucket and leaves it.  A bucket whose members are in one
-       component is done.  In the others pairs that no star has compared could still link, so up to
-       ``CENTRES`` further members are compared with all members of other components, and so on until
-       every bucket is done.  So the stars lose no pair that shares a bucket, and a group of n near
-       copies makes n edges and not n * n.
+    3. A bucket whose members are in one component is done.  In the others, pairs that no star has
+       compared could still link.  Their nodes are joined by an exact prefix filter instead: nodes meet
+       where they share one of their rarest shingles.  Each such group with several components compares
+       up to ``CENTRES`` of its smallest members, none of its largest component, with all members of
+       other components; these then leave it, as do members that can be alike to none that is left,
+       until every group is done.  So no pair that shares a bucket is lost, a group of n near copies
+       makes n edges and not n * n, and documents that share a frequent passage only do not meet.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -131,22 +167,24 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
     star = members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(star, sets, percent), "links")
     comps = components(inner, links)
-    left = members.where("node > centre").select("key", "node")
+    open_keys = _several(members.where("node > centre").join(comps, "node"))
+    left = _prefixes(members.join(open_keys, "key").select("node").distinct(), sets, percent)
     while True:
-        known = left.join(comps, "node")
-        several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        opened = written(known.join(several, "key"), "open")
+        left = _able(left, percent).join(comps, "node")
+        opened = written(left.join(_several(left), "key"), "open")
         if opened.isEmpty():
             break
         slot = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
-        centres = written(opened.groupBy("key", slot.alias("slot")).agg(F.min_by("comp", "node").alias("comp_a"), F.min("node").alias("a")).drop("slot"), "centres")
-        pairs = centres.join(opened, "key").where("comp_a != comp")
+        first = F.min(F.struct("n", "node", "room", "comp")).alias("c")
+        centres = opened.where("comp != most").groupBy("key", slot.alias("slot")).agg(first).select("key", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.room").alias("room_a"), F.col("c.comp").alias("comp_a"))
+        centres = written(centres, "centres")
+        pairs = centres.join(opened, "key").where("comp_a != comp").where(_reach(F.least("room", "room_a"), F.col("n") + F.col("n_a"), percent))
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         more = written(_confirmed(pairs, sets, percent), "links")
         if not more.isEmpty():
             links = links.union(more)
             comps = components(inner, links)
-        left = opened.select("key", "node").join(centres.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        left = opened.drop("comp", "most").join(centres.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
     linked = slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = linked.groupBy("comp").agg(F.min("label").alias("component"))
     found = written(linked.join(smallest, "comp").select("set_id", "n_docs", "component"), "found")
