@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language_id, mixing, near_dedup, token_files
+from . import bpe, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, pii, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
+    "op2_license_scan": license_scan.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op5_fingerprints": fingerprints.op5,
     "op6_token_files": token_files.op6,
     "op7_language_id": language_id.op7,
     "op8_near_dedup": near_dedup.op8,
+    "op9_pii": pii.op9,
     "op10_byte_bpe": bpe.op10,
 }
 ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
