@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, pii, token_files
+from . import bpe, class_lm, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, pii, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_license_scan": license_scan.op2,
     "op3_exact_dedup": exact_dedup.op3,
+    "op4_class_lm": class_lm.op4,
     "op5_fingerprints": fingerprints.op5,
     "op6_token_files": token_files.op6,
     "op7_language_id": language_id.op7,

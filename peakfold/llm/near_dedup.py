@@ -194,5 +194,12 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
     return out.select(null(F.col("id")).alias("doc_id"), "n_shingles", null(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that their component keeps, with its columns as they are."""
+    drop = near_groups(docs, k, percent).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("not _kept")
+    out = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]), "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
