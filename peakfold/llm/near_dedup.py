@@ -17,8 +17,8 @@ from .textops import _STEPS, mixed, row_shingles
 NO_ID = (1 << 63) - 1  # stands for a null id, above all others
 #: At 40 bands of 6 bins, two sets of similarity 0.85 miss all bands once in 10**8.
 BANDS, BAND_ROWS = 40, 6
-#: Members of an open group, at most, that are compared with all others of it in one round.
-CENTRES = 64
+#: Members of one side of a block, about, and shingles of it that are compared at once.
+BLOCK, STRIPE = 256, 4096
 
 
 def shingle_sets(col: pa.Array, k: int):
@@ -129,6 +129,69 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ranked.where(first).where("often > 1").select("key", "node", "n", (F.col("n") - F.col("rank") + 1).alias("room"))
 
 
+def _blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Deal the members of each open group to blocks: those outside its largest component (one side)
+    to rows of blocks and all (other side) to columns, so that each pair of a member outside and any
+    other meets in one block.  A block has about ``BLOCK`` members of either side, whatever the group's
+    size, and the largest component's members are not compared with each other."""
+    size = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("cols"), F.ceil(F.sum((F.col("comp") != F.col("most")).cast("int")) / BLOCK).alias("rows"))
+    dealt = left.join(size, "key").select("key", "node", "comp", F.col("comp") != F.col("most"), "rows", "cols").toDF("key", "node", "comp", "outside", "rows", "cols")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = dealt.where("outside").select("key", "node", "comp", F.lit(True).alias("one"), own("rows").alias("i"), every("cols").alias("j"))
+    two = dealt.select("key", "node", "comp", F.lit(False).alias("one"), own("cols").alias("j"), every("rows").alias("i"))
+    return one.unionByName(two).join(sets.select("node", "hashes"), "node")
+
+
+def _linked(percent: int):
+    """Components of a block that hold sets alike enough, as few pairs of them as connect them."""
+
+    def link(table: pa.Table) -> pa.Table:
+        side = table.column("one").to_numpy()
+        comp = table.column("comp").to_numpy()
+        lists = table.column("hashes").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        count = np.diff(at)
+        row = np.repeat(np.arange(len(count)), count)
+        flat = flat[at[0] : at[-1]]
+        words, word = np.unique(flat, return_inverse=True)
+        both = (np.bincount(word[side[row]], minlength=len(words)) > 0) & (np.bincount(word[~side[row]], minlength=len(words)) > 0)
+        place = np.cumsum(both) - 1
+        row, word = row[both[word]], place[word[both[word]]]
+        order = np.argsort(word, kind="stable")
+        row, word = row[order], word[order]
+        one, two = np.flatnonzero(side), np.flatnonzero(~side)
+        local = np.cumsum(side) - 1
+        local[two] = np.arange(len(two))
+        common = np.zeros((len(one), len(two)), np.float32)
+        for lo in range(0, int(both.sum()), STRIPE):
+            a, b = np.searchsorted(word, [lo, lo + STRIPE])
+            left, right = np.zeros((len(one), STRIPE), np.float32), np.zeros((len(two), STRIPE), np.float32)
+            r, w = row[a:b], word[a:b] - lo
+            left[local[r[side[r]]], w[side[r]]] = 1
+            right[local[r[~side[r]]], w[~side[r]]] = 1
+            common += left @ right.T
+        common = np.rint(common).astype(np.int64)
+        alike = common * 100 >= (count[one][:, None] + count[two][None] - common) * percent
+        x, y = np.nonzero(alike & (comp[one][:, None] != comp[two][None]))
+        root: dict[int, int] = {}
+        out = []
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for c, d in np.unique(np.sort(np.stack([comp[one[x]], comp[two[y]]], axis=1), axis=1), axis=0).tolist():
+            p, q = top(c), top(d)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((c, d))
+        return pa.table([pa.array([c for c, _ in out], pa.int64()), pa.array([d for _, d in out], pa.int64())], names=["a", "b"])
+
+    return link
+
+
 def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -142,13 +205,13 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
        are confirmed on the whole sets.
     3. A bucket whose members are in one component is done.  In the others, pairs that no star has
        compared could still link.  Their nodes are joined by an exact prefix filter instead: nodes meet
-       where they share one of their rarest shingles.  Each such group with several components compares
-       up to ``CENTRES`` of its smallest members, none of its largest component, with all members of
-       other components; these then leave it, as do members that can be alike to none that is left,
-       until every group is done.  So no pair that shares a bucket is lost, a group of n near copies
-       makes n edges and not n * n, and documents that share a frequent passage only do not meet.
+       where they share one of their rarest shingles and could be alike by size and place.  Groups with
+       several components are dealt to blocks in which all pairs across components are compared at once
+       by their whole sets; only which components link comes out.
+
+    So no pair that shares a bucket is lost, a group of n near copies makes n edges and not n * n, and
+    pairs of components are never rows.
     """
-    spark = docs.sparkSession
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(base.mapInArrow(_signed(k, bands, rows), "id long, n_shingles long, set_id binary, bands array<long>"), "signed")
     total = signed.count()
@@ -168,23 +231,12 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
     links = written(_confirmed(star, sets, percent), "links")
     comps = components(inner, links)
     open_keys = _several(members.where("node > centre").join(comps, "node"))
-    left = _prefixes(members.join(open_keys, "key").select("node").distinct(), sets, percent)
-    while True:
-        left = _able(left, percent).join(comps, "node")
-        opened = written(left.join(_several(left), "key"), "open")
-        if opened.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
-        first = F.min(F.struct("n", "node", "room", "comp")).alias("c")
-        centres = opened.where("comp != most").groupBy("key", slot.alias("slot")).agg(first).select("key", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"), F.col("c.room").alias("room_a"), F.col("c.comp").alias("comp_a"))
-        centres = written(centres, "centres")
-        pairs = centres.join(opened, "key").where("comp_a != comp").where(_reach(F.least("room", "room_a"), F.col("n") + F.col("n_a"), percent))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = written(_confirmed(pairs, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = components(inner, links)
-        left = opened.drop("comp", "most").join(centres.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+    left = _able(_prefixes(members.join(open_keys, "key").select("node").distinct(), sets, percent), percent).join(comps, "node")
+    left = written(left.join(_several(left), "key"), "open")
+    more = written(_blocks(left, sets).groupBy("key", "i", "j").applyInArrow(_linked(percent), "a long, b long").distinct(), "merges")
+    ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
+    over = components(ends, more).select(F.col("node").alias("at"), F.col("comp").alias("over"))
+    comps = comps.join(over, comps["comp"] == over["at"], "left").select("node", F.coalesce("over", "comp").alias("comp"))
     linked = slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = linked.groupBy("comp").agg(F.min("label").alias("component"))
     found = written(linked.join(smallest, "comp").select("set_id", "n_docs", "component"), "found")
