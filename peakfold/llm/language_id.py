@@ -94,7 +94,7 @@ class NaiveBayes:
         return best, 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
 
 
-def _tagger(model: NaiveBayes):
+def _tagger(model: NaiveBayes, names: tuple[str, str]):
     langs = pa.array([*model.langs, "und"])
 
     def tag(batches):
@@ -103,7 +103,7 @@ def _tagger(model: NaiveBayes):
             best, score = model.scores(text)
             none = np.array([x is None or not _LETTER.search(x) for x in text.to_pylist()], bool) | (not model.langs)
             best, score = np.where(none, len(model.langs), best), np.where(none, 0.0, score)
-            yield pa.RecordBatch.from_arrays([*batch.columns, langs.take(pa.array(best)), pa.array(score)], [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, langs.take(pa.array(best)), pa.array(score)], [*batch.schema.names, *names])
 
     return tag
 
@@ -114,19 +114,21 @@ def learn(docs: DataFrame, held_out: bool = True) -> NaiveBayes:
     return NaiveBayes((rows.where(crc_rest(F.col("doc_id"), 4) != 2) if held_out else rows).select("text", "lang"))
 
 
-def identified(docs: DataFrame, model: NaiveBayes) -> DataFrame:
-    """``docs`` and lang_pred, lang_score of each text.  ``und`` with score 0 where the text is null or
-    has no letter (or nothing could be learned); ties go to the language first by code point."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_tagger(model), f"{kinds}, lang_pred string, lang_score double")
+def identified(docs: DataFrame, model: NaiveBayes, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` and two columns more, by default lang_pred and lang_score of each text.  ``und`` with
+    score 0 where the text is null or has no letter (or nothing could be learned); ties go to the
+    language first by code point.  Rows that repeat are each tagged; an empty table gives no rows."""
+    if set(names) & set(docs.columns):
+        raise ValueError(f"the table has a column {' or '.join(names)} already")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(_tagger(model, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def in_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text is in some learned language with this probability at least; columns as they are."""
-    out = identified(docs, learn(docs, held_out=False))
-    return out.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pred, score = "_pf_lang_pred", "_pf_lang_score"
+    out = identified(docs, learn(docs, held_out=False), (pred, score))
+    return out.where((F.col(pred) != "und") & (F.col(score) >= least)).drop(pred, score)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

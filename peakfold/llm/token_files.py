@@ -217,10 +217,10 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, pattern:
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
-    base = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc_id"), "text")
-    rows = base.count()
+    rows = docs.count()
     parts = partitions_for(docs, rows, FILE_ROWS)
-    base = base.withColumn("bucket", bucket_of(F.col("doc_id"), range_bounds(base, "doc_id", parts)))
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket_of(F.col("doc_id"), range_bounds(docs, "doc_id", parts)) + 1)  # rows without an id have a file of their own
+    base = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc_id"), "text", bucket.cast("int").alias("bucket"))
     coded = base.mapInArrow(_coder(path, pattern, end, wide), "doc_id long, bucket int, ids binary")
     placed = coded.repartition(parts, "bucket").withColumn("tie", F.xxhash64("ids")).sortWithinPartitions("bucket", "doc_id", "tie").drop("tie")
     made = docs.sparkSession.createDataFrame(placed.mapInArrow(_writer(folder, wide), "file string, bucket int, n_docs long, n_ids long").collect(), "file string, bucket int, n_docs long, n_ids long")
