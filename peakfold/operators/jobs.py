@@ -25,7 +25,7 @@ class Jobs:
 
     def _note(self, job_id: str, params: str, state: str, result: str | None = None, error: str | None = None) -> None:
         row = self.spark.createDataFrame([(job_id, params, state, result, error)], "job_id string, params string, state string, result string, error string")
-        row.withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/jobs")
+        row.withColumn("ts", F.current_timestamp()).coalesce(1).write.parquet(f"{self.folder}/jobs/{uuid.uuid4().hex}")  # a folder of its own: two writers of one would undo each other
 
     def dispatch(self, work: Callable[[], DataFrame], params: str = "") -> str:
         """Note the job and return its id; ``work`` makes the result in another thread, under a tag of
@@ -52,7 +52,7 @@ class Jobs:
         self.spark.interruptTag(job_id)
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/jobs")
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.folder}/jobs")
 
     def status(self, job_id: str) -> dict:
         """state (UNKNOWN for an id that is none or that no job has), result path, error, message."""
