@@ -111,3 +111,21 @@ def ion_mask(peaks: Column, ions: list[tuple[int, str, float]], tolerance: float
 
 def _within(mass: float, tolerance: float):
     return lambda p: F.abs(p["mz"] - F.lit(mass)) <= F.lit(tolerance)
+
+
+def fmt_mz(x: Column) -> Column:
+    return F.format_string("%.4f", x)
+
+
+def fmt_rt(x: Column) -> Column:
+    """Minutes, or N/A where there are none."""
+    return F.when(x.isNull(), "N/A").otherwise(F.format_string("%.2f", x))
+
+
+def to_double(x: Column) -> Column:
+    return x.try_cast("double")
+
+
+def maybe_int(x: Column) -> Column:
+    """A whole number as text, or a question mark."""
+    return F.coalesce(x.try_cast("int").cast("string"), F.lit("?"))
