@@ -130,7 +130,7 @@ def encode_batch(texts: list, path: str, pattern: str, end: int, wide: bool) ->
     tokenizer, known, older = _tokenizer(path)
     split = splitter(pattern)
     pieces = [split(t) if t else [] for t in texts]
-    new = list(dict.fromkeys(p for row in pieces for p in row if p not in known))
+    new = set().union(*pieces).difference(known)
     kind = "I" if wide else "H"
     ask = []
     for p in new:
