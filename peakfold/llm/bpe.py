@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 
-STATES = 300_000  # determinised states held at once; all are made anew when there are more
-PIECES = 500_000  # encoded pieces in each of two generations that a task remembers
+STATES = 200_000  # determinised states held at once; all are made anew when there are more
+PIECES = 300_000  # encoded pieces in each of two generations that a task remembers
 NEVER = 1 << 40
 
 
@@ -237,6 +237,12 @@ class _Pieces(dict):
         super().__init__()
         self.machine, self.older = machine, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+        self.machine.follow.clear()
+        self.machine._reset()
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) > PIECES:
             self.older = dict(self)
@@ -260,6 +266,12 @@ def encode_text(text: str, pieces: _Pieces, findall) -> bytes:
 
 def _coder(path: str, pattern: str, with_ids: bool):
     def code(batches):
+        try:
+            yield from coded(batches)
+        finally:
+            _loaded(path).forget()  # a worker that waits for its next task holds no caches
+
+    def coded(batches):
         pieces, findall = _loaded(path), splitter(pattern)
         tokens = pieces.machine.bytes
         for batch in batches:

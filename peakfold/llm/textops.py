@@ -16,7 +16,7 @@ _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text handled at once; a longer document is handled alone, whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
