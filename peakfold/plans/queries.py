@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chem, peaks as pk
 from ..functions.dims import COMPOUNDS, DIAGNOSTIC_IONS, ISOTOPES, NEUTRON, table, values_sql
 from ..operators import qc, search as sr, similarity as sim, stats, summary
+from ..operators.tables import materialized
 from ..sources import files, views
 from ..sources.views import PEAKS_SQL, SPECTRA_SQL
 
@@ -336,7 +337,7 @@ def vector_topk_cosine(spark, d):
 
 @query("empirical_pvalues", f"{P_SQL} SELECT id, s AS score, round(p_value, 9) AS p_value FROM tested")
 def empirical_pvalues(spark, d):
-    rows = _scored(spark, d)
+    rows = materialized(_scored(spark, d), "scores")
     return stats.empirical_p(rows, rows.select("score")).select("id", "score", _r("p_value"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import tempfile
 import uuid
 import zlib
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.peaks import PEAK
+from ..operators.tables import shared_dir
 
 VENDOR = (".raw", ".d")
 READ = (".mzml", ".mgf")
@@ -148,8 +148,7 @@ def _document(batches):
 def roundtrip(library: DataFrame, kind: str) -> DataFrame:
     """Write a library to the session's shared folder in a format and read it back."""
     spark = library.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/spectra-{uuid.uuid4().hex}.{kind}"
+    path = f"{shared_dir(spark)}/spectra-{uuid.uuid4().hex}.{kind}"
     rows = library.select(F.col("id").cast("int").alias("index"), F.lit(2).alias("ms_level"), F.lit(0.0).alias("rt"), "precursor_mz", "peaks")
     (write_mgf if kind == "mgf" else write_mzml)(rows, path)
     return read_mgf(spark, path) if kind == "mgf" else read_mzml(spark, path)
