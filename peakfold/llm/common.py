@@ -40,14 +40,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: "Scratch | None" = None) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: lineage ends here, so a lost
-    executor costs a read and not the work.  The tables stay until :func:`clean`."""
+    executor costs a read and not the work.  The table stays until :func:`clean`, or until its
+    ``scratch`` goes."""
     path = new_path(df.sparkSession, name)
+    if scratch is not None:
+        scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that nothing reads once a later one is written; they go at the end of a ``with``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables :func:`written` has left.  Results that read them must be stored first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
@@ -181,3 +199,26 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     out = out.withColumn("_open", ~is_hot)
     out = out.join(cold, (F.col("_deal") == F.col("_key")) & (F.col("_open") == F.col("_cold")), "left")
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in cols])
+
+
+def without(docs: DataFrame, key, dropped: DataFrame, same) -> DataFrame:
+    """The rows of ``docs`` that no row of ``dropped`` matches.
+
+    ``key`` is a 64-bit column of docs whose values for the dropped rows are in ``dropped._key``, and
+    ``same`` the exact condition.  A bounded filter lets all but the dropped rows (and a few others)
+    pass where they are; only the rest are shuffled with their texts to be compared.
+    """
+    may = may_hold(BoundedFilter(dropped.select("_key"), dropped.count()))
+    rows = docs.withColumn("_pf_key", key)
+    sure = rows.where(~may("_pf_key"))
+    rest = rows.where(may("_pf_key")).join(dropped, (F.col("_pf_key") == F.col("_key")) & same, "left_anti")
+    return sure.unionByName(rest).drop("_pf_key")
+
+
+def may_hold(found: BoundedFilter):
+    """Whether a 64-bit column's value may be in the filter, as a function of a column."""
+
+    def hits(keys: pd.Series) -> pd.Series:
+        return pd.Series(found.may_hold(keys.to_numpy()))
+
+    return F.pandas_udf(hits, "boolean")

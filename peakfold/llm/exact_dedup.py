@@ -6,13 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, documents, written
+from .common import BoundedFilter, Scratch, documents, may_hold, without, written
 
 MEMTABLE = 400_000  # entries of a memtable
 SHARD = 400_000  # documents for each shard of the index, about
@@ -101,23 +100,16 @@ def compact(bits: int):
     return merge
 
 
-def index(entries: DataFrame, rows: int) -> DataFrame:
+def index(entries: DataFrame, rows: int, scratch: Scratch | None = None) -> DataFrame:
     """digest, keep_id, group_size of every digest that more than one row has.  ``entries``: digest, id."""
     shards = max(1, math.ceil(rows / SHARD))
     bits = 1 << math.ceil(math.log2(min(rows, SHARD) * FILTER_PER_ENTRY + 8))
-    runs = written(entries.mapInArrow(flush(shards, bits), RUN), "lsm-runs")
+    runs = written(entries.mapInArrow(flush(shards, bits), RUN), "lsm-runs", scratch)
     return runs.groupBy("shard").applyInArrow(compact(bits), "digest long, keep_id long, group_size long")
 
 
-def _may_hold(found: BoundedFilter):
-    def hits(digests: pd.Series) -> pd.Series:
-        return pd.Series(found.may_hold(digests.to_numpy()))
-
-    return F.pandas_udf(hits, "boolean")
-
-
-def grouped(docs: DataFrame, digest=None) -> DataFrame:
-    """doc_id, keep_id, group_size, text_sha256 and the hit flag of every row.
+def grouped(docs: DataFrame, digest=None, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, text_sha256 of every row.
 
     The index is over a 64-bit digest (``digest`` makes it from a column; xxhash64 by default).  Rows
     whose digest has company are verified by their bytes: they are grouped by the text itself, and
@@ -129,15 +121,15 @@ def grouped(docs: DataFrame, digest=None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     make = digest or F.xxhash64
     base = docs.select("doc_id", make(text).cast("long").alias("digest"), F.sha2(text, 256).alias("text_sha256"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"))
-    slim = written(base, "digests")
+    slim = written(base, "digests", scratch)
     rows = slim.count()
     if not rows:
-        return slim.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256", F.lit(True).alias("first"))
-    hits = written(index(slim.select("digest", "id"), rows), "lsm-level1")
-    may = _may_hold(BoundedFilter(hits.select("digest"), hits.count()))
+        return slim.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    hits = written(index(slim.select("digest", "id"), rows, scratch), "lsm-level1", scratch)
+    may = may_hold(BoundedFilter(hits.select("digest"), hits.count()))
     with_text = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), text.alias("text")).withColumn("digest", make("text").cast("long")).where(may("digest"))
     same = with_text.groupBy("digest", "text").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
-    same = written(same.select("digest", F.sha2("text", 256).alias("text_sha256"), "keep", "n"), "verified")
+    same = written(same.select("digest", F.sha2("text", 256).alias("text_sha256"), "keep", "n"), "verified", scratch)
     many = max(1_000, math.ceil(rows / 1_000))  # at most 1,000 groups can be as large
     hot = same.where(F.col("n") >= many).select("digest", "text_sha256", F.col("keep").alias("hot_keep"), F.col("n").alias("hot_n"))
     cold = same.where(F.col("n") < many).select(F.col("digest").alias("key"), F.col("text_sha256").alias("key_sha"), "keep", "n")
@@ -149,21 +141,23 @@ def grouped(docs: DataFrame, digest=None) -> DataFrame:
     return out.select("doc_id", F.nullif(keep, F.lit(NO_ID)).alias("keep_id"), F.coalesce("hot_n", "n", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
 
 
-def exact_groups(docs: DataFrame, digest=None) -> DataFrame:
+def exact_groups(docs: DataFrame, digest=None, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256.  Rows that share text and doc_id are all kept here."""
-    out = grouped(docs, digest)
+    out = grouped(docs, digest, scratch)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs``, one for each text, with its columns as they are."""
-    keys = exact_groups(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).agg(F.first("kept").alias("_kept"), F.count("*").alias("_rows"))
-    odd = written(keys.where("not _kept or _rows > 1"), "dropped")
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = rows["doc_id"].eqNullSafe(odd["_id"]) & (rows["_sha"] == odd["_key"])
-    alone = rows.join(odd, same, "left_anti")
-    again = odd.where("_kept")
-    once = rows.join(again, rows["doc_id"].eqNullSafe(again["_id"]) & (rows["_sha"] == again["_key"]), "left_semi").dropDuplicates(["doc_id", "_sha"])
+    with Scratch(docs.sparkSession) as scratch:
+        keys = exact_groups(docs, scratch=scratch).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.first("kept").alias("_kept"), F.count("*").alias("_rows"))
+        odd = written(keys.where("not _kept or _rows > 1").withColumn("_key", F.xxhash64("_id", "_sha")), "dropped")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.withColumn("_pf_sha", sha)
+    same = lambda other: rows["doc_id"].eqNullSafe(other["_id"]) & (rows["_pf_sha"] == other["_sha"])
+    alone = without(rows, F.xxhash64("doc_id", "_pf_sha"), odd, same(odd))
+    again = odd.where("_kept")  # rows that repeat with their id: one of them stays
+    once = rows.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "_pf_sha"])
     return alone.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

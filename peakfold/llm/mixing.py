@@ -17,7 +17,7 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
     """doc_id, source, size in words, and the key of the shuffled order; the text goes no further."""
     return docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
     )
 
 
@@ -47,7 +47,8 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
 
 
 def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix-1", split: bool = True) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, virtual_finish, passes.
+    """One row for each document: doc_id, size, source_size, target, taken, virtual_finish, passes
+    (and tie, a hash of the text, which tells rows of one doc_id apart).
 
     The documents of a source stand in a shuffled order (the md5 of seed and doc_id, so that reruns
     agree) and are offered up to ``most`` times, one pass after the other.  Each offer has a virtual
@@ -72,7 +73,7 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     aims = targets(base, weights, share, float(most)).withColumn("key", key).drop("source")
-    within = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.join(sums, ["key", "bucket"]).join(aims, "key")
     rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     goal = F.round("target").cast("long")
@@ -89,7 +90,7 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     rows = rows.withColumn("passes", F.array(*offers))
     words = F.aggregate("passes", F.lit(0).cast("long"), lambda s, x: s + x["words"])
     return rows.select(
-        "doc_id", "size", "source_size", "target", words.alias("taken"), F.col("passes")[0]["finish"].alias("virtual_finish"),
+        "doc_id", "tie", "size", "source_size", "target", words.alias("taken"), F.col("passes")[0]["finish"].alias("virtual_finish"),
         F.filter("passes", lambda x: x["words"] > 0).alias("passes"),
     )
 
@@ -102,22 +103,22 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: whole documents, each as often as the mix takes it, with the columns of ``docs``.
     A document without words is taken once, as it costs nothing and is no reason to lose it."""
-    if "doc_id" not in docs.columns:
-        raise ValueError("doc_id is missing")
     slim = schedule(docs, split=False, **options)
     times = F.when(F.col("size") == 0, 1).otherwise(F.size("passes"))
-    counts = slim.groupBy("doc_id", "size").agg(F.sum(times).alias("_times"), F.count("*").alias("_rows"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    # rows that share doc_id and size share their offers evenly; the first of them by rank gets the rest
-    out = docs.withColumn("_size", size).alias("d").join(counts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._size") == F.col("c.size")))
-    rank = F.row_number().over(Window.partitionBy("d.doc_id", "d._size").orderBy(F.xxhash64("text")))
-    out = out.withColumn("_n", F.floor(F.col("_times") / F.col("_rows")) + F.when(rank <= F.col("_times") % F.col("_rows"), 1).otherwise(0))
-    out = out.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    counts = slim.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_rows"))
+    counts = written(counts.where("_times > 0"), "times")
+    rows = docs.withColumn("_pf_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def met(own: DataFrame) -> DataFrame:
+        return rows.join(own, rows["doc_id"].eqNullSafe(own["_id"]) & (rows["_pf_tie"] == own["_tie"]))
+
+    # rows that repeat as a whole are one row as often as all of them are taken
+    out = met(counts.where("_rows = 1")).unionByName(met(counts.where("_rows > 1")).dropDuplicates(["doc_id", "_pf_tie"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("passes")
+    return mix(documents(spark, sf_dir)).drop("passes", "tie")
 
 
 OP1_SQL = r"""

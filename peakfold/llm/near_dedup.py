@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, attach, documents, written
+from .common import BoundedFilter, Scratch, attach, documents, without, written
 from .fingerprints import bin_minima, densified
 from .textops import _STEPS, mixed, row_shingles
 
@@ -66,18 +66,18 @@ def _sets_of(k: int, wanted: BoundedFilter):
     return sets
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp: the smallest node reachable.  ``edges``: a, b.  Labels shrink to the smallest one of
     the neighbours' and then to their label's label, so a chain takes steps by its length's logarithm;
     every step is a table in the shared folder."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(nodes.select("node", F.col("node").alias("comp")), "labels")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", scratch)
+    labels = written(nodes.select("node", F.col("node").alias("comp")), "labels", scratch)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         jump = step.select(F.col("node").alias("at"), F.col("comp").alias("further"))
         step = step.join(jump, step["comp"] == jump["at"], "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        step = written(step, "labels")
+        step = written(step, "labels", scratch)
         if step.where("old > comp").isEmpty():
             return step.select("node", "comp")
         labels = step.select("node", "comp")
@@ -107,10 +107,11 @@ def _reach(share, sizes, percent: int):
     return share * (100 + percent) >= sizes * percent
 
 
-def _able(rows: DataFrame, percent: int) -> DataFrame:
+def _able(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The members of a group that could be alike to its smallest member, if not to it then to none:
     what a set can share from its first common shingle on is ``room``, and a larger partner needs more."""
     small = rows.groupBy("key").agg(F.min("n").alias("small"), F.count("*").alias("all")).where("all > 1").drop("all")
+    small = written(small, "smallest", scratch)
     return rows.join(small, "key").where(_reach(F.col("room"), F.col("n") + F.col("small"), percent)).drop("small")
 
 
@@ -192,7 +193,7 @@ def _linked(percent: int):
     return link
 
 
-def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BANDS, rows: int = BAND_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     A document's set is that of its distinct runs of ``k`` lower-cased words; a shorter text is one run,
@@ -213,33 +214,37 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
     pairs of components are never rows.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(base.mapInArrow(_signed(k, bands, rows), "id long, n_shingles long, set_id binary, bands array<long>"), "signed")
+    signed = written(base.mapInArrow(_signed(k, bands, rows), "id long, n_shingles long, set_id binary, bands array<long>"), "signed", scratch)
     total = signed.count()
-    nodes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("label"), F.count("*").alias("n_docs"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    slim = nodes.select("node", "set_id", "label", "n_docs")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = written(keyed.join(shared, "key").select("key", "node", "centre"), "members")
-    inner = members.select("node").distinct()
-    wanted = slim.join(inner, "node", "left_semi")
-    ids = wanted.select("label")
-    own = base.mapInArrow(_sets_of(k, BoundedFilter(ids, ids.count())), "id long, set_id binary, hashes array<long>")
-    sets = own.join(wanted.select("node", "set_id", "label"), (own["set_id"] == wanted["set_id"]) & (own["id"] == F.col("label")))
-    sets = written(sets.select("node", F.size("hashes").alias("n"), "hashes").dropDuplicates(["node"]), "sets")
-    star = members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(star, sets, percent), "links")
-    comps = components(inner, links)
-    open_keys = _several(members.where("node > centre").join(comps, "node"))
-    left = _able(_prefixes(members.join(open_keys, "key").select("node").distinct(), sets, percent), percent).join(comps, "node")
-    left = written(left.join(_several(left), "key"), "open")
-    more = written(_blocks(left, sets).groupBy("key", "i", "j").applyInArrow(_linked(percent), "a long, b long").distinct(), "merges")
-    ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-    over = components(ends, more).select(F.col("node").alias("at"), F.col("comp").alias("over"))
-    comps = comps.join(over, comps["comp"] == over["at"], "left").select("node", F.coalesce("over", "comp").alias("comp"))
-    linked = slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = linked.groupBy("comp").agg(F.min("label").alias("component"))
-    found = written(linked.join(smallest, "comp").select("set_id", "n_docs", "component"), "found")
+    with Scratch(docs.sparkSession) as own_scratch:
+        nodes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("label"), F.count("*").alias("n_docs"), F.first("bands").alias("bands"))
+        nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", own_scratch)
+        slim = nodes.select("node", "set_id", "label", "n_docs")
+        keyed = nodes.select("node", F.explode("bands").alias("key"))
+        # tables of one row a key are written first: a join to one can then be split where a key is hot, which
+        # a join in the stage of the aggregation itself cannot
+        shared = written(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1"), "shared", own_scratch)
+        members = written(keyed.join(shared, "key").select("key", "node", "centre"), "members", own_scratch)
+        inner = members.select("node").distinct()
+        wanted = slim.join(inner, "node", "left_semi")
+        ids = wanted.select("label")
+        own = base.mapInArrow(_sets_of(k, BoundedFilter(ids, ids.count())), "id long, set_id binary, hashes array<long>")
+        sets = own.join(wanted.select("node", "set_id", "label"), (own["set_id"] == wanted["set_id"]) & (own["id"] == F.col("label")))
+        sets = written(sets.select("node", F.size("hashes").alias("n"), "hashes").dropDuplicates(["node"]), "sets", own_scratch)
+        star = members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+        links = written(_confirmed(star, sets, percent), "links", own_scratch)
+        comps = components(inner, links, own_scratch)
+        open_keys = written(_several(members.where("node > centre").join(comps, "node")), "open-keys", own_scratch)
+        prefixes = written(_prefixes(members.join(open_keys, "key").select("node").distinct(), sets, percent), "prefixes", own_scratch)
+        left = written(_able(prefixes, percent, own_scratch).join(comps, "node"), "able", own_scratch)
+        left = written(left.join(written(_several(left), "several", own_scratch), "key"), "open", own_scratch)
+        more = written(_blocks(left, sets).groupBy("key", "i", "j").applyInArrow(_linked(percent), "a long, b long").distinct(), "merges", own_scratch)
+        ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
+        over = components(ends, more, own_scratch).select(F.col("node").alias("at"), F.col("comp").alias("over"))
+        comps = comps.join(over, comps["comp"] == over["at"], "left").select("node", F.coalesce("over", "comp").alias("comp"))
+        linked = slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        smallest = linked.groupBy("comp").agg(F.min("label").alias("component"))
+        found = written(linked.join(smallest, "comp").select("set_id", "n_docs", "component"), "found", scratch)
     out = attach(signed.select("id", "n_shingles", "set_id"), found, "set_id", "n_docs", total)
     comp = F.coalesce("component", "id")
     null = lambda c: F.nullif(c, F.lit(NO_ID))
@@ -248,9 +253,10 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that their component keeps, with its columns as they are."""
-    drop = near_groups(docs, k, percent).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("not _kept")
-    out = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]), "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    with Scratch(docs.sparkSession) as scratch:
+        drop = near_groups(docs, k, percent, scratch=scratch).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("not _kept")
+        drop = written(drop.select("_id", F.xxhash64("_id").alias("_key")), "dropped")
+    return without(docs, F.xxhash64("doc_id"), drop, docs["doc_id"].eqNullSafe(drop["_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
