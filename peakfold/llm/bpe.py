@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 
-from .common import documents
+from .common import documents, small_batches
 
 STATES = 200_000  # determinised states held at once; all are made anew when there are more
 PIECES = 300_000  # encoded pieces in each of two generations that a task remembers
@@ -300,6 +300,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     empty text has no ids.  ``path``: a rank file that all workers can read."""
     import public_tokenizers
 
+    small_batches(docs.sparkSession)
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

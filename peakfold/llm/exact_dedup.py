@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, Scratch, documents, may_hold, without, written
+from .common import BoundedFilter, Scratch, documents, may_hold, small_batches, without, written
 
 MEMTABLE = 400_000  # entries of a memtable
 SHARD = 400_000  # documents for each shard of the index, about
@@ -118,6 +118,7 @@ def grouped(docs: DataFrame, digest=None, scratch: Scratch | None = None) -> Dat
     Equal texts form a group; null counts as empty.  Of a group, the largest doc_id is kept (a null
     doc_id is below all others).  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     make = digest or F.xxhash64
     base = docs.select("doc_id", make(text).cast("long").alias("digest"), F.sha2(text, 256).alias("text_sha256"), F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"))

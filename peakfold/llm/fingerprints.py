@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, documents, partitions_for, range_bounds
+from .common import bucket_of, documents, partitions_for, range_bounds, small_batches
 from .textops import mixed, row_shingles
 
 EMPTY = np.uint64((1 << 64) - 1)
@@ -122,6 +122,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, next_only: the rows dealt to ranges of ids and sorted in them.  Each range
     ends with a copy of the first row of the next one, the last with that of the first; only these few
     rows are sent twice."""
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = base.count()
     parts = partitions_for(docs, rows, RANGE_ROWS)

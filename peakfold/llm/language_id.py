@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_rest, documents, written
+from .common import crc_rest, documents, small_batches, written
 from .textops import chunks, mixed
 
 ORDERS = (1, 2, 3, 4)  # bytes of an n-gram
@@ -110,6 +110,7 @@ def _tagger(model: NaiveBayes, names: tuple[str, str]):
 
 def learn(docs: DataFrame, held_out: bool = True) -> NaiveBayes:
     """The model of the rows with a language; with ``held_out``, of those whose crc32 of doc_id is not 2 modulo 4."""
+    small_batches(docs.sparkSession)
     rows = docs.where("lang is not null")
     return NaiveBayes((rows.where(crc_rest(F.col("doc_id"), 4) != 2) if held_out else rows).select("text", "lang"))
 
@@ -118,6 +119,7 @@ def identified(docs: DataFrame, model: NaiveBayes, names: tuple[str, str] = ("la
     """``docs`` and two columns more, by default lang_pred and lang_score of each text.  ``und`` with
     score 0 where the text is null or has no letter (or nothing could be learned); ties go to the
     language first by code point.  Rows that repeat are each tagged; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     if set(names) & set(docs.columns):
         raise ValueError(f"the table has a column {' or '.join(names)} already")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, Scratch, attach, documents, without, written
+from .common import BoundedFilter, Scratch, attach, documents, small_batches, without, written
 from .fingerprints import bin_minima, densified
 from .textops import _STEPS, mixed, row_shingles
 
@@ -213,6 +213,7 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
     So no pair that shares a bucket is lost, a group of n near copies makes n edges and not n * n, and
     pairs of components are never rows.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(base.mapInArrow(_signed(k, bands, rows), "id long, n_shingles long, set_id binary, bands array<long>"), "signed", scratch)
     total = signed.count()

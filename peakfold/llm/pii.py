@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -165,6 +165,7 @@ def personal(docs: DataFrame, **options) -> DataFrame:
     each searched; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     base = written(rows.mapInArrow(_find, f"row long, doc_id {kind}, {_OUT}"), "identifiers")
     found = base.select("row", F.explode("found").alias("f")).select("row", "f.*")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import splitter
-from .common import bucket_of, documents, new_path, partitions_for, range_bounds
+from .common import bucket_of, documents, new_path, partitions_for, range_bounds, small_batches
 
 MAGIC = b"EFTK0001"
 HEAD = struct.Struct("<8sQQQB7x")  # magic, documents, ids, first doc_id, bytes of an id
@@ -217,6 +217,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, pattern:
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
+    small_batches(docs.sparkSession)
     rows = docs.count()
     parts = partitions_for(docs, rows, FILE_ROWS)
     bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket_of(F.col("doc_id"), range_bounds(docs, "doc_id", parts)) + 1)  # rows without an id have a file of their own
