@@ -39,7 +39,8 @@ def nested(rows: DataFrame) -> DataFrame:
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spectra with their peaks; one without peaks has an empty list."""
     own = nested(peaks(spark, sf_dir))
-    rows = spectra(spark, sf_dir).join(own, F.col("id") == F.col("spectrum_id"), "left").drop("spectrum_id")
+    # merged where the grouping has put them: broadcast, the lists would all be scored by the few tasks that read the headers
+    rows = spectra(spark, sf_dir).join(own.hint("merge"), F.col("id") == F.col("spectrum_id"), "left").drop("spectrum_id")
     return rows.withColumn("peaks", F.coalesce("peaks", F.array().cast(f"array<{PEAK}>")))
 
 
