@@ -29,9 +29,9 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 
 CONTEXT = 80  # characters before an identifier in which its context words are looked for
-SUPPORT = 5  # distinct seeds of a kind that a pattern must have
+SUPPORT = 5  # distinct known instances of a kind that a pattern must have
 SURE = 0.9  # confidence from which patterns and instances count
-ROUNDS = 3
+UNKNOWN = 0.1  # what an instance of which nothing is known counts against a pattern, a known one of another kind being 1
 
 
 def luhn(digits: str) -> bool:
@@ -76,10 +76,16 @@ def digest(spans) -> str:
     return sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
 
 
+def _shapes(number: str) -> int:
+    """The kinds that a number could be by its digits and points, as bits."""
+    n = len(re.sub(r"[^0-9]", "", number))
+    return 0 if n < 7 else (1 << 3) * (n <= 15) | (1 << 2) * (12 <= n <= 19) | (1 << 1) * (number.count(".") >= 3)
+
+
 def candidates(text: str, spans) -> list[tuple]:
     """(context patterns, instance, kinds it could be as bits, seed kind or -1, start, end) of the seeds
     and of other strings that look like an identifier and overlap no seed."""
-    found = [(a, b, 1 << k, k) for a, k, b in spans]
+    found = [(a, b, 1 << k | (_shapes(text[a:b]) if k else 0), k) for a, k, b in spans]
     starts, ends = [], []  # of the seeds' union
     for a, _, b in spans:
         if ends and a <= ends[-1]:
@@ -93,11 +99,8 @@ def candidates(text: str, spans) -> list[tuple]:
         return n == 0 or ends[n - 1] <= a
 
     for m in _NUMERIC.finditer(text):
-        n = len(re.sub(r"[^0-9]", "", m[0]))
-        if n >= 7 and free(m.start(), m.end()):
-            kinds = (1 << 3) * (7 <= n <= 15) | (1 << 2) * (12 <= n <= 19) | (1 << 1) * (m[0].count(".") >= 3)
-            if kinds:
-                found.append((m.start(), m.end(), kinds, -1))
+        if (kinds := _shapes(m[0])) and free(m.start(), m.end()):
+            found.append((m.start(), m.end(), kinds, -1))
     if "@" in text:
         found += [(m.start(), m.end(), 1, -1) for m in _AT.finditer(text) if free(m.start(), m.end())]
     out = []
@@ -130,28 +133,39 @@ def _find(batches):
             )
 
 
-def bootstrapped(found: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame:
+def bootstrapped(found: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
     """kind, pattern: the contexts to trust.  ``found``: pattern, instance, kinds, seed.
 
-    The graph joins patterns (the one or two words before an identifier) and instances.  Seeds have
-    score 1 for their kind.  Each round, a pattern's confidence for a kind is the mean score of its
-    distinct instances; patterns with enough seeds and confidence pass it on, and an instance of
-    several trusted patterns is wrong only if all of them are.
+    The graph joins patterns (the one or two words before an identifier) and instances, for each kind
+    that an instance could be by its shape.  Seeds have score 1 for their kind and are known not to be
+    of another.  Each round, a pattern's confidence for a kind is the sum of its known instances' scores
+    over that sum, the number of seeds of other kinds and ``UNKNOWN`` times the number of the rest;
+    instances that cannot be of the kind do not count.  Patterns with enough known instances and
+    confidence pass it on, and an instance of several trusted patterns is wrong only if all of them are.
+    A trusted pattern stays trusted, and rounds go on until none is added.
     """
     edges = written(found.groupBy("pattern", "instance").agg(F.bit_or("kinds").alias("kinds"), F.max("seed").alias("seed")), "graph")
     kinds = F.explode(F.array(*[F.lit(n) for n in range(len(KINDS))]))
-    rows = edges.withColumn("kind", kinds).where(F.expr("seed = kind or (seed < 0 and (kinds & shiftleft(1, kind)) > 0)"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    scores = rows.where("seed = kind").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    trusted = None
-    for _ in range(rounds):
-        known = rows.join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum((F.col("seed") == F.col("kind")).cast("int")).alias("seeds"))
-        known = known.where(F.col("seeds") >= support).join(size, "pattern").withColumn("trust", F.col("score") / F.col("size"))
-        trusted = written(known.where(F.col("trust") >= sure).select("pattern", "kind", "trust"), "patterns")
-        new = rows.where("seed < 0").join(trusted, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust") + 1e-9)))).alias("score"))
-        seeds = rows.where("seed = kind").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
+    rows = edges.withColumn("kind", kinds).where(F.expr("seed = kind or (kinds & shiftleft(1, kind)) > 0"))
+    seeds = rows.where("seed = kind").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
+    scores, trusted, size = seeds, None, 0
+    while True:
+        known = rows.join(scores, ["instance", "kind"], "left").withColumn("other", (F.col("seed") >= 0) & (F.col("seed") != F.col("kind")))
+        known = known.withColumn("score", F.when(~F.col("other"), F.col("score")))
+        known = known.groupBy("pattern", "kind").agg(
+            F.sum("score").alias("score"), F.count("score").alias("have"), F.sum(F.col("other").cast("int")).alias("others"), F.sum((F.col("score").isNull() & ~F.col("other")).cast("int")).alias("unknown")
+        )
+        known = known.where(F.col("have") >= support).withColumn("trust", F.col("score") / (F.col("score") + F.col("others") + UNKNOWN * F.col("unknown")))
+        known = known.where(F.col("trust") >= sure).select("pattern", "kind", "trust")
+        if trusted is not None:
+            known = known.unionByName(trusted).groupBy("pattern", "kind").agg(F.max("trust").alias("trust"))
+        trusted = written(known, "patterns")
+        now = trusted.count()
+        if now == size:
+            return trusted.select("kind", "pattern")
+        size = now
+        new = rows.where("seed < 0").join(trusted, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.0)) + 1e-9)))).alias("score"))
         scores = written(seeds.unionByName(new.where(F.col("score") >= sure)).groupBy("instance", "kind").agg(F.max("score").alias("score")), "instances")
-    return trusted.select("kind", "pattern")
 
 
 def personal(docs: DataFrame, **options) -> DataFrame:
