@@ -117,19 +117,20 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out, {}, {}
+    return out, [t.content for t in out.get_added_tokens_decoder().values()], {}, {}
 
 
 def encode_batch(texts: list, path: str, pattern: str, end: int, wide: bool) -> list[bytes]:
     """The ids of each text and the end id, packed.
 
     The library's merges never cross the pieces of its byte-level splitter, so each distinct piece is
-    encoded once, as a word of its own, and remembered.
+    encoded once, as a word of its own, and remembered.  The library looks for its added tokens before
+    it splits, so a text that holds the string of one is encoded by it as a whole.
     """
-    tokenizer, known, older = _tokenizer(path)
+    tokenizer, added, known, older = _tokenizer(path)
     split = splitter(pattern)
-    pieces = [split(t) if t else [] for t in texts]
+    whole = {n for n, t in enumerate(texts) if t and any(a in t for a in added)}
+    pieces = [split(t) if t and n not in whole else [] for n, t in enumerate(texts)]
     new = set().union(*pieces).difference(known)
     kind = "I" if wide else "H"
     ask = []
@@ -148,6 +149,8 @@ def encode_batch(texts: list, path: str, pattern: str, end: int, wide: bool) ->
             known[p] = raw[cuts[n] * size : cuts[n + 1] * size]
     last = array(kind, [end]).tobytes()
     out = [b"".join(map(known.__getitem__, row)) + last for row in pieces]
+    for n in whole:
+        out[n] = array(kind, tokenizer.encode(texts[n], add_special_tokens=False).ids).tobytes() + last
     if len(known) > PIECES:
         older.clear()
         older.update(known)
