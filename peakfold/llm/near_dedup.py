@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, Scratch, attach, documents, small_batches, without, written
+from .common import BoundedFilter, Scratch, attach, documents, may_hold, small_batches, without, written
 from .fingerprints import bin_minima, densified
 from .textops import _STEPS, mixed, row_shingles
 
@@ -34,7 +34,7 @@ def _set_id(own: np.ndarray) -> bytes:
 
 
 def _signed(k: int, bands: int, rows: int):
-    """id, n_shingles, set_id and band keys of each text."""
+    """id, n_shingles, set_id and band keys of each text, and the columns after these two as they are."""
 
     def sign(batches):
         for batch in batches:
@@ -46,7 +46,8 @@ def _signed(k: int, bands: int, rows: int):
                 keys = mixed((low * _STEPS[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 full = np.array([len(s) > 0 for s in sets])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]), pa.int32()), pa.array(keys[full].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.binary()), lists], ["id", "n_shingles", "set_id", "bands"])
+                own = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) for s in sets], pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays([*own, *part.columns[2:]], ["id", "n_shingles", "set_id", "bands", *part.schema.names[2:]])
 
     return sign
 
@@ -213,9 +214,19 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
     So no pair that shares a bucket is lost, a group of n near copies makes n edges and not n * n, and
     pairs of components are never rows.
     """
+    out = _grouped(docs, k, percent, bands, rows, scratch, [])
+    comp = F.coalesce("component", "id")
+    null = lambda c: F.nullif(c, F.lit(NO_ID))
+    return out.select(null(F.col("id")).alias("doc_id"), "n_shingles", null(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int, scratch: Scratch | None, more: list) -> DataFrame:
+    """id, n_shingles, set_id, component (its smallest id) and group (its number) of every row, and ``more``, long columns."""
     small_batches(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(base.mapInArrow(_signed(k, bands, rows), "id long, n_shingles long, set_id binary, bands array<long>"), "signed", scratch)
+    names = [f"more{n}" for n in range(len(more))]
+    wide = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), *[c.alias(n) for c, n in zip(more, names)])
+    signed = written(wide.mapInArrow(_signed(k, bands, rows), ", ".join(["id long, n_shingles long, set_id binary, bands array<long>", *[f"{n} long" for n in names]])), "signed", scratch)
     total = signed.count()
     with Scratch(docs.sparkSession) as own_scratch:
         nodes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("label"), F.count("*").alias("n_docs"), F.first("bands").alias("bands"))
@@ -239,25 +250,39 @@ def near_groups(docs: DataFrame, k: int = 3, percent: int = 85, bands: int = BAN
         prefixes = written(_prefixes(members.join(open_keys, "key").select("node").distinct(), sets, percent), "prefixes", own_scratch)
         left = written(_able(prefixes, percent, own_scratch).join(comps, "node"), "able", own_scratch)
         left = written(left.join(written(_several(left), "several", own_scratch), "key"), "open", own_scratch)
-        more = written(_blocks(left, sets).groupBy("key", "i", "j").applyInArrow(_linked(percent), "a long, b long").distinct(), "merges", own_scratch)
-        ends = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-        over = components(ends, more, own_scratch).select(F.col("node").alias("at"), F.col("comp").alias("over"))
+        merges = written(_blocks(left, sets).groupBy("key", "i", "j").applyInArrow(_linked(percent), "a long, b long").distinct(), "merges", own_scratch)
+        ends = merges.select(F.col("a").alias("node")).union(merges.select(F.col("b").alias("node"))).distinct()
+        over = components(ends, merges, own_scratch).select(F.col("node").alias("at"), F.col("comp").alias("over"))
         comps = comps.join(over, comps["comp"] == over["at"], "left").select("node", F.coalesce("over", "comp").alias("comp"))
         linked = slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         smallest = linked.groupBy("comp").agg(F.min("label").alias("component"))
-        found = written(linked.join(smallest, "comp").select("set_id", "n_docs", "component"), "found", scratch)
-    out = attach(signed.select("id", "n_shingles", "set_id"), found, "set_id", "n_docs", total)
-    comp = F.coalesce("component", "id")
-    null = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(null(F.col("id")).alias("doc_id"), "n_shingles", null(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
+        found = written(linked.join(smallest, "comp").select("set_id", "n_docs", "component", F.col("comp").alias("group")), "found", scratch)
+    return attach(signed.select("id", "n_shingles", "set_id", *names), found, "set_id", "n_docs", total)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that their component keeps, with its columns as they are."""
+    """One row of each component of ``docs``, with its columns as they are: that with the smallest doc_id
+    (nulls last), and of several with that the one whose text has the smallest hash.
+
+    Rows are told apart by doc_id and two hashes of the text, so ids may repeat or be null.  Rows equal
+    in both are one document.  Rows without words are in no component and all stay.
+    """
+    hashes = [F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))]
+    own = ["id", "more0", "more1"]
     with Scratch(docs.sparkSession) as scratch:
-        drop = near_groups(docs, k, percent, scratch=scratch).groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("not _kept")
-        drop = written(drop.select("_id", F.xxhash64("_id").alias("_key")), "dropped")
-    return without(docs, F.xxhash64("doc_id"), drop, docs["doc_id"].eqNullSafe(drop["_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows = written(_grouped(docs, k, percent, BANDS, BAND_ROWS, scratch, hashes).where("group is not null").select("group", *own), "grouped", scratch)
+        best = rows.groupBy("group").agg(F.min(F.struct(*own)).alias("best"), F.count("*").alias("n")).where("n > 1")
+        judged = attach(rows, written(best, "best", scratch), "group", "n", rows.count()).where("n > 1")
+        drop = judged.groupBy(*own).agg(F.first(F.struct(*own) == F.col("best")).alias("_kept"), F.count("*").alias("_rows")).where("not _kept or _rows > 1")
+        drop = written(drop.select(F.nullif("id", F.lit(NO_ID)).alias("_id"), F.col("more0").alias("_a"), F.col("more1").alias("_b"), "_kept", F.col("more0").alias("_key")), "dropped")
+    same = docs["doc_id"].eqNullSafe(drop["_id"]) & (hashes[0] == drop["_a"]) & (hashes[1] == drop["_b"])
+    out = without(docs, hashes[0], drop, same)
+    again = drop.where("_kept")
+    if not again.isEmpty():  # rows that repeat and stay, once each
+        may = may_hold(BoundedFilter(again.select("_key"), again.count()))
+        some = docs.withColumn("_pf_key", hashes[0]).where(may("_pf_key")).join(again, (F.col("_pf_key") == F.col("_key")) & same)
+        out = out.unionByName(some.dropDuplicates(["_id", "_a", "_b"]).select(*[docs[f"`{c}`"] for c in docs.columns]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
