@@ -118,9 +118,10 @@ def bucket_of(col, bounds: list):
     cuts = np.array(bounds)
 
     def place(x: pd.Series) -> pd.Series:
-        return pd.Series(np.where(x.isna(), 0, np.searchsorted(cuts, x.fillna(cuts[0] - 1).to_numpy(cuts.dtype), "right")).astype(np.int32))
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(cuts.dtype), "right").astype(np.int32))
 
-    return F.pandas_udf(place, "int")(col)
+    # pandas would hold a batch with a null as floats, which round large ids
+    return F.when(col.isNull(), 0).otherwise(F.pandas_udf(place, "int")(F.coalesce(col, F.lit(bounds[0]))))
 
 
 def _searched(col, bounds: list):
