@@ -20,11 +20,19 @@ NO_ID = -(1 << 63)  # stands for a null id, below all others
 RUN = "shard int, run long, digests binary, ids binary, counts binary, filter binary"
 
 
-def _run_filter(digests: np.ndarray, bits: int) -> np.ndarray:
+def _run_filter(digests: np.ndarray, bits: int) -> bytes:
+    """The filter of a run: the positions of its set bits (4 bytes each), or all bits where that is
+    shorter, so that its size follows the run's entries and not the shard's."""
+    at = np.unique(np.concatenate(list(_bits(digests, bits))))
+    if 4 * len(at) < bits // 8:
+        return at.astype("<u4").tobytes()
     own = np.zeros(bits, bool)
-    for at in _bits(digests, bits):
-        own[at] = True
-    return np.packbits(own)
+    own[at] = True
+    return np.packbits(own).tobytes()
+
+
+def _set_bits(data: bytes, bits: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4") if len(data) < bits // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), count=bits))
 
 
 def _bits(digests: np.ndarray, bits: int):
@@ -38,7 +46,7 @@ def _merged(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray):
     """Sorted by digest, one entry for each: its largest id and the sum of its counts."""
     order = np.lexsort((ids, digests))
     digests, ids, counts = digests[order], ids[order], counts[order]
-    ends = np.flatnonzero(np.append(digests[1:] != digests[:-1], True))
+    ends = np.flatnonzero(np.append(digests[1:] != digests[:-1], True)[: len(digests)])
     return digests[ends], ids[ends], np.diff(np.concatenate([[0], np.cumsum(counts)[ends]]))
 
 
@@ -61,7 +69,7 @@ def flush(shards: int, bits: int):
             cols = [[] for _ in range(6)]
             for shard in np.unique(s):
                 own = s == shard
-                for col, x in zip(cols, (int(shard), run, d[own].tobytes(), i[own].tobytes(), c[own].tobytes(), _run_filter(d[own], bits).tobytes())):
+                for col, x in zip(cols, (int(shard), run, d[own].tobytes(), i[own].tobytes(), c[own].tobytes(), _run_filter(d[own], bits))):
                     col.append(x)
             held, rows, run = [], 0, run + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], ["shard", "run", "digests", "ids", "counts", "filter"])
@@ -82,9 +90,10 @@ def compact(bits: int):
     by; the rest are merged.  Only entries with more than one document come out."""
 
     def merge(table: pa.Table) -> pa.Table:
-        seen = np.zeros(bits, np.int32)
+        seen = np.zeros(bits, np.uint8)  # in how many runs a bit is set, 2 for more
         for f in table.column("filter").to_pylist():
-            seen += np.unpackbits(np.frombuffer(f, np.uint8), count=bits)
+            at = _set_bits(f, bits)
+            seen[at] = np.minimum(seen[at] + 1, 2)
         kept = []
         for d, i, c in zip(*(table.column(x).to_pylist() for x in ("digests", "ids", "counts"))):
             d, i, c = (np.frombuffer(x, np.int64) for x in (d, i, c))
@@ -115,8 +124,10 @@ def grouped(docs: DataFrame, digest=None, scratch: Scratch | None = None) -> Dat
     whose digest has company are verified by their bytes: they are grouped by the text itself, and
     each task reduces its copies first, so a group of any size sends one text a task.
 
-    Equal texts form a group; null counts as empty.  Of a group, the largest doc_id is kept (a null
-    doc_id is below all others).  An empty table gives no rows.
+    Equal texts form a group; null counts as empty, and a very long text is compared whole like any
+    other.  Of a group, the largest doc_id is kept (a null doc_id is below all others).  Rows that repeat
+    are members like others; columns but doc_id and text are left out.  An empty table gives no rows, a
+    table without copies groups of one.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
