@@ -6,6 +6,7 @@ import base64
 import codecs
 import re
 from array import array
+from bisect import bisect_left
 from functools import cache
 from hashlib import sha256
 
@@ -15,10 +16,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 
-from .common import documents, small_batches
+from .common import documents, let_go, small_batches
 
-STATES = 200_000  # determinised states held at once; all are made anew when there are more
-PIECES = 300_000  # encoded pieces in each of two generations that a task remembers
+MOVES = 400_000  # transitions held at once; all are made anew when there are more
+LOOKAHEAD = 32  # bytes not settled from which the machine looks for tokens to emit
+FOLLOWS, SPINES = 100_000, 10_000  # pairs of tokens, and tokens, whose borders are remembered
+LONG = 200  # characters beyond which a piece is not remembered
+PIECES = 130_000  # encoded pieces in each of two generations that a task remembers
+OUT_BYTES, OUT_ROWS = 1 << 20, 500  # ids and rows of a batch that goes out, about
 NEVER = 1 << 40
 
 
@@ -45,46 +50,43 @@ class Transducer:
     would cross their border (:meth:`may_follow`); then of each prefix just one guess ends there, the
     last token of that prefix's own merges.  A state of the deterministic machine is the set of
     configurations alive; its transitions, with the token that ends there, are made when first taken.
-    All configurations alive began within the longest token's bytes, so that is the lookahead after
-    which a token is settled: what they have in common can be emitted (:meth:`stream`).
+    All configurations alive began within the longest token's bytes, so that and ``LOOKAHEAD`` bound
+    the bytes after which a token is out, however long the piece: what all of them agree on is emitted.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes = {n: t for t, n in ranks.items()}
-        self.parts: dict[int, tuple[int, int]] = {}  # of a merged token
-        self.merge: dict[tuple[int, int], int] = {}
+        size = max(ranks.values(), default=-1) + 1
+        self.bytes: list[bytes] = [b""] * size
+        self.parts = array("i", [-1]) * size, array("i", [-1]) * size  # of a merged token, left and right
+        merge: dict[int, int] = {}
         usable = {n for t, n in ranks.items() if len(t) == 1}
         for token, n in sorted(ranks.items(), key=lambda x: x[1]):
-            if len(token) > 1 and len(two := self._merged(token, n)) == 2:
-                self.parts[n] = two
-                self.merge[two] = n
+            self.bytes[n] = token
+            if len(token) > 1 and len(two := self._merged(token, n, merge)) == 2:
+                self.parts[0][n], self.parts[1][n] = two
+                merge[two[0] << 20 | two[1]] = n
                 usable.add(n)
-        self.step: dict[int, int] = {}  # trie: node and byte to node
-        self.ends = [-1]
-        for token, n in ranks.items():
-            node = 0
-            for b in token:
-                nxt = self.step.setdefault(node << 8 | b, len(self.ends))
-                if nxt == len(self.ends):
-                    self.ends.append(-1)
-                node = nxt
-            self.ends[node] = n if n in usable else -1
-        self.inner = {k >> 8 for k in self.step}
-        self.size = {n: len(t) for t, n in ranks.items()}
-        self.depth = [0] * len(self.ends)
-        for key, node in self.step.items():
-            self.depth[node] = self.depth[key >> 8] + 1
-        self.left: dict[int, list] = {}
-        self.right: dict[int, list] = {}
+        self.merge, self.size = merge, array("i", map(len, self.bytes))
+        # trie: nodes by depth and then by prefix, so that the children of a node are a run of ``labels``
+        # and the child at place i of it is node i + 1
+        prefixes = sorted({t[:i] for t in ranks for i in range(1, len(t) + 1)}, key=lambda p: (len(p), p))
+        place = {p: n for n, p in enumerate([b"", *prefixes])}
+        self.labels, self.depth = bytes(p[-1] for p in prefixes), array("i", [0, *map(len, prefixes)])
+        children = np.bincount([place[p[:-1]] for p in prefixes], minlength=len(place)) if prefixes else np.zeros(1, int)
+        self.first = array("i", np.concatenate([[0], np.cumsum(children)]).astype(np.int32).tobytes())
+        self.ends = array("i", [-1]) * len(place)
+        for n in usable:
+            self.ends[place[self.bytes[n]]] = n
         self.follow: dict[int, bool] = {}
+        self.spines: dict[int, list] = {}
         self._reset()
 
-    def _merged(self, token: bytes, below: int) -> tuple[int, ...]:
+    def _merged(self, token: bytes, below: int, merge: dict[int, int]) -> tuple[int, ...]:
         """The token's parts by the merges of a lower rank."""
         parts = [self.ranks[token[i : i + 1]] for i in range(len(token))]
         while len(parts) > 2:
-            best, at = min((self.merge.get((a, b), NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            best, at = min((merge.get(a << 20 | b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if best >= below:
                 break
             parts[at : at + 2] = [best]
@@ -92,17 +94,18 @@ class Transducer:
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """From the border byte up: (token, rank of the merge that takes it up)."""
-        held = self.left if side == 0 else self.right
-        if token not in held:
-            out, up = [], NEVER
-            while True:
+        key = token << 1 | side
+        out = self.spines.get(key)
+        if out is None:
+            out, up, parts = [], NEVER, self.parts[side]
+            while token >= 0:
                 out.append((token, up))
-                if token not in self.parts:
-                    break
-                token, up = self.parts[token][side], token
-            held[out[0][0]] = out[::-1]
-            token = out[0][0]
-        return held[token]
+                token, up = parts[token], token
+            out.reverse()
+            if len(self.spines) > SPINES:
+                self.spines.clear()
+            self.spines[key] = out
+        return out
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the merges of a's bytes then b's bytes end as a, b: climb both borders in the order
@@ -113,7 +116,7 @@ class Transducer:
             one, two, i, j, known = self._spine(a, 1), self._spine(b, 0), 0, 0, True
             while True:
                 (x, up_x), (y, up_y) = one[i], two[j]
-                across = self.merge.get((x, y), NEVER)
+                across = self.merge.get(x << 20 | y, NEVER)
                 if across < up_x and across <= up_y and across != NEVER:
                     known = False
                     break
@@ -123,7 +126,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.follow) > 2_000_000:
+            if len(self.follow) > FOLLOWS:
                 self.follow.clear()
             self.follow[key] = known
         return known
@@ -143,86 +146,112 @@ class Transducer:
     def _move(self, state: int, byte: int) -> int:
         """The next state and the token that ends here, in one number.  A configuration is the node and,
         in the low bits, the token before it plus one."""
-        step, ends, inner, follow, out, ended = self.step, self.ends, self.inner, self.follow, [], -1
-        for alive in self.states[state]:
-            node = step.get(alive >> 20 << 8 | byte)
-            if node is None:
+        known, first, labels, ends = self.states[state], self.first, self.labels, self.ends
+        if len(self.moves) >= MOVES:
+            self._reset()
+            state = self._number(known)
+        out, ended = [], -1
+        for alive in known:
+            node, before = alive >> 20, alive & 0xFFFFF
+            at, end = first[node], first[node + 1]
+            at = bisect_left(labels, byte, at, end)
+            if at == end or labels[at] != byte:
                 continue
-            before = alive & 0xFFFFF
-            if node in inner:
+            node = at + 1
+            if first[node] < first[node + 1]:
                 out.append(node << 20 | before)
-            if ended < 0 and (token := ends[node]) >= 0:
-                if before:
-                    fits = follow.get(before - 1 << 20 | token)
-                    if fits is None:
-                        fits = self.may_follow(before - 1, token)
-                    if not fits:
-                        continue
+            if ended < 0 and (token := ends[node]) >= 0 and (not before or self.may_follow(before - 1, token)):
                 ended = token
-        found = self._number((ended + 1, *out)) << 20 | ended
-        self.moves[state << 8 | byte] = found
+        if ended < 0:
+            raise ValueError(f"no token ends with byte {byte}")
+        found = self.moves[state << 8 | byte] = self._number((ended + 1, *out)) << 20 | ended
         return found
 
-    def _ends(self, piece: bytes) -> list[int]:
-        """The token that ends each prefix."""
-        if len(self.states) > STATES:
-            self._reset()
-        moves, state, out = self.moves, 0, []
+    def _settled(self, state: int, ends: list[int]) -> list[int]:
+        """The tokens that no configuration alive can change, which leave ``ends``, the token that ends at
+        each byte since the last one that left."""
+        paths, n = [], len(ends)
+        for alive in self.states[state]:
+            at, path = n - self.depth[alive >> 20], []
+            while at > 0:
+                path.append(at)
+                at -= self.size[ends[at - 1]]
+            paths.append(path[::-1])
+        out, done = [], 0
+        for borders in zip(*paths):
+            if len(set(borders)) > 1:
+                break
+            done = borders[0]
+            out.append(ends[done - 1])
+        del ends[:done]
+        return out
+
+    def _walked(self, ends: list[int]) -> list[int]:
+        at, out, size = len(ends), [], self.size
+        while at:
+            out.append(ends[at - 1])
+            at -= size[out[-1]]
+        out.reverse()
+        return out
+
+    def stream(self, piece):
+        """Ids of an iterable of bytes, each as soon as no configuration alive can change it (looked for
+        each time that ``LOOKAHEAD`` more bytes are read)."""
+        moves, state, ends, wait = self.moves, 0, [], LOOKAHEAD
         for byte in piece:
             found = moves.get(state << 8 | byte)
             if found is None:
                 found = self._move(state, byte)
+                moves = self.moves
             state = found >> 20
-            out.append(found & 0xFFFFF)
-        return out
+            ends.append(found & 0xFFFFF)
+            if len(ends) >= wait:
+                yield from self._settled(state, ends)
+                wait = len(ends) + LOOKAHEAD
+        yield from self._walked(ends)
 
     def encode(self, piece: bytes) -> list[int]:
-        """The ids of one piece; a piece that is a token is that token."""
+        """The ids of one piece; a piece that is a token is that token, any other one is streamed."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ends, at, out, size = self._ends(piece), len(piece), [], self.size
-        while at:
-            out.append(ends[at - 1])
-            at -= size[ends[at - 1]]
-        return out[::-1]
-
-    def stream(self, piece):
-        """Ids of an iterable of bytes, each as soon as no alive configuration can change it."""
-        state, ends, done, first = 0, [], 0, 0
-        for n, byte in enumerate(piece, 1):
-            found = self.moves.get(state << 8 | byte) or self._move(state, byte)
+        if len(piece) >= LOOKAHEAD:
+            return list(self.stream(piece))
+        moves, state, ends = self.moves, 0, []  # nothing is settled before the end
+        for byte in piece:
+            found = moves.get(state << 8 | byte)
+            if found is None:
+                found = self._move(state, byte)
+                moves = self.moves
             state = found >> 20
             ends.append(found & 0xFFFFF)
-            paths = []
-            for alive in self.states[state]:
-                at, path = n - self.depth[alive >> 20], []
-                while at > done:
-                    path.append(at)
-                    at -= self.size[ends[at - 1 - first]]
-                paths.append(path[::-1])
-            for borders in zip(*paths):
-                if len(set(borders)) > 1:
-                    break
-                yield ends[borders[0] - 1 - first]
-                done = borders[0]
-            del ends[: max(0, done - first)]
-            first = max(first, done)
-        at, rest = first + len(ends), []
-        while at > done:
-            rest.append(ends[at - 1 - first])
-            at -= self.size[rest[-1]]
-        yield from reversed(rest)
+        return self._walked(ends)
 
 
 class StreamDecoder:
     """Ids in, text out, a part at a time: a character whose bytes are not all there waits for the rest."""
 
-    def __init__(self, tokens: dict[int, bytes], errors: str = "strict"):
+    def __init__(self, tokens: "Spelling", errors: str = "strict"):
         self.tokens, self.machine = tokens, codecs.getincrementaldecoder("utf-8")(errors)
 
     def feed(self, ids, last: bool = False) -> str:
-        return self.machine.decode(b"".join(map(self.tokens.__getitem__, ids)), last)
+        return self.machine.decode(self.tokens.joined(np.asarray(ids, np.int64)), last)
+
+
+class Spelling:
+    """The bytes of all tokens, one after the other."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        place = np.cumsum(size)
+        if not len(ids):
+            return b""
+        return self.data[np.repeat(self.start[ids] - place + size, size) + np.arange(place[-1])].tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -235,13 +264,15 @@ class _Pieces(dict):
 
     def __init__(self, machine: Transducer):
         super().__init__()
-        self.machine, self.older = machine, {}
+        self.machine, self.spelling, self.older = machine, Spelling(machine.bytes), {}
 
     def forget(self) -> None:
         self.clear()
         self.older = {}
         self.machine.follow.clear()
+        self.machine.spines.clear()
         self.machine._reset()
+        let_go()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > PIECES:
@@ -250,7 +281,8 @@ class _Pieces(dict):
         found = self.older.get(piece)
         if found is None:
             found = array("I", self.machine.encode(piece.encode())).tobytes()
-        self[piece] = found
+        if len(piece) <= LONG:
+            self[piece] = found
         return found
 
 
@@ -273,31 +305,38 @@ def _coder(path: str, pattern: str, with_ids: bool):
 
     def coded(batches):
         pieces, findall = _loaded(path), splitter(pattern)
-        tokens = pieces.machine.bytes
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                n, sums, decoded, ids = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    packed = encode_text(text, pieces, findall) if text else b""
-                    numbers = np.frombuffer(packed, "<u4")
-                    stream, digest = StreamDecoder(tokens), sha256()
-                    for at in range(0, len(numbers), 1 << 16):
-                        digest.update(stream.feed(numbers[at : at + (1 << 16)].tolist()).encode())
-                    digest.update(stream.feed((), True).encode())
-                    n.append(len(numbers))
-                    sums.append(sha256(packed).hexdigest())
-                    decoded.append(digest.hexdigest())
-                    ids.append(packed)
-                more = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))] if with_ids else []
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums), pa.array(decoded), *more], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            names, rows, size = batch.column("doc_id"), [], 0
+            for at, text in enumerate(batch.column("text")):
+                packed = encode_text(text.as_py(), pieces, findall) if text.is_valid else b""
+                numbers = np.frombuffer(packed, "<u4")
+                stream, digest = StreamDecoder(pieces.spelling), sha256()
+                for start in range(0, len(numbers), 1 << 14):
+                    digest.update(stream.feed(numbers[start : start + (1 << 14)]).encode())
+                digest.update(stream.feed((), True).encode())
+                rows.append((len(numbers), sha256(packed).hexdigest(), digest.hexdigest(), packed if with_ids else b""))
+                size += len(packed)
+                if size >= OUT_BYTES or len(rows) >= OUT_ROWS or at == batch.num_rows - 1:
+                    yield made(names.slice(at + 1 - len(rows), len(rows)), rows)
+                    rows, size = [], 0
+
+    def made(names, rows):
+        n, sums, decoded, ids = zip(*rows)
+        cols = [names, pa.array(n, pa.int64()), pa.array(sums), pa.array(decoded)]
+        if with_ids:
+            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return code
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every text; null counts as empty, and an
-    empty text has no ids.  ``path``: a rank file that all workers can read."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every text.  ``path``: a rank file that
+    all workers can read.
+
+    Null counts as empty, and an empty text has no ids; a very long text, or a very long piece of one,
+    is read whole, in memory of about 30 times its bytes; rows that repeat are each encoded, null ids
+    stay; columns but doc_id and text are left out; an empty table gives no rows."""
     import public_tokenizers
 
     small_batches(docs.sparkSession)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,15 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def let_go() -> None:
+    """Give memory that is free in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -117,11 +126,11 @@ def bucket_of(col, bounds: list):
         return F.when(col.isNull(), 0).otherwise(_searched(col, bounds))
     cuts = np.array(bounds)
 
-    def place(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, x.to_numpy(cuts.dtype), "right").astype(np.int32))
+    def place(x: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, x.to_numpy(zero_copy_only=False), "right").astype(np.int32))
 
-    # pandas would hold a batch with a null as floats, which round large ids
-    return F.when(col.isNull(), 0).otherwise(F.pandas_udf(place, "int")(F.coalesce(col, F.lit(bounds[0]))))
+    # an array with nulls would become floats, which round large ids
+    return F.when(col.isNull(), 0).otherwise(F.arrow_udf(place, "int")(F.coalesce(col, F.lit(bounds[0]))))
 
 
 def _searched(col, bounds: list):
@@ -232,7 +241,7 @@ def without(docs: DataFrame, key, dropped: DataFrame, same) -> DataFrame:
 def may_hold(found: BoundedFilter):
     """Whether a 64-bit column's value may be in the filter, as a function of a column."""
 
-    def hits(keys: pd.Series) -> pd.Series:
-        return pd.Series(found.may_hold(keys.to_numpy()))
+    def hits(keys: pa.Array) -> pa.Array:
+        return pa.array(found.may_hold(keys.to_numpy(zero_copy_only=False)))
 
-    return F.pandas_udf(hits, "boolean")
+    return F.arrow_udf(hits, "boolean")
