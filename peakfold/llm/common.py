@@ -216,9 +216,10 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     cold = right.where(F.col(weight) < many).select(F.col(key).alias("_key"), F.lit(True).alias("_cold"), *cols)
     out = left.join(F.broadcast(hot), key, "left")
     is_hot = F.col(f"_hot_{weight}").isNotNull()
-    deal = F.monotonically_increasing_id()
+    deal, kind = F.monotonically_increasing_id(), dict(left.dtypes)[key]
+    deal = {"binary": deal.cast("string").cast("binary"), "string": deal.cast("string")}.get(kind, deal)
     # a hot row's key only deals it out; the second condition keeps it from meeting a cold row
-    out = out.withColumn("_deal", F.when(is_hot, deal.cast("string").cast("binary") if dict(left.dtypes)[key] == "binary" else deal).otherwise(F.col(key)))
+    out = out.withColumn("_deal", F.when(is_hot, deal).otherwise(F.col(key)))
     out = out.withColumn("_open", ~is_hot)
     out = out.join(cold, (F.col("_deal") == F.col("_key")) & (F.col("_open") == F.col("_cold")), "left")
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in cols])

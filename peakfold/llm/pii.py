@@ -1,4 +1,4 @@
-"""Personal data: fixed patterns as seeds, bootstrapped contexts for the rest."""
+"""Personal data and secrets: fixed patterns as seeds, bootstrapped contexts for the rest."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, written
+from .common import attach, documents, small_batches, written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = 4  # the kinds of the fixed patterns; the method adds spans of these and secrets
 
 # The patterns whose matches must be found.  The lookbehind only keeps a run of digits
 # from being tried again from its middle, where it must fail as well.
@@ -25,13 +26,18 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ANY = re.compile(r"[0-9@]")
 _NUMERIC = re.compile(r"[0-9][0-9()+./\x20-]*[0-9]")
 _AT = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}")
-_WORDS = re.compile(r"[^\W\d_]+")
-_DIGIT = re.compile(r"[0-9]")
-
-CONTEXT = 80  # characters before an identifier in which its context words are looked for
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,512}(?![A-Za-z0-9_-])")
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?[\x20\t]{0,8}[:=][\x20\t]{0,8}[\"'][\"']?", re.I)  # names that seed secrets
+_TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_RUNS = re.compile(r"[0-9]+|[A-Za-z]+")
+
+CONTEXT = 80  # characters on either side of an identifier in which its context is looked for
+MARKS = 3  # punctuation marks between an identifier and its context word, at most
 SUPPORT = 5  # distinct known instances of a kind that a pattern must have
+GENERIC = 3  # kinds of seeds from which a pattern says nothing on the kind
 SURE = 0.9  # confidence from which patterns and instances count
-UNKNOWN = 0.1  # what an instance of which nothing is known counts against a pattern, a known one of another kind being 1
+UNKNOWN = 0.1  # what an instance of which nothing is known counts against a pattern, one known to be none of the kind being 1
 
 
 def luhn(digits: str) -> bool:
@@ -63,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(a, 0, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := re.sub(r"[^0-9]", "", m[0])) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -76,18 +82,61 @@ def digest(spans) -> str:
     return sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
 
 
-def _shapes(number: str) -> int:
-    """The kinds that a number could be by its digits and points, as bits."""
-    n = len(re.sub(r"[^0-9]", "", number))
-    return 0 if n < 7 else (1 << 3) * (n <= 15) | (1 << 2) * (12 <= n <= 19) | (1 << 1) * (number.count(".") >= 3)
+def _shapes(number: str) -> tuple[int, int]:
+    """The kinds that a number could be by its digits and points, and those that it is known not to be, as bits."""
+    digits = re.sub(r"[^0-9]", "", number)
+    n = len(digits)
+    if n < 7:
+        return 0, 0
+    card = (12 <= n <= 19) << 2
+    points = (number.count(".") >= 3) << 1
+    address = points and all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in re.findall(r"[0-9]+", number))
+    fails = (card if not luhn(digits) else 0) | (points if not address else 0)
+    return (((n <= 15) << 3) | card | points) & ~fails, fails
+
+
+def secrets(text: str):
+    """Strings in quotes that are given a name such as token or password."""
+    for m in _NAMED.finditer(text):
+        if found := _KEY.match(text, m.end()):
+            if _DIGIT.search(found[0]) and _LETTER.search(found[0]):
+                yield found.start(), found.end()
+
+
+def contexts(text: str, a: int, b: int) -> list[str]:
+    """The patterns around text[a:b]: the word before it, the two words before, those
+    before and after, the word before with the string's shape, and the word after if marks stand in
+    between; each with these marks."""
+    left = [x.lower() for x in _TOKENS.findall(text[max(0, a - CONTEXT) : a])]
+    right = [x.lower() for x in _TOKENS.findall(text[b : b + CONTEXT])[: MARKS + 1]]
+    words = [n for n, x in enumerate(left) if x[0].isalpha()]
+    after = next((n for n, x in enumerate(right) if x[0].isalpha()), None)
+    out = []
+    if words and len(left) - words[-1] - 1 <= MARKS:
+        one = " ".join(left[words[-1] :])
+        out.append(f"before {one}")
+        out.append(f"shape {one} {_RUNS.sub(lambda m: '9' if m[0][0].isdigit() else 'a', text[a : min(b, a + CONTEXT)])}")
+        if len(words) > 1:
+            out.append(f"before {' '.join(left[words[-2] :][: 2 * MARKS + 2])}")
+        if after is not None:
+            out.append(f"around {one} _ {' '.join(right[: after + 1])}")
+    if after:
+        out.append(f"after {' '.join(right[: after + 1])}")
+    return out
 
 
 def candidates(text: str, spans) -> list[tuple]:
-    """(context patterns, instance, kinds it could be as bits, seed kind or -1, start, end) of the seeds
-    and of other strings that look like an identifier and overlap no seed."""
-    found = [(a, b, 1 << k | (_shapes(text[a:b]) if k else 0), k) for a, k, b in spans]
+    """(context patterns, instance, kinds it could be as bits, kinds it is not as bits, seed kind or -1,
+    start, end) of the seeds (the spans given and named secrets) and of other strings that look like an
+    identifier and overlap no seed."""
+    found = []
+    for a, k, b in spans:
+        could, fails = _shapes(text[a:b]) if k else (0, 0)
+        found.append((a, b, 1 << k | could, fails & ~(1 << k), k))
+    named = [(a, b) for a, b in secrets(text)]
+    found += [(a, b, 16, 0, 4) for a, b in named]
     starts, ends = [], []  # of the seeds' union
-    for a, _, b in spans:
+    for a, b in sorted([(a, b) for a, _, b in spans] + named):
         if ends and a <= ends[-1]:
             ends[-1] = max(ends[-1], b)
         else:
@@ -98,99 +147,120 @@ def candidates(text: str, spans) -> list[tuple]:
         n = bisect_left(starts, b)
         return n == 0 or ends[n - 1] <= a
 
+    def apart(a: int, b: int) -> bool:
+        return not (text[a - 1 : a].isalnum() if a else False) and not text[b : b + 1].isalnum()
+
     for m in _NUMERIC.finditer(text):
-        if (kinds := _shapes(m[0])) and free(m.start(), m.end()):
-            found.append((m.start(), m.end(), kinds, -1))
+        if any(kinds := _shapes(m[0])) and apart(m.start(), m.end()) and free(m.start(), m.end()):
+            found.append((m.start(), m.end(), *kinds, -1))
     if "@" in text:
-        found += [(m.start(), m.end(), 1, -1) for m in _AT.finditer(text) if free(m.start(), m.end())]
-    out = []
-    for a, b, kinds, seed in found:
-        words = [w.lower() for w in _WORDS.findall(text[max(0, a - CONTEXT) : a])[-2:]]
-        if words:
-            out.append(([words[-1]] + [" ".join(words)] * (len(words) > 1), text[a:b], kinds, seed, a, b))
-    return out
+        found += [(m.start(), m.end(), 1, 0, -1) for m in _AT.finditer(text) if free(m.start(), m.end())]
+    for m in _KEY.finditer(text):
+        if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and free(m.start(), m.end()):
+            found.append((m.start(), m.end(), 16, 0, -1))
+    return [(contexts(text, a, b), text[a:b], kinds, fails, seed, a, b) for a, b, kinds, fails, seed in found]
 
 
+_FIELDS = ("patterns", "instance", "kinds", "fails", "seed", "start", "end")
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CAND = pa.struct([("patterns", pa.list_(pa.string())), ("instance", pa.string()), ("kinds", pa.int32()), ("seed", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-_OUT = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>, found array<struct<patterns:array<string>,instance:string,kinds:int,seed:int,start:long,end:long>>"
+_CAND = pa.struct(list(zip(_FIELDS, (pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))))
+_OUT = ", ".join(f"n_{k} long" for k in KINDS[:BASE_KINDS]) + ", base_sha256 string, base array<struct<start:long,kind:int,end:long>>"
+_OUT += ", found array<struct<patterns:array<string>,instance:string,kinds:int,fails:int,seed:int,start:long,end:long>>"
 
 
 def _find(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            spans = [base_spans(t) if t and _ANY.search(t) else [] for t in part.column("text").to_pylist()]
-            found = [candidates(t, s) if t and _ANY.search(t) else [] for t, s in zip(part.column("text").to_pylist(), spans)]
-            counts = [pa.array([sum(k == n for _, k, _ in s) for s in spans], pa.int64()) for n in range(len(KINDS))]
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = part.column("text").to_pylist()
+            spans = [base_spans(t) if t and _ANY.search(t) else [] for t in texts]
+            found = [candidates(t, s) if t and _ANY.search(t) else [] for t, s in zip(texts, spans)]
+            counts = [pa.array([sum(k == n for _, k, _ in s) for s in spans], pa.int64()) for n in range(BASE_KINDS)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("row"), part.column("doc_id"), *counts, pa.array([digest(s) for s in spans]),
                     pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in spans], pa.list_(_SPAN)),
-                    pa.array([[dict(zip(("patterns", "instance", "kinds", "seed", "start", "end"), c)) for c in f] for f in found], pa.list_(_CAND)),
+                    pa.array([[dict(zip(_FIELDS, c)) for c in f] for f in found], pa.list_(_CAND)),
                 ],
-                ["row", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "found"],
+                ["row", "doc_id", *[f"n_{k}" for k in KINDS[:BASE_KINDS]], "base_sha256", "base", "found"],
             )
 
 
 def bootstrapped(found: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
-    """kind, pattern: the contexts to trust.  ``found``: pattern, instance, kinds, seed.
-
-    The graph joins patterns (the one or two words before an identifier) and instances, for each kind
-    that an instance could be by its shape.  Seeds have score 1 for their kind and are known not to be
-    of another.  Each round, a pattern's confidence for a kind is the sum of its known instances' scores
-    over that sum, the number of seeds of other kinds and ``UNKNOWN`` times the number of the rest;
-    instances that cannot be of the kind do not count.  Patterns with enough known instances and
-    confidence pass it on, and an instance of several trusted patterns is wrong only if all of them are.
-    A trusted pattern stays trusted, and rounds go on until none is added.
+    """node, n: the contexts to trust, as kind:pattern, and the number of distinct instances of each.
+    ``found``: pattern, instance, kinds, fails, seed.
+
+    The graph joins patterns (the words around an identifier) and instances, for each kind that an
+    instance could be by its shape.  Seeds have score 1 for their kind and are known not to be of
+    another, as are strings that fail the kind's check (Luhn, parts of an address).  Each round, a
+    pattern's confidence for a kind is the sum of its known instances' scores over that sum, the number
+    of instances known to be none and ``UNKNOWN`` times the number of the rest.  Patterns with enough
+    known instances and confidence, unless seeds of ``GENERIC`` kinds have them, pass it on, and an instance of several trusted patterns is wrong only
+    if all of them are.  A trusted pattern stays trusted, and rounds go on until none is added.
     """
-    edges = written(found.groupBy("pattern", "instance").agg(F.bit_or("kinds").alias("kinds"), F.max("seed").alias("seed")), "graph")
+    edges = written(found.groupBy("pattern", "instance").agg(F.bit_or("kinds").alias("kinds"), F.bit_or("fails").alias("fails"), F.max("seed").alias("seed")), "graph")
     kinds = F.explode(F.array(*[F.lit(n) for n in range(len(KINDS))]))
-    rows = edges.withColumn("kind", kinds).where(F.expr("seed = kind or (kinds & shiftleft(1, kind)) > 0"))
-    seeds = rows.where("seed = kind").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    scores, trusted, size = seeds, None, 0
+    rows = edges.withColumn("kind", kinds).where(F.expr("seed = kind or ((kinds | fails) & shiftleft(1, kind)) > 0"))
+    other = F.expr("seed >= 0 and seed != kind or seed < 0 and (fails & shiftleft(1, kind)) > 0")
+    key = lambda c: F.concat_ws(":", "kind", c)
+    rows = written(rows.select(key("pattern").alias("node"), key("instance").alias("leaf"), (F.col("seed") == F.col("kind")).alias("seed"), other.alias("other")), "nodes")
+    total = rows.count()
+    # a pattern or an instance may have a large share of all edges, so the joins deal these by chance
+    leaves = written(rows.groupBy("leaf").agg(F.bool_or("seed").alias("seed"), F.count("*").alias("edges")), "leaves")
+    nodes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")).withColumn("pattern", F.expr("substr(node, 3)")), "degrees")
+    generic = nodes.where("seed").groupBy("pattern").count().where(f"count >= {GENERIC}")
+    nodes = written(nodes.join(generic, "pattern", "left_anti").select("node", "n"), "specific")
+    scores, trusted, size = leaves.where("seed").select("leaf", "edges", F.lit(1.0).alias("score")), None, 0
     while True:
-        known = rows.join(scores, ["instance", "kind"], "left").withColumn("other", (F.col("seed") >= 0) & (F.col("seed") != F.col("kind")))
-        known = known.withColumn("score", F.when(~F.col("other"), F.col("score")))
-        known = known.groupBy("pattern", "kind").agg(
+        known = attach(rows, scores, "leaf", "edges", total).withColumn("score", F.when(~F.col("other"), F.col("score")))
+        known = known.groupBy("node").agg(
             F.sum("score").alias("score"), F.count("score").alias("have"), F.sum(F.col("other").cast("int")).alias("others"), F.sum((F.col("score").isNull() & ~F.col("other")).cast("int")).alias("unknown")
         )
         known = known.where(F.col("have") >= support).withColumn("trust", F.col("score") / (F.col("score") + F.col("others") + UNKNOWN * F.col("unknown")))
-        known = known.where(F.col("trust") >= sure).select("pattern", "kind", "trust")
+        known = known.where(F.col("trust") >= sure).select("node", "trust")
         if trusted is not None:
-            known = known.unionByName(trusted).groupBy("pattern", "kind").agg(F.max("trust").alias("trust"))
-        trusted = written(known, "patterns")
+            known = known.unionByName(trusted.select("node", "trust")).groupBy("node").agg(F.max("trust").alias("trust"))
+        trusted = written(known.join(nodes, "node"), "patterns")
         now = trusted.count()
         if now == size:
-            return trusted.select("kind", "pattern")
+            return trusted.select("node", "n")
         size = now
-        new = rows.where("seed < 0").join(trusted, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.0)) + 1e-9)))).alias("score"))
-        scores = written(seeds.unionByName(new.where(F.col("score") >= sure)).groupBy("instance", "kind").agg(F.max("score").alias("score")), "instances")
+        new = attach(rows.where("not seed and not other"), trusted, "node", "n", total).where("trust is not null")
+        new = new.groupBy("leaf").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.0)) + 1e-9)))).alias("score")).where(F.col("score") >= sure)
+        both = leaves.where("seed").select("leaf", F.lit(1.0).alias("score")).unionByName(new)
+        scores = written(both.groupBy("leaf").agg(F.max("score").alias("score")).join(leaves.select("leaf", "edges"), "leaf"), "instances")
 
 
 def personal(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every document.
 
-    The counts and base_sha256 are those of the fixed patterns; spans lists these and what the trusted
-    contexts add, as kind:start:end in code points, by start and then kind.  An addition has the shape
-    of its kind (digits in number, or an @) and overlaps no span of the fixed patterns.
+    The counts and base_sha256 are those of the fixed patterns; spans lists these and what the method
+    adds, as kind:start:end in code points, by start and then kind: named secrets, which seed a kind of
+    their own, and what the trusted contexts find.  Such a find has the shape of its kind, passes its
+    check (Luhn, parts of an address) and overlaps no seed.  n_spans is their number.
 
-    Null text is empty; documents without identifiers have zeros and empty spans; rows that repeat are
-    each searched; an empty table gives no rows.
+    Null text is empty; documents without identifiers have zeros and empty spans; a very long text is
+    searched whole, and a context is the ``CONTEXT`` characters on either side; rows that repeat are each
+    searched; columns but doc_id and text are left out; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     base = written(rows.mapInArrow(_find, f"row long, doc_id {kind}, {_OUT}"), "identifiers")
     found = base.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    each = found.select("row", F.explode("patterns").alias("pattern"), "instance", "kinds", "seed", "start", "end")
-    trusted = bootstrapped(each.select("pattern", "instance", "kinds", "seed"), **options)
-    more = each.where("seed < 0").join(trusted, "pattern").where(F.expr("(kinds & shiftleft(1, kind)) > 0"))
-    more = more.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
+    each = found.select("row", F.explode("patterns").alias("pattern"), "instance", "kinds", "fails", "seed", "start", "end")
+    trusted = bootstrapped(each.drop("row", "start", "end"), **options)
+    kinds = F.explode(F.filter(F.array(*[F.lit(n) for n in range(len(KINDS))]), lambda k: F.col("kinds").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0))
+    open_ = each.where("seed < 0").select("row", "pattern", "start", "end", kinds.alias("kind"))
+    open_ = open_.withColumn("node", F.concat_ws(":", "kind", "pattern"))
+    sizes = open_.groupBy("node").agg(F.count("*").alias("n")).join(trusted.select("node"), "node").withColumn("trusted", F.lit(True))
+    more = attach(open_, written(sizes, "trusted"), "node", "n", found.count()).where("trusted").select("row", "start", "kind", "end")
+    secret = found.where(f"seed >= {BASE_KINDS}").select("row", "start", F.col("seed").alias("kind"), "end")
+    more = more.unionByName(secret).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    return base.join(more, "row", "left").select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", text.alias("spans"))
+    return base.join(more, "row", "left").select("doc_id", *[f"n_{k}" for k in KINDS[:BASE_KINDS]], "base_sha256", text.alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

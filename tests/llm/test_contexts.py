@@ -1,14 +1,111 @@
-"""Contexts that precede more than seeds of one kind."""
+"""Bootstrapping: against plain Python over the same graph, and on planted contexts."""
+
+import math
+import random
+from collections import defaultdict
 
 from peakfold.llm import pii
 
 
+def brute(rows):
+    """doc_id to spans, by loops over the whole graph."""
+    found = {i: (pii.base_spans(t or ""), pii.candidates(t or "", pii.base_spans(t or ""))) for i, t in rows}
+    edges = {}
+    for _, cands in found.values():
+        for patterns, inst, kinds, fails, seed, _, _ in cands:
+            for p in patterns:
+                k, f, s = edges.get((p, inst), (0, 0, -1))
+                edges[p, inst] = k | kinds, f | fails, max(s, seed)
+    graph = defaultdict(dict)  # by kind and pattern: instance to whether a seed, whether known to be none
+    for (p, inst), (kinds, fails, seed) in edges.items():
+        for k in range(5):
+            if seed == k or (kinds | fails) >> k & 1:
+                graph[k, p][inst] = seed == k, (seed >= 0 and seed != k) or (seed < 0 and fails >> k & 1)
+    generic = {p for _, p in graph if sum(any(s for s, _ in graph.get((k, p), {}).values()) for k in range(5)) >= pii.GENERIC}
+    seeds = {(k, inst): 1.0 for (k, _), own in graph.items() for inst, (s, _) in own.items() if s}
+    scores, trusted = dict(seeds), {}
+    while True:
+        before = len(trusted)
+        for (k, p), own in graph.items():
+            known = [scores[k, i] for i, (_, other) in own.items() if not other and (k, i) in scores]
+            others = sum(bool(other) for _, other in own.values())
+            trust = sum(known) / (sum(known) + others + pii.UNKNOWN * (len(own) - len(known) - others)) if known else 0
+            if len(known) >= pii.SUPPORT and trust >= pii.SURE and p not in generic:
+                trusted[k, p] = max(trust, trusted.get((k, p), 0))
+        if len(trusted) == before:
+            break
+        wrong = defaultdict(float)
+        for (k, p), trust in trusted.items():
+            for i, (seed, other) in graph[k, p].items():
+                if not seed and not other:
+                    wrong[k, i] += math.log(max(1 - trust, 0) + 1e-9)
+        scores = seeds | {x: max(seeds.get(x, 0), 1 - math.exp(w)) for x, w in wrong.items() if 1 - math.exp(w) >= pii.SURE}
+    out = {}
+    for i, (base, cands) in found.items():
+        spans = set(base) | {(a, s, b) for _, _, _, _, s, a, b in cands if s >= 4}
+        spans |= {(a, k, b) for patterns, _, kinds, _, s, a, b in cands for k in range(5) if s < 0 and kinds >> k & 1 and any((k, p) in trusted for p in patterns)}
+        out[i] = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return out
+
+
+def number(r, n):
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def card(r, n):
+    start = number(r, n - 1)
+    return next(start + d for d in "0123456789" if pii.luhn(start + d))
+
+
+def planted():
+    """Identifiers in forms that the patterns know and, in the same contexts, in forms that they miss; and decoys."""
+    r, rows, hidden, decoys = random.Random(7), [], {}, set()
+    fill = lambda: " ".join(r.choice("der and la que with from entre sobre".split()) for _ in range(r.randint(3, 9)))
+    forms = [
+        ("mobile: ", lambda: f"+1 (724) 555-{number(r, 4)}", lambda: f"724 555 {number(r, 4)}", 3),
+        ("e-mail me at ", lambda: f"a{number(r, 5)}@mail.example.org", lambda: f"b{number(r, 5)}@intranet", 0),
+        ("card no. ", lambda: card(r, 16), lambda: card(r, 13), 2),
+        ('auth_token = "', lambda: f'f{number(r, 12)}c', lambda: f"x{number(r, 14)}z", 4),
+    ]
+    for lead, known, unseen, kind in forms:
+        close = '"' if lead.endswith('"') else ""
+        for _ in range(40):
+            if kind == 4:
+                rows.append((len(rows), f"{fill()} token = \"{known()}\" {fill()}"))
+                rows.append((len(rows), f"{fill()} key = \"{known()}\" token: '{known()}' {fill()}"))
+            else:
+                rows.append((len(rows), f"{fill()} {lead}{known()}{close} {fill()}"))
+        for _ in range(20):
+            text, find = f"{fill()} {lead}", unseen()
+            hidden[len(rows)] = f"{pii.KINDS[kind]}:{len(text)}:{len(text) + len(find)}"
+            rows.append((len(rows), f"{text}{find}{close} {fill()}"))
+    for n in range(60):
+        decoys.add(len(rows))
+        rows.append((len(rows), f"{fill()} order {number(r, 10 + n % 6)} {fill()}"))
+    return rows, hidden, decoys
+
+
+def test_planted_contexts(spark):
+    rows, hidden, decoys = planted()
+    got = {r.doc_id: r for r in pii.personal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i: r.spans for i, r in got.items()} == brute(rows)
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in got.values())
+    recall = sum(h in got[i].spans.split(",") for i, h in hidden.items()) / len(hidden)
+    added = sum(len([x for x in got[i].spans.split(",") if x]) for i in decoys)
+    assert recall >= 0.9 and added <= 0.1 * len(hidden)
+
+
 def test_contexts_with_many_unseen_or_several_kinds(spark):
     rows = [(n, f"tel +1 724 555 {7000 + n} now") for n in range(20)] + [(100 + n, f"tel 724 555 {8000 + n} now") for n in range(20)]
     rows += [(200 + n, f"contact me{n}@example.org now") for n in range(20)] + [(300 + n, f"contact +1 724 556 {7000 + n} now") for n in range(20)] + [(400, "contact root@localhost now")]
-    rows += [(500 + n, f"order +1 724 557 {7000 + n} now") for n in range(6)] + [(600 + n, f"order 724 558 {1000 + n} now") for n in range(200)]
+    rows += [(500 + n, f"order +1 724 557 {7000 + n} then") for n in range(6)] + [(600 + n, f"order 724 558 {1000 + n} then") for n in range(200)]
     # known only by instances that another context has found
-    rows += [(900 + n, f"ring 724 555 {8000 + n} now") for n in range(10)] + [(950, "ring 724 555 9999 now")]
+    rows += [(900 + n, f"ring 724 555 {8000 + n} soon") for n in range(10)] + [(950, "ring 724 555 9999 soon")]
     got = {r.doc_id: r.spans for r in pii.personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
     assert all(got[100 + n] == "phone:4:16" for n in range(20)) and got[400] == "email:8:22"
     assert all(got[600 + n] == "" for n in range(200)) and got[950] == "phone:5:17"
+
+
+def test_secrets():
+    assert [x[4:] for x in pii.candidates('say token = "9b0b3c6a43eb78aa99cb" or password: "short" or TOKEN="abcdefghijklmnop"', []) if x[4] == 4] == [(4, 13, 33)]
