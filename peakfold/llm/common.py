@@ -62,11 +62,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, scratch: "Scratch | None" = None) -> DataFrame:
+#: Rows of a file of a table of short rows, about.
+FILE_ROWS = 25_000
+
+
+def written(df: DataFrame, name: str, scratch: "Scratch | None" = None, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table of the shared folder and read it back: lineage ends here, so a lost
     executor costs a read and not the work.  The table stays until :func:`clean`, or until its
-    ``scratch`` goes."""
+    ``scratch`` goes.  A table of at most ``rows`` short rows takes no more files than these fill."""
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
     if scratch is not None:
         scratch.paths.append(path)
     df.write.parquet(path)
@@ -225,18 +231,23 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in cols])
 
 
-def without(docs: DataFrame, key, dropped: DataFrame, same) -> DataFrame:
-    """The rows of ``docs`` that no row of ``dropped`` matches.
+def whole(docs: DataFrame, **more) -> DataFrame:
+    """``doc``, each row as one value, and the columns given: whatever names docs has, none clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(n) for n, c in more.items()])
+
+
+def without(rows: DataFrame, dropped: DataFrame, by: list[str]) -> DataFrame:
+    """The rows that no row of ``dropped`` equals in the columns ``by`` (null equals null); the first of
+    them is a 64-bit hash without nulls.
 
-    ``key`` is a 64-bit column of docs whose values for the dropped rows are in ``dropped._key``, and
-    ``same`` the exact condition.  A bounded filter lets all but the dropped rows (and a few others)
-    pass where they are; only the rest are shuffled with their texts to be compared.
+    A bounded filter lets all but the dropped rows (and a few others) pass where they are; only the rest
+    are shuffled with their texts to be compared.
     """
-    may = may_hold(BoundedFilter(dropped.select("_key"), dropped.count()))
-    rows = docs.withColumn("_pf_key", key)
-    sure = rows.where(~may("_pf_key"))
-    rest = rows.where(may("_pf_key")).join(dropped, (F.col("_pf_key") == F.col("_key")) & same, "left_anti")
-    return sure.unionByName(rest).drop("_pf_key")
+    may = may_hold(BoundedFilter(dropped.select(by[0]), dropped.count()))
+    same = F.lit(True)
+    for c in by:
+        same = same & rows[c].eqNullSafe(dropped[c])
+    return rows.where(~may(by[0])).unionByName(rows.where(may(by[0])).join(dropped, same & (rows[by[0]] == dropped[by[0]]), "left_anti"))
 
 
 def may_hold(found: BoundedFilter):

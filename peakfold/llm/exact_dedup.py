@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, Scratch, documents, may_hold, small_batches, without, written
+from .common import BoundedFilter, Scratch, documents, may_hold, small_batches, whole, without, written
 
 MEMTABLE = 400_000  # entries of a memtable
 SHARD = 400_000  # documents for each shard of the index, about
@@ -160,17 +160,19 @@ def exact_groups(docs: DataFrame, digest=None, scratch: Scratch | None = None) -
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs``, one for each text, with its columns as they are."""
-    with Scratch(docs.sparkSession) as scratch:
-        keys = exact_groups(docs, scratch=scratch).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.first("kept").alias("_kept"), F.count("*").alias("_rows"))
-        odd = written(keys.where("not _kept or _rows > 1").withColumn("_key", F.xxhash64("_id", "_sha")), "dropped")
+    """The kept rows of ``docs``, one for each text, with its columns as they are, whatever their names.
+    Null counts as an empty text, null ids and repeated rows are as in :func:`grouped`; of rows that
+    share text and doc_id one stays.  An empty table gives no rows."""
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    rows = docs.withColumn("_pf_sha", sha)
-    same = lambda other: rows["doc_id"].eqNullSafe(other["_id"]) & (rows["_pf_sha"] == other["_sha"])
-    alone = without(rows, F.xxhash64("doc_id", "_pf_sha"), odd, same(odd))
-    again = odd.where("_kept")  # rows that repeat with their id: one of them stays
-    once = rows.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "_pf_sha"])
-    return alone.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    by = ["key", "id", "sha"]
+    rows = whole(docs, key=F.xxhash64("doc_id", sha), id=F.col("doc_id"), sha=sha)
+    with Scratch(docs.sparkSession) as scratch:
+        found = exact_groups(docs, scratch=scratch).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+        odd = written(found.where("not kept or n > 1").withColumn("key", F.xxhash64("id", "sha")), "dropped")
+    alone = without(rows, odd.select(*by), by)
+    again = odd.where("kept")  # rows that repeat with their id: one of them stays
+    once = rows.join(again, (rows["key"] == again["key"]) & rows["id"].eqNullSafe(again["id"]) & (rows["sha"] == again["sha"]), "left_semi").dropDuplicates(by)
+    return alone.unionByName(once).select("doc.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

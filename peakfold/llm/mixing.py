@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, written
+from .common import WORD, documents, whole, written
 
 #: Rows of one bucket of the shuffled order, about; the buckets of a source are summed apart from each other.
 BUCKET_ROWS = 5_000
@@ -105,16 +105,16 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     A document without words is taken once, as it costs nothing and is no reason to lose it."""
     slim = schedule(docs, split=False, **options)
     times = F.when(F.col("size") == 0, 1).otherwise(F.size("passes"))
-    counts = slim.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_rows"))
-    counts = written(counts.where("_times > 0"), "times")
-    rows = docs.withColumn("_pf_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    counts = slim.groupBy(F.col("doc_id").alias("at"), F.col("tie").alias("own")).agg(F.sum(times).cast("int").alias("times"), F.count("*").alias("n"))
+    counts = written(counts.where("times > 0"), "times")
+    rows = whole(docs, id=F.col("doc_id"), tie=F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def met(own: DataFrame) -> DataFrame:
-        return rows.join(own, rows["doc_id"].eqNullSafe(own["_id"]) & (rows["_pf_tie"] == own["_tie"]))
+        return rows.join(own, rows["id"].eqNullSafe(own["at"]) & (rows["tie"] == own["own"]))
 
     # rows that repeat as a whole are one row as often as all of them are taken
-    out = met(counts.where("_rows = 1")).unionByName(met(counts.where("_rows > 1")).dropDuplicates(["doc_id", "_pf_tie"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = met(counts.where("n = 1")).unionByName(met(counts.where("n > 1")).dropDuplicates(["id", "tie"]))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, Scratch, attach, documents, may_hold, small_batches, without, written
+from .common import BoundedFilter, Scratch, attach, documents, may_hold, small_batches, whole, without, written
 from .fingerprints import bin_minima, densified
 from .textops import _STEPS, mixed, row_shingles
 
@@ -67,21 +67,32 @@ def _sets_of(k: int, wanted: BoundedFilter):
     return sets
 
 
-def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, comp: the smallest node reachable.  ``edges``: a, b.  Labels shrink to the smallest one of
-    the neighbours' and then to their label's label, so a chain takes steps by its length's logarithm;
-    every step is a table in the shared folder."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", scratch)
-    labels = written(nodes.select("node", F.col("node").alias("comp")), "labels", scratch)
+def _at_heads(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """``rows`` and what ``found`` has for their comp (one row for each comp).  A component may have most
+    of the rows; its rows are dealt by chance."""
+    heads = rows.groupBy("comp").agg(F.count("*").alias("heads"))
+    return attach(rows, found.join(heads, "comp"), "comp", "heads", total).drop("heads")
+
+
+def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, total: int) -> DataFrame:
+    """node, comp: the smallest node reachable.  ``edges``: a, b; ``total``: nodes, at most.  Labels shrink
+    to the smallest one of the neighbours' and then to their label's label, so a chain takes steps by its
+    length's logarithm; every step is a table in the shared folder.  A node may have most of the edges and
+    a label most of the nodes, so both joins deal hot keys by chance."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", scratch, 2 * total)
+    n_edges = both.count()
+    degree = both.groupBy("b").agg(F.count("*").alias("n"))
+    labels = nodes.join(degree, nodes["node"] == degree["b"], "left").select("node", F.coalesce("n", F.lit(0)).alias("n"), F.col("node").alias("comp"))
+    labels = written(labels, "labels", scratch, total)
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        jump = step.select(F.col("node").alias("at"), F.col("comp").alias("further"))
-        step = step.join(jump, step["comp"] == jump["at"], "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        step = written(step, "labels", scratch)
+        near = attach(both, labels.select(F.col("node").alias("b"), "comp", "n"), "b", "n", n_edges).groupBy("a").agg(F.min("comp").alias("near"))
+        step = labels.join(near, labels["node"] == near["a"], "left").select("node", "n", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
+        step = written(step, "nearer", scratch, total)
+        step = _at_heads(step, step.select(F.col("node").alias("comp"), F.col("comp").alias("further")), total)
+        step = written(step.select("node", "n", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels", scratch, total)
         if step.where("old > comp").isEmpty():
             return step.select("node", "comp")
-        labels = step.select("node", "comp")
+        labels = step.select("node", "n", "comp")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,7 +246,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int, scrat
         keyed = nodes.select("node", F.explode("bands").alias("key"))
         # tables of one row a key are written first: a join to one can then be split where a key is hot, which
         # a join in the stage of the aggregation itself cannot
-        shared = written(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1"), "shared", own_scratch)
+        shared = written(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1"), "shared", own_scratch, total)
         members = written(keyed.join(shared, "key").select("key", "node", "centre"), "members", own_scratch)
         inner = members.select("node").distinct()
         wanted = slim.join(inner, "node", "left_semi")
@@ -244,45 +255,49 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int, scrat
         sets = own.join(wanted.select("node", "set_id", "label"), (own["set_id"] == wanted["set_id"]) & (own["id"] == F.col("label")))
         sets = written(sets.select("node", F.size("hashes").alias("n"), "hashes").dropDuplicates(["node"]), "sets", own_scratch)
         star = members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        links = written(_confirmed(star, sets, percent), "links", own_scratch)
-        comps = components(inner, links, own_scratch)
-        open_keys = written(_several(members.where("node > centre").join(comps, "node")), "open-keys", own_scratch)
+        links = written(_confirmed(star, sets, percent), "links", own_scratch, total)
+        comps = components(inner, links, own_scratch, total)
+        open_keys = written(_several(members.where("node > centre").join(comps, "node")), "open-keys", own_scratch, total)
         prefixes = written(_prefixes(members.join(open_keys, "key").select("node").distinct(), sets, percent), "prefixes", own_scratch)
         left = written(_able(prefixes, percent, own_scratch).join(comps, "node"), "able", own_scratch)
         left = written(left.join(written(_several(left), "several", own_scratch), "key"), "open", own_scratch)
         merges = written(_blocks(left, sets).groupBy("key", "i", "j").applyInArrow(_linked(percent), "a long, b long").distinct(), "merges", own_scratch)
         ends = merges.select(F.col("a").alias("node")).union(merges.select(F.col("b").alias("node"))).distinct()
-        over = components(ends, merges, own_scratch).select(F.col("node").alias("at"), F.col("comp").alias("over"))
-        comps = comps.join(over, comps["comp"] == over["at"], "left").select("node", F.coalesce("over", "comp").alias("comp"))
-        linked = slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        smallest = linked.groupBy("comp").agg(F.min("label").alias("component"))
-        found = written(linked.join(smallest, "comp").select("set_id", "n_docs", "component", F.col("comp").alias("group")), "found", scratch)
+        over = components(ends, merges, own_scratch, total).select(F.col("node").alias("comp"), F.col("comp").alias("over"))
+        comps = _at_heads(comps, over, total).select("node", F.coalesce("over", "comp").alias("comp"))
+        linked = written(slim.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "linked", own_scratch, total)
+        smallest = linked.groupBy("comp").agg(F.min("label").alias("component"), F.count("*").alias("heads"))
+        found = written(attach(linked, smallest, "comp", "heads", total).select("set_id", "n_docs", "component", F.col("comp").alias("group")), "found", scratch, total)
     return attach(signed.select("id", "n_shingles", "set_id", *names), found, "set_id", "n_docs", total)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component of ``docs``, with its columns as they are: that with the smallest doc_id
-    (nulls last), and of several with that the one whose text has the smallest hash.
+    """One row of each component of ``docs``, with its columns as they are, whatever their names: that
+    with the smallest doc_id (nulls last), and of several with that the one whose text has the smallest
+    hash.
 
     Rows are told apart by doc_id and two hashes of the text, so ids may repeat or be null.  Rows equal
-    in both are one document.  Rows without words are in no component and all stay.
+    in both are one document.  Rows without words (or null) are in no component and all stay; a very
+    long text is compared whole; an empty table gives no rows.
     """
-    hashes = [F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))]
-    own = ["id", "more0", "more1"]
+    text = F.coalesce("text", F.lit(""))
+    hashes = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    own, by = ["id", "more0", "more1"], ["a", "b", "id"]
     with Scratch(docs.sparkSession) as scratch:
         rows = written(_grouped(docs, k, percent, BANDS, BAND_ROWS, scratch, hashes).where("group is not null").select("group", *own), "grouped", scratch)
+        total = rows.count()
         best = rows.groupBy("group").agg(F.min(F.struct(*own)).alias("best"), F.count("*").alias("n")).where("n > 1")
-        judged = attach(rows, written(best, "best", scratch), "group", "n", rows.count()).where("n > 1")
-        drop = judged.groupBy(*own).agg(F.first(F.struct(*own) == F.col("best")).alias("_kept"), F.count("*").alias("_rows")).where("not _kept or _rows > 1")
-        drop = written(drop.select(F.nullif("id", F.lit(NO_ID)).alias("_id"), F.col("more0").alias("_a"), F.col("more1").alias("_b"), "_kept", F.col("more0").alias("_key")), "dropped")
-    same = docs["doc_id"].eqNullSafe(drop["_id"]) & (hashes[0] == drop["_a"]) & (hashes[1] == drop["_b"])
-    out = without(docs, hashes[0], drop, same)
-    again = drop.where("_kept")
+        judged = attach(rows, written(best, "best", scratch, total), "group", "n", total).where("n > 1")
+        drop = judged.groupBy(*own).agg(F.first(F.struct(*own) == F.col("best")).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+        drop = written(drop.select(F.nullif("id", F.lit(NO_ID)).alias("id"), F.col("more0").alias("a"), F.col("more1").alias("b"), "kept"), "dropped", rows=total)
+    rows = whole(docs, id=F.col("doc_id"), a=hashes[0], b=hashes[1])
+    out = without(rows, drop.select(*by), by)
+    again = drop.where("kept").select(*by)
     if not again.isEmpty():  # rows that repeat and stay, once each
-        may = may_hold(BoundedFilter(again.select("_key"), again.count()))
-        some = docs.withColumn("_pf_key", hashes[0]).where(may("_pf_key")).join(again, (F.col("_pf_key") == F.col("_key")) & same)
-        out = out.unionByName(some.dropDuplicates(["_id", "_a", "_b"]).select(*[docs[f"`{c}`"] for c in docs.columns]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        may = may_hold(BoundedFilter(again.select("a"), again.count()))
+        same = (rows["a"] == again["a"]) & (rows["b"] == again["b"]) & rows["id"].eqNullSafe(again["id"])
+        out = out.unionByName(rows.where(may("a")).join(again, same, "left_semi").dropDuplicates(by))
+    return out.select("doc.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

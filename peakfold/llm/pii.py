@@ -186,9 +186,9 @@ def _find(batches):
             )
 
 
-def bootstrapped(found: DataFrame, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
+def bootstrapped(found: DataFrame, size: int, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
     """node, n: the contexts to trust, as kind:pattern, and the number of distinct instances of each.
-    ``found``: pattern, instance, kinds, fails, seed.
+    ``found``: pattern, instance, kinds, fails, seed; ``size`` is the number of its rows.
 
     The graph joins patterns (the words around an identifier) and instances, for each kind that an
     instance could be by its shape.  Seeds have score 1 for their kind and are known not to be of
@@ -198,19 +198,19 @@ def bootstrapped(found: DataFrame, support: int = SUPPORT, sure: float = SURE) -
     known instances and confidence, unless seeds of ``GENERIC`` kinds have them, pass it on, and an instance of several trusted patterns is wrong only
     if all of them are.  A trusted pattern stays trusted, and rounds go on until none is added.
     """
-    edges = written(found.groupBy("pattern", "instance").agg(F.bit_or("kinds").alias("kinds"), F.bit_or("fails").alias("fails"), F.max("seed").alias("seed")), "graph")
+    edges = written(found.groupBy("pattern", "instance").agg(F.bit_or("kinds").alias("kinds"), F.bit_or("fails").alias("fails"), F.max("seed").alias("seed")), "graph", rows=size)
     kinds = F.explode(F.array(*[F.lit(n) for n in range(len(KINDS))]))
     rows = edges.withColumn("kind", kinds).where(F.expr("seed = kind or ((kinds | fails) & shiftleft(1, kind)) > 0"))
     other = F.expr("seed >= 0 and seed != kind or seed < 0 and (fails & shiftleft(1, kind)) > 0")
     key = lambda c: F.concat_ws(":", "kind", c)
-    rows = written(rows.select(key("pattern").alias("node"), key("instance").alias("leaf"), (F.col("seed") == F.col("kind")).alias("seed"), other.alias("other")), "nodes")
+    rows = written(rows.select(key("pattern").alias("node"), key("instance").alias("leaf"), (F.col("seed") == F.col("kind")).alias("seed"), other.alias("other")), "nodes", rows=2 * size)
     total = rows.count()
     # a pattern or an instance may have a large share of all edges, so the joins deal these by chance
-    leaves = written(rows.groupBy("leaf").agg(F.bool_or("seed").alias("seed"), F.count("*").alias("edges")), "leaves")
-    nodes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")).withColumn("pattern", F.expr("substr(node, 3)")), "degrees")
+    leaves = written(rows.groupBy("leaf").agg(F.bool_or("seed").alias("seed"), F.count("*").alias("edges")), "leaves", rows=size)
+    nodes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")).withColumn("pattern", F.expr("substr(node, 3)")), "degrees", rows=2 * size)
     generic = nodes.where("seed").groupBy("pattern").count().where(f"count >= {GENERIC}")
-    nodes = written(nodes.join(generic, "pattern", "left_anti").select("node", "n"), "specific")
-    scores, trusted, size = leaves.where("seed").select("leaf", "edges", F.lit(1.0).alias("score")), None, 0
+    nodes = written(nodes.join(generic, "pattern", "left_anti").select("node", "n"), "specific", rows=2 * size)
+    scores, trusted, last = leaves.where("seed").select("leaf", "edges", F.lit(1.0).alias("score")), None, 0
     while True:
         known = attach(rows, scores, "leaf", "edges", total).withColumn("score", F.when(~F.col("other"), F.col("score")))
         known = known.groupBy("node").agg(
@@ -220,15 +220,15 @@ def bootstrapped(found: DataFrame, support: int = SUPPORT, sure: float = SURE) -
         known = known.where(F.col("trust") >= sure).select("node", "trust")
         if trusted is not None:
             known = known.unionByName(trusted.select("node", "trust")).groupBy("node").agg(F.max("trust").alias("trust"))
-        trusted = written(known.join(nodes, "node"), "patterns")
+        trusted = written(known.join(nodes, "node"), "patterns", rows=size)
         now = trusted.count()
-        if now == size:
+        if now == last:
             return trusted.select("node", "n")
-        size = now
+        last = now
         new = attach(rows.where("not seed and not other"), trusted, "node", "n", total).where("trust is not null")
         new = new.groupBy("leaf").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(0.0)) + 1e-9)))).alias("score")).where(F.col("score") >= sure)
         both = leaves.where("seed").select("leaf", F.lit(1.0).alias("score")).unionByName(new)
-        scores = written(both.groupBy("leaf").agg(F.max("score").alias("score")).join(leaves.select("leaf", "edges"), "leaf"), "instances")
+        scores = written(both.groupBy("leaf").agg(F.max("score").alias("score")).join(leaves.select("leaf", "edges"), "leaf"), "instances", rows=size)
 
 
 def personal(docs: DataFrame, **options) -> DataFrame:
@@ -249,12 +249,13 @@ def personal(docs: DataFrame, **options) -> DataFrame:
     base = written(rows.mapInArrow(_find, f"row long, doc_id {kind}, {_OUT}"), "identifiers")
     found = base.select("row", F.explode("found").alias("f")).select("row", "f.*")
     each = found.select("row", F.explode("patterns").alias("pattern"), "instance", "kinds", "fails", "seed", "start", "end")
-    trusted = bootstrapped(each.drop("row", "start", "end"), **options)
+    size = found.select(F.sum(F.size("patterns"))).first()[0] or 0
+    trusted = bootstrapped(each.drop("row", "start", "end"), size, **options)
     kinds = F.explode(F.filter(F.array(*[F.lit(n) for n in range(len(KINDS))]), lambda k: F.col("kinds").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0))
     open_ = each.where("seed < 0").select("row", "pattern", "start", "end", kinds.alias("kind"))
     open_ = open_.withColumn("node", F.concat_ws(":", "kind", "pattern"))
     sizes = open_.groupBy("node").agg(F.count("*").alias("n")).join(trusted.select("node"), "node").withColumn("trusted", F.lit(True))
-    more = attach(open_, written(sizes, "trusted"), "node", "n", found.count()).where("trusted").select("row", "start", "kind", "end")
+    more = attach(open_, written(sizes, "trusted", rows=size), "node", "n", size).where("trusted").select("row", "start", "kind", "end")
     secret = found.where(f"seed >= {BASE_KINDS}").select("row", "start", F.col("seed").alias("kind"), "end")
     more = more.unionByName(secret).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
