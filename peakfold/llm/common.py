@@ -231,6 +231,14 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in cols])
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole(docs: DataFrame, **more) -> DataFrame:
     """``doc``, each row as one value, and the columns given: whatever names docs has, none clashes."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(n) for n, c in more.items()])
