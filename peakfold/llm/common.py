@@ -112,41 +112,62 @@ def crc_rest(id_col, n: int):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
-    """Partitions so that each has about ``rows_each`` rows, and no fewer than the session's own number."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_each), 1)
+#: Ranges of ids, at most, whatever the input's size, and rows of the sample for each.
+MOST_RANGES, PER_RANGE = 1 << 16, 20
+NO_ID = -(1 << 63)  # stands for a null id, below all others
 
 
-def range_bounds(df: DataFrame, col: str, parts: int) -> list:
-    """At most ``parts - 1`` ascending values that cut ``col`` into ranges of about equal row counts."""
-    if parts < 2:
-        return []
-    cuts = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(col, cuts, max(10_000, 20 * parts)).alias("q")).first()["q"]
-    return sorted(set(found or []))
+def ranged(docs: DataFrame, bytes_each: int) -> tuple[DataFrame, int]:
+    """id, tie, text and bucket of every row, and the number of buckets: ranges of (id, tie), rising and of
+    about ``bytes_each`` bytes of text.  Null ids are ``NO_ID``, null text is empty, and tie is a hash of
+    the text, so that rows of one id, whatever their number, are in order and can be split.
 
-
-def bucket_of(col, bounds: list):
-    """The number of bounds not above the value: 0 for null and the lowest range."""
+    The bounds come from a sample in which a row is the likelier the longer its text; the sample and the
+    bounds have a size that does not follow the input.
+    """
+    spark = docs.sparkSession
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("tie", F.xxhash64("text"))
+    size = F.octet_length("text").cast("long") + 64
+    total = base.agg(F.sum(size)).first()[0] or 0
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bytes_each)))
+    draw = F.pmod(F.xxhash64("id", "tie", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
+    bounds: list[tuple[int, int]] = []
+    if total:
+        some = base.where(draw * total < size * PER_RANGE * parts).select("id", "tie").toArrow().sort_by([("id", "ascending"), ("tie", "ascending")])
+        cuts = some.take(np.unique(np.arange(1, parts) * some.num_rows // parts)) if some.num_rows else some
+        bounds = sorted(set(zip(cuts.column("id").to_pylist(), cuts.column("tie").to_pylist())))
+    return base.select("id", "tie", "text", bucket_of(F.col("id"), F.col("tie"), bounds).cast("int").alias("bucket")), parts
+
+
+def bucket_of(id_col, tie, bounds: list[tuple[int, int]]):
+    """The number of bounds not above (id, tie).  A bound whose id no other one has holds all rows of it."""
+    ids, ties = np.array([i for i, _ in bounds], np.int64), np.array([t for _, t in bounds], np.int64)
+    often = np.isin(ids, ids[1:][ids[1:] == ids[:-1]])
     if len(bounds) <= 512:
-        return F.when(col.isNull(), 0).otherwise(_searched(col, bounds))
-    cuts = np.array(bounds)
+        return _searched(id_col, tie, [(i, t if o else None) for (i, t), o in zip(bounds, often.tolist())])
 
-    def place(x: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, x.to_numpy(zero_copy_only=False), "right").astype(np.int32))
+    def place(x: pa.Array, y: pa.Array) -> pa.Array:
+        x, y = x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)
+        first, out = np.searchsorted(ids, x, "left"), np.searchsorted(ids, x, "right")
+        for at in np.unique(first[out - first > 1]).tolist():  # ids with several bounds
+            own = (first == at) & (out - first > 1)
+            out[own] = at + np.searchsorted(ties[at : out[own][0]], y[own], "right")
+        return pa.array(out.astype(np.int32))
 
-    # an array with nulls would become floats, which round large ids
-    return F.when(col.isNull(), 0).otherwise(F.arrow_udf(place, "int")(F.coalesce(col, F.lit(bounds[0]))))
+    return F.arrow_udf(place, "int")(id_col, tie)
 
 
-def _searched(col, bounds: list):
+def _searched(id_col, tie, bounds: list):
     """A balanced tree of comparisons, so that a row costs log2(bounds) of them."""
 
     def tree(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(col < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        i, t = bounds[mid]
+        below = id_col < i if t is None else (id_col < i) | ((id_col == i) & (tie < t))
+        return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(bounds))
 

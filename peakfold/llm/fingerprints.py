@@ -7,15 +7,15 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, documents, partitions_for, range_bounds, small_batches
+from .common import NO_ID, documents, ranged, small_batches
 from .textops import mixed, row_shingles
 
 EMPTY = np.uint64((1 << 64) - 1)
-#: Rows of one range of ids, about, while a document meets the next one.
-RANGE_ROWS = 50_000
+#: Text of one range of ids, about, while a document meets the next one.
+RANGE_BYTES = 16 << 20
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -119,32 +119,29 @@ def _made(pairs, k: int, bins: int, bits: int) -> pa.RecordBatch:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, next_only: the rows dealt to ranges of ids and sorted in them.  Each range
-    ends with a copy of the first row of the next one, the last with that of the first; only these few
-    rows are sent twice."""
+    """doc_id, text, bucket, next_only: the rows dealt to ranges of ids, of about equal bytes, and sorted in
+    them.  Each range ends with a copy of the first row of the next one, the last with that of the first;
+    only these few rows are sent twice."""
     small_batches(docs.sparkSession)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = base.count()
-    parts = partitions_for(docs, rows, RANGE_ROWS)
-    base = base.withColumn("bucket", bucket_of(F.col("doc_id"), range_bounds(docs, "doc_id", parts)))
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("tie"))
-    found = base.groupBy("bucket").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("none")).collect()  # a row for each range
-    first = sorted((r["bucket"], None if r["none"] else r["id"]) for r in found)
-    ends = docs.sparkSession.createDataFrame([(b, i, first[n - 1][0]) for n, (b, i) in enumerate(first)], "_at int, _id long, to int")
-    heads = base.join(F.broadcast(ends), (F.col("bucket") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    tie = Window.partitionBy("bucket").orderBy(F.xxhash64("text"))
-    heads = heads.withColumn("rank", F.row_number().over(tie)).where("rank = 1")
-    heads = heads.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("next_only"))
+    base, parts = ranged(docs, RANGE_BYTES)
+    found = base.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("first")).collect()  # a row for each range
+    first = sorted((r["bucket"], r["first"]["id"], r["first"]["tie"]) for r in found)
+    ends = docs.sparkSession.createDataFrame([(i, t, b, first[n - 1][0]) for n, (b, i, t) in enumerate(first)], "id long, tie long, bucket int, to int")
+    heads = base.join(F.broadcast(ends), ["bucket", "id", "tie"]).dropDuplicates(["bucket"])
+    heads = heads.select("id", "tie", "text", F.col("to").alias("bucket"), F.lit(True).alias("next_only"))
     every = base.withColumn("next_only", F.lit(False)).unionByName(heads)
-    return every.repartition(parts, "bucket").withColumn("order", order).sortWithinPartitions("bucket", "next_only", "order").drop("order")
+    every = every.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "next_only", "id", "tie")
+    return every.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "text", "bucket", "next_only")
 
 
 def fingerprinted(docs: DataFrame, k: int = 5, bins: int = 512, bits: int = 4) -> DataFrame:
     """The fingerprint of every text and of its edited text, and their likenesses.
 
     Shingles are runs of ``k`` lower-cased words (a shorter text is one shingle).  Null text is empty;
-    a text without words has the empty fingerprint.  Rows that share a doc_id follow each other by a
-    hash of their text; null ids come first.  A lone row is followed by itself.
+    a text without words has the empty fingerprint; a very long text is sketched whole, in memory of
+    about 60 times its bytes.  Rows that share a doc_id follow each other by a hash of their text, rows
+    that repeat too; null ids come first.  A lone row is followed by itself; columns but doc_id and text
+    are left out; an empty table gives no rows.
     """
     return with_next(docs).mapInArrow(_walk(k, bins, bits), OUT)
 
