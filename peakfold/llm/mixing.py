@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, whole, written
 
-#: Rows of one bucket of the shuffled order, about; the buckets of a source are summed apart from each other.
-BUCKET_ROWS = 5_000
+#: Rows of one bucket of the shuffled order and of the queue, about, and buckets of the queue, at most;
+#: prefix sums are taken within a bucket and over the buckets' sums.
+BUCKET_ROWS, MOST_BUCKETS = 5_000, 1 << 16
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -22,7 +23,7 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target.  One row for each source.
+    """source, source_size, target, most, budget.  One row for each source.
 
     Sources by code point, null last, take the weights in turn.  A target stops at ``most`` times
     its source's size; what is over goes to the others by weight, which ends at one water level:
@@ -43,28 +44,31 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
     fixed = F.min_by("level", "ratio_at").over(whole)
     rows = rows.withColumn("ratio_at", F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.coalesce("source", F.lit("￿")))))
     rows = rows.withColumn("level", fixed)
-    return rows.select("source", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
+    return rows.select("source", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"), "most", "budget")
 
 
 def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix-1", split: bool = True) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, virtual_finish, passes
+    """One row for each document: doc_id, size, source_size, target, taken, virtual_finish, times
     (and tie, a hash of the text, which tells rows of one doc_id apart).
 
     The documents of a source stand in a shuffled order (the md5 of seed and doc_id, so that reruns
     agree) and are offered up to ``most`` times, one pass after the other.  Each offer has a virtual
-    start and finish: the source's cumulative words, before and after, over its target.  As every
-    source has served its target at virtual time 1 and the targets add up to the budget, cutting the
-    globally sorted queue at the budget is cutting it at time 1.  With ``split``, the document on the
-    cut gives the words before it; else it is taken whole if its middle lies before the cut.
-    ``passes`` lists the offers taken, with pass, finish and words.
-
-    The prefix sums are two-level: sums of (source, bucket of the draw) first, then a window within
-    a bucket, so that a source with a third of all rows is many small groups.
-
-    Null text or one without words has size 0 and takes 0; a null source is a source of its own; rows
-    that repeat each count; an empty table gives no rows.
+    start and finish: the source's cumulative words, before and after, over its target.  All offers that
+    start before virtual time 1, when every source has its target, make one queue, sorted by virtual
+    finish, whose cumulative words are cut at the total budget, the sum of the targets.  The queue's unit
+    is the offer; the one of each source during which time 1 passes is queued word by word, so that a
+    long document waits no longer than its words do.  With ``split`` the words before the cut are taken;
+    without, an offer is one unit, queued by its middle, and taken if the middle of its words is before
+    the cut.  taken sums a document's offers, times counts those taken, virtual_finish is the first one's.
+
+    All prefix sums are two-level: sums of buckets first, then a window within a bucket, so that a
+    source with a third of all rows is many small groups.
+
+    Null text or one without words has size 0 and takes 0; a very long text is counted whole; a null
+    source is a source of its own; rows that repeat each count, null ids too; columns but doc_id, text
+    and source are left out; an empty table gives no rows.
     """
-    base = written(sized(docs, seed), "mix")
+    base = written(sized(docs, seed).withColumn("row", F.monotonically_increasing_id()), "mix")
     rows = base.count()
     digits = max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16)))
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))
@@ -74,37 +78,48 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     sums = sums.select("key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     aims = targets(base, weights, share, float(most)).withColumn("key", key).drop("source")
     within = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = base.join(sums, ["key", "bucket"]).join(aims, "key")
-    rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    goal = F.round("target").cast("long")
-
-    def taken(before):
-        if split:
-            return F.greatest(F.lit(0), F.least(F.col("size"), goal - before))
-        return F.when(before * 2 + F.col("size") <= goal * 2, F.col("size")).otherwise(F.lit(0))
-
-    offers = []
-    for n in range(most):
-        before = F.col("before") + n * F.col("source_size")
-        offers.append(F.struct(F.lit(n).alias("pass"), ((before + F.col("size")) / F.nullif("target", F.lit(0.0))).alias("finish"), taken(before).cast("long").alias("words")))
-    rows = rows.withColumn("passes", F.array(*offers))
-    words = F.aggregate("passes", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return rows.select(
-        "doc_id", "tie", "size", "source_size", "target", words.alias("taken"), F.col("passes")[0]["finish"].alias("virtual_finish"),
-        F.filter("passes", lambda x: x["words"] > 0).alias("passes"),
+    placed = base.join(sums, ["key", "bucket"]).join(aims, "key")
+    placed = placed.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = written(placed.select("row", "doc_id", "tie", "draw", "key", "size", "source_size", "target", "before"), "placed")
+
+    offers = placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    offers = offers.withColumn("start", F.col("before") + F.col("pass") * F.col("source_size")).where("start < target")
+    if split:
+        whole_offer = F.col("start") + F.col("size") <= F.col("target")
+        units = F.when(whole_offer, F.array(F.struct(F.col("size").alias("end"), F.col("size").alias("words"))))
+        units = units.otherwise(F.transform(F.sequence(F.lit(1).cast("long"), "size"), lambda w: F.struct(w.alias("end"), F.lit(1).cast("long").alias("words"))))
+        queue = offers.withColumn("unit", F.explode(units)).select("row", "pass", "key", "draw", "doc_id", "unit.words", "unit.end", ((F.col("start") + F.col("unit.end")) / F.col("target")).alias("time"))
+    else:
+        queue = offers.select("row", "pass", "key", "draw", "doc_id", F.col("size").alias("words"), F.col("size").alias("end"), ((F.col("start") + F.col("size") / 2) / F.col("target")).alias("time")).where("time <= 1")
+    buckets = max(1, min(MOST_BUCKETS, math.ceil(most * rows / BUCKET_ROWS)))
+    queue = queue.withColumn("slot", F.least(F.floor(F.col("time") * buckets), F.lit(buckets)).cast("int"))
+    slots = queue.groupBy("slot").agg(F.sum("words").alias("words"))
+    slots = slots.select("slot", F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("served"))
+    budget = aims.agg(F.round(F.least(F.max("budget"), F.sum("most"))).cast("long").alias("budget"))
+    line = Window.partitionBy("slot").orderBy("time", "key", "draw", "doc_id", "pass", "end", "row").rowsBetween(Window.unboundedPreceding, -1)
+    queue = queue.join(slots, "slot").crossJoin(F.broadcast(budget))
+    queue = queue.withColumn("served", F.col("served") + F.coalesce(F.sum("words").over(line), F.lit(0)))
+    left = F.col("budget") - F.col("served")
+    got = F.greatest(F.lit(0), F.least("words", left)) if split else F.when(F.col("words") <= left * 2, F.col("words")).otherwise(F.lit(0))
+    taken = queue.withColumn("got", got.cast("long")).where("got > 0").groupBy("row").agg(F.sum("got").alias("taken"), F.count_distinct("pass").cast("int").alias("times"))
+    return placed.join(taken, "row", "left").select(
+        "doc_id", "tie", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), ((F.col("before") + F.col("size")) / F.nullif("target", F.lit(0.0))).alias("virtual_finish"),
+        F.coalesce("times", F.lit(0)).alias("times"),
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The schedule as a queue: sorted by virtual finish over all partitions."""
+    """The schedule, documents sorted by virtual finish over all partitions."""
     return schedule(docs, **options).orderBy("virtual_finish", "doc_id")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: whole documents, each as often as the mix takes it, with the columns of ``docs``.
-    A document without words is taken once, as it costs nothing and is no reason to lose it."""
+    """The mixed corpus: whole documents, each as often as the mix takes it, with the columns of ``docs``,
+    whatever their names.  A document without words (null or empty) is taken once, as it costs nothing
+    and is no reason to lose it.  Rows that repeat are taken as often as all of them are; an empty table
+    gives no rows."""
     slim = schedule(docs, split=False, **options)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.size("passes"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("times"))
     counts = slim.groupBy(F.col("doc_id").alias("at"), F.col("tie").alias("own")).agg(F.sum(times).cast("int").alias("times"), F.count("*").alias("n"))
     counts = written(counts.where("times > 0"), "times")
     rows = whole(docs, id=F.col("doc_id"), tie=F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -118,7 +133,7 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("passes", "tie")
+    return mix(documents(spark, sf_dir)).drop("times", "tie")
 
 
 OP1_SQL = r"""
@@ -137,11 +152,21 @@ levels AS (
 fixed AS (SELECT lvl FROM levels WHERE lvl <= ratio ORDER BY ratio, source ASC NULLS LAST LIMIT 1),
 aims AS (SELECT source, source_size, least(most, (SELECT lvl FROM fixed) * weight) AS target FROM levels),
 placed AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target,
+  SELECT s.doc_id, s.draw, s.size, a.source_size, a.target, CASE WHEN s.source IS NULL THEN '' ELSE '=' || s.source END AS key,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target)::BIGINT - before)) + greatest(0, least(size, round(target)::BIGINT - before - source_size)))::BIGINT AS taken,
-       (before + size)::DOUBLE / nullif(target, 0) AS virtual_finish
-FROM placed
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+offers AS (
+  SELECT *, before + pass * source_size AS start FROM placed, (VALUES (0), (1)) passes(pass)
+  WHERE size > 0 AND before + pass * source_size < target),
+queue AS (
+  SELECT doc_id, draw, key, pass, size AS finish, size AS words, (start + size)::DOUBLE / target AS time FROM offers WHERE start + size <= target
+  UNION ALL
+  SELECT doc_id, draw, key, pass, word, 1, (start + word)::DOUBLE / target FROM (SELECT *, unnest(range(1, size + 1)) AS word FROM offers WHERE start + size > target)),
+served AS (
+  SELECT doc_id, words, coalesce(sum(words) OVER (ORDER BY time, key, draw, doc_id, pass, finish ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM queue),
+got AS (
+  SELECT doc_id, sum(greatest(0, least(words, (SELECT round(least(max(budget), sum(most)))::BIGINT FROM ratios) - before)))::BIGINT AS taken
+  FROM served GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, (before + size)::DOUBLE / nullif(target, 0) AS virtual_finish
+FROM placed LEFT JOIN got USING (doc_id)
 """
