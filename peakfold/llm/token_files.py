@@ -239,7 +239,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, pattern:
     base, parts = ranged(docs, RANGE_BYTES)
     coded = base.mapInArrow(_coder(path, pattern, end, wide), "id long, tie long, bucket int, ids binary")
     placed = coded.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "id", "tie")
-    made = written(placed.mapInArrow(_writer(folder, wide), _MANIFEST), "manifest", rows=parts)
+    made = written(placed.mapInArrow(_writer(folder, wide), _MANIFEST), "manifest")
     # ids before a file: two levels, so that no window has more rows than there are ranges or files of one
     first = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("bucket").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
