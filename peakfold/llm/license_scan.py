@@ -1,101 +1,188 @@
-"""License scans by diagonal voting, in DataFrame functions alone."""
+"""License scans by diagonal voting."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, lowered
+from .common import documents, small_batches, written
+from .textops import _LOWER, buffers, chunks, rolling, span_hashes, word_spans
+
+K = 4  # words of a run that votes
+LEAST = 0.8  # share of a template's words that a span must have
+SHIFT = 3  # diagonals this near are one span with words put in or left out
 
 #: Words are runs of a-z, 0-9 and characters beyond ASCII.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+APART = np.ones(256, bool)
+APART[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 # The phrases that must be found, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Openings of well-known licenses, with the labels the method adds.  A template has at most 63 words.
+# Notices and texts of well-known licenses, with the labels the method adds.
 TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license as published by the free software foundation"),
-    ("reserved", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License."""),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc0", """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"""),
+    ("mit", "Released under the MIT License"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files"""),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+        BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met"""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+        ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+        SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at"""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation"""),
+    ("gpl", """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("lgpl", "GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely"""),
+    ("reserved", "Unauthorized copying of this file, via any medium, is strictly prohibited"),
 ]
-#: Pairs of these words alone do not vote for a template, as they stand in any English text.
-FUNCTION_WORDS = set("a and any are as by for free from in is it of on or that the this to under with you".split())
-LEAST = 0.8  # share of a template's pairs that a span must have
-SHIFT = 3  # diagonals this near are one span with words put in or left out
-HEADER = -1  # the template number of the row that each document has whatever it holds
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """A row for each pair of words: template, j, first and second word, its pairs in all, label, whether base."""
-    rows = [(HEADER, 0, "", "", 0, "", False)]
-    for n, (label, text, base) in enumerate([(v, k, True) for k, v in BASE.items()] + [(a, b, False) for a, b in TEMPLATES]):
-        words = text.split()
-        pairs = [(j, a, b) for j, (a, b) in enumerate(zip(words, words[1:])) if base or not {a, b} <= FUNCTION_WORDS]
-        rows += [(n, j, a, b, len(pairs), label, base) for j, a, b in pairs]
-    table = spark.createDataFrame(rows, "template int, j int, t_one string, t_two string, pairs int, label string, base boolean")
-    return table.withColumn("key", F.xxhash64("t_one", "t_two"))
-
-
-def _votes(docs: DataFrame) -> DataFrame:
-    """One row for each pair of words that stands in a template too, and one for each document.
-
-    The words' hashes meet the template positions in a join whose other side is the fixed table of
-    templates; the words themselves must agree as well, so a vote is verified by text.
-    """
-    words = F.regexp_extract_all(lowered(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words"))
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.struct(a.alias("one"), F.coalesce(b, F.lit("")).alias("two")))
-    head = F.array(F.struct(F.lit("").alias("one"), F.lit("").alias("two")))
-    rows = rows.select("row", "doc_id", "n_words", F.posexplode(F.concat(head, pairs)).alias("at", "pair"))
-    rows = rows.select("row", "doc_id", "n_words", (F.col("at") - 1).cast("long").alias("at"), F.col("pair.one").alias("one"), F.col("pair.two").alias("two"))
-    rows = rows.withColumn("hash", F.xxhash64("one", "two"))
-    found = F.broadcast(_templates(docs.sparkSession))
-    return rows.join(found, (F.col("hash") == F.col("key")) & (F.col("one") == F.col("t_one")) & (F.col("two") == F.col("t_two")))
+def _words(data: np.ndarray, offs: np.ndarray):
+    """Lower-cased bytes, starts and ends of the words, each row's first word, and the words' hashes."""
+    low = _LOWER[data]
+    starts, ends, at = word_spans(low, offs, APART)
+    return low, starts, ends, at, span_hashes(low, starts, ends)
+
+
+def _template_rows() -> list[tuple]:
+    """(template, j, hash, words of the run, words of the template, label) of each run of ``K`` words."""
+    low, starts, ends, at, hashes = _words(*buffers(pa.array([text for _, text in TEMPLATES])))
+    run, out = rolling(hashes, K), []
+    for n, (label, _) in enumerate(TEMPLATES):
+        size = int(at[n + 1] - at[n])
+        for j in range(size - K + 1):
+            i = int(at[n]) + j
+            out.append((n, j, int(run[i].astype(np.int64)), b" ".join(low[starts[x] : ends[x]].tobytes() for x in range(i, i + K)).decode(), size, label))
+    return out
+
+
+_VOTE = pa.struct([("at", pa.int64()), ("hash", pa.int64()), ("run", pa.string())])
+_OUT = "row long, doc_id {}, n_words long, n_base long, first_word long, last_word long, base_labels string, votes array<struct<at:long,hash:long,run:string>>"
+
+
+def _scanned(known: np.ndarray, phrases: list[tuple[list[bytes], str]]):
+    """Of each text, the words, the places of the phrases, and the runs of words whose hash a template has.
+    ``known``: the templates' hashes, sorted."""
+    firsts = [span_hashes(np.frombuffer(b" ".join(p), np.uint8), *_spans(p)) for p, _ in phrases]
+
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for i, j, data, offs in chunks(batch.column("text")):
+                low, starts, ends, at, hashes = _words(data, offs)
+                word = lambda x: low[starts[x] : ends[x]].tobytes()  # noqa: E731, B023
+                places: dict[int, list] = {}
+                for (phrase, label), want in zip(phrases, firsts):
+                    n = len(hashes) - len(phrase) + 1
+                    hit = np.ones(max(n, 0), bool)
+                    for k, h in enumerate(want):
+                        hit &= hashes[k : k + len(hit)] == h
+                    for x in np.flatnonzero(hit).tolist():
+                        row = int(np.searchsorted(at, x, "right")) - 1
+                        if x + len(phrase) <= at[row + 1] and all(word(x + k) == w for k, w in enumerate(phrase)):
+                            places.setdefault(row, []).append((x - int(at[row]), label))
+                run = rolling(hashes, K)
+                votes: dict[int, list] = {}
+                if len(run) and len(known):
+                    for x in np.flatnonzero(known[np.minimum(np.searchsorted(known, run), len(known) - 1)] == run).tolist():
+                        row = int(np.searchsorted(at, x, "right")) - 1
+                        if x + K <= at[row + 1]:
+                            votes.setdefault(row, []).append({"at": x - int(at[row]), "hash": int(run[x].astype(np.int64)), "run": b" ".join(word(x + k) for k in range(K)).decode()})
+                for r in range(j - i):
+                    found = places.get(r, [])
+                    where = [x for x, _ in found]
+                    rows.append((int(at[r + 1] - at[r]), len(found), min(where, default=None), max(where, default=None), ",".join(sorted({x for _, x in found})), votes.get(r, [])))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((*[pa.int64()] * 4, pa.string(), pa.list_(_VOTE)))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *cols], ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "votes"])
+
+    return scan
+
+
+def _spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(w) for w in words])
+    ends = np.cumsum(size + 1) - 1
+    return ends - size, ends
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
-    A vote at word i for pair j of a template lies on diagonal i - j.  A base phrase stands where its
-    diagonal has all its pairs.  For the templates, votes are summed by diagonal, diagonals within
-    ``SHIFT`` of each other are merged, and a merged span counts if it has ``LEAST`` of the template's
-    distinct pairs.  score is the largest share any template has, 1 with a base phrase, 0 with none.
-
-    Null text is empty; texts without words have n_words 0 and no labels; rows that repeat are each
-    scanned; an empty table gives no rows.
+    The runs of ``K`` words of every text are hashed in one rolling pass, and those whose hash a template
+    has are votes; the templates are a fixed table, so what is looked up is too.  Spark joins the votes
+    to the template positions by hash and by the words themselves.  A vote at word i for place j of a
+    template lies on diagonal i - j.  Votes are summed by diagonal, diagonals within ``SHIFT`` of each
+    other are merged, and a merged span counts if the runs found in it have ``LEAST`` of the template's
+    words, each compared as text.  score is the largest share any template has, 1 with a base phrase, 0
+    with none.  The base is found by the phrases' own words.
+
+    Null text is empty; texts without words have n_words 0 and no labels; a very long text is scanned
+    whole, in memory of about 60 times its bytes; rows that repeat are each scanned; null ids stay;
+    columns but doc_id and text are left out; an empty table gives no rows.
     """
-    by = _votes(docs).withColumn("diagonal", F.col("at") - F.col("j"))
-    lines = by.groupBy("row", "template", "diagonal").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("pairs").alias("pairs"), F.first("label").alias("label"),
-        F.first("base").alias("base"), F.bit_or(F.expr("shiftleft(1L, j)")).alias("held"),
-    )
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = _template_rows()
+    table = spark.createDataFrame(rows, "template int, j long, hash long, run string, size long, label string")
+    known = np.unique(np.array([r[2] for r in rows], np.int64).view(np.uint64))
+    phrases = [([w.encode() for w in phrase.split()], label) for phrase, label in BASE.items()]
+    each = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = written(each.mapInArrow(_scanned(known, phrases), _OUT.format(docs.schema["doc_id"].dataType.simpleString())), "scanned")
+    votes = base.select("row", F.explode("votes").alias("v")).select("row", "v.*").join(F.broadcast(table), ["hash", "run"])
+    lines = votes.groupBy("row", "template", (F.col("at") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("js"), F.first("size").alias("size"), F.first("label").alias("label"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT) | F.col("base") | F.lag("diagonal").over(along).isNull()
-    spans = lines.withColumn("span", F.sum(apart.cast("int")).over(along)).groupBy("row", "template", "span").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "n_words", "pairs", "label", "base")], F.min("diagonal").alias("start"), F.bit_or("held").alias("held")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT, F.lit(True))
+    spans = lines.withColumn("span", F.sum(apart.cast("int")).over(along)).groupBy("row", "template", "span")
+    spans = spans.agg(F.first("size").alias("size"), F.first("label").alias("label"), F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"))
+    held = F.size(F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j, j + K - 1)))))
+    spans = spans.select("row", "label", (held / F.col("size")).alias("share"))
+    found = spans.groupBy("row").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= LEAST, F.col("label"))).alias("more"))
+    out = base.drop("votes").join(found, "row", "left")
+    labels = F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), F.coalesce("more", F.array().cast("array<string>")))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
-    share = F.when(F.col("pairs") > 0, F.bit_count("held") / F.col("pairs")).otherwise(0.0)
-    whole = F.col("base") & (share == 1)
-    seen = whole | (~F.col("base") & (F.col("pairs") > 0) & (share >= LEAST))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return spans.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.count(F.when(whole, 1)).alias("n_base"),
-        F.min(F.when(whole, F.col("start"))).alias("first_word"), F.max(F.when(whole, F.col("start"))).alias("last_word"),
-        joined(F.when(whole, F.col("label"))).alias("base_labels"), joined(F.when(seen, F.col("label"))).alias("labels"),
-        F.max(F.when(seen | ~F.col("base"), share).otherwise(0.0)).alias("score"),
-    ).drop("row")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,9 +61,10 @@ def chunks(col: pa.Array, size: int = CHUNK):
         i = j
 
 
-def word_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the number of words before it."""
-    inside = ~_SPACE[low]
+def word_spans(low: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the number of words before it.  ``apart`` says of
+    each byte whether it is outside of words."""
+    inside = ~apart[low]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -75,19 +76,35 @@ def word_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each lower-cased word, and each row's first word's number (n + 1 of them).
-
-    The hash is a polynomial in the word's bytes, taken from one running sum over all bytes, as the
-    base has an inverse modulo 2**64; it depends on the word alone.
-    """
+    """A 64-bit hash of each lower-cased word, and each row's first word's number (n + 1 of them)."""
     low = _LOWER[data]
     starts, ends, at = word_spans(low, offs)
+    return span_hashes(low, starts, ends), at
+
+
+def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes.
+
+    The hash is a polynomial in the span's bytes, taken from one running sum over all bytes, as the
+    base has an inverse modulo 2**64; it depends on the span's bytes alone.
+    """
     if not len(starts):
-        return np.zeros(0, np.uint64), at
+        return np.zeros(0, np.uint64)
     up, down = powers(len(low))
     total = np.zeros(len(low) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), at
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def rolling(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of ``k`` words: a polynomial in the words' hashes, again from one running sum."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up, out=total[1:])
+    return mixed((total[k:] - total[:-k]) * down[:n])
 
 
 def shingles(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
