@@ -22,6 +22,7 @@ class Jobs:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.pool = ThreadPoolExecutor(threads, thread_name_prefix="search")
         self.futures: dict[str, Future] = {}
+        self.cancelled: set[str] = set()
 
     def _note(self, job_id: str, params: str, state: str, result: str | None = None, error: str | None = None) -> None:
         row = self.spark.createDataFrame([(job_id, params, state, result, error)], "job_id string, params string, state string, result string, error string")
@@ -37,19 +38,29 @@ class Jobs:
         return job_id
 
     def _run(self, job_id: str, params: str, work: Callable[[], DataFrame]) -> None:
-        self.spark.addTag(job_id)
+        self.spark.sparkContext.addJobTag(job_id)
+        self.spark.sparkContext.setJobDescription(f"{params or 'job'} ({job_id})")
         try:
+            if job_id in self.cancelled:
+                raise InterruptedError("cancelled before it started")
             self._note(job_id, params, RUNNING)
             path = f"{self.folder}/results/{job_id}"
             work().write.parquet(path)
             self._note(job_id, params, COMPLETED, result=path)
         except Exception:
-            self._note(job_id, params, FAILED, error=traceback.format_exc())
+            self.spark.sparkContext.removeJobTag(job_id)  # the note is not to be interrupted as well
+            if job_id in self.cancelled:
+                self._note(job_id, params, CANCELLED)
+            else:
+                self._note(job_id, params, FAILED, error=traceback.format_exc())
         finally:
-            self.spark.removeTag(job_id)
+            self.spark.sparkContext.removeJobTag(job_id)
+            self.spark.sparkContext.setLocalProperty("spark.job.description", None)
 
     def cancel(self, job_id: str) -> None:
-        self.spark.interruptTag(job_id)
+        """Stop a job's stages, or keep it from starting; it is noted as cancelled unless it is done."""
+        self.cancelled.add(job_id)
+        self.spark.sparkContext.cancelJobsWithTag(job_id)
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.folder}/jobs")

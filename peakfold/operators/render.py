@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.dims import DIAGNOSTIC_IONS
+from ..functions.embed import DIM
+from ..functions.peaks import TOLERANCE
 
 
 def intensity(x: float) -> str:
@@ -63,10 +65,15 @@ def cosine_report(row, top: int = 15) -> str:
     return "\n".join(out + [f"  ... and {len(lost) - top} more"] * (len(lost) > top))
 
 
-def hits_report(hits: DataFrame, library_size: int, small: int = 2_000) -> str:
+def scoring(method: str) -> str:
+    """What a search compared, in words."""
+    return f"peaks, matched greedily within {TOLERANCE} Da" if method == "classical" else f"embeddings of the {method} kind, {DIM} numbers each"
+
+
+def hits_report(hits: DataFrame, library_size: int, small: int = 2_000, method: str | None = None) -> str:
     """Of the rows that ``search`` limits to its top."""
     rows = hits.orderBy("rank").collect()
-    out = [f"Library: {library_size:,} spectra"]
+    out = [f"Library: {library_size:,} spectra"] + [f"Scored by {scoring(method)}"] * (method is not None)
     if library_size < small:
         out.append(f"WARNING: fewer than {small} spectra; judged by empirical p-values instead of q-values.")
     if not rows:
@@ -85,7 +92,23 @@ def qc_report(row) -> str:
         f"Chimericity: {row['chimericity_grade']} ({row['n_chimeric']} spectra, {row['pct_chimeric']:.1f} %)",
     ]
     out += [f"  {name} ({mz:.4f}): {row[f'bit_{bit}']} spectra, {row[f'bit_{bit}'] / n * 100:.1f} %" for bit, name, mz in DIAGNOSTIC_IONS if mz > 0]
+    bit, name, mz = DIAGNOSTIC_IONS[0]
+    seen = row[f"bit_{bit}"]
+    out.append(f"{name} ({mz:.3f} Da): in {seen} of {n} spectra, {seen / n * 100:.1f} %" if seen else f"{name} ({mz:.3f} Da): in no spectrum")
     if row["prevalent_ions"] >= 3:
         out.append("Several diagnostic ions are frequent: the sample may be rich in peptides.")
     out.append(f"Recommendation: {row['recommendation']} (classical {row['score_classical']:+d}, ml {row['score_ml']:+d})")
-    return "\n".join(out)
+    return "\n".join(out + [f"  because {reason}" for reason in reasons(row)])
+
+
+def reasons(row) -> list[str]:
+    """What speaks for the verdict, from the roll-ups that decide it."""
+    noisy, mixed, sparse = row["pct_low_snr"], row["pct_chimeric"], row["pct_sparse"]
+    out = [f"{noisy:.1f} % of spectra are noisy, which blurs peak matching" if noisy > 20 else f"few spectra are noisy ({noisy:.1f} %)"]
+    out.append(f"{mixed:.1f} % of spectra mix precursors, which a learned model separates better" if mixed > 10 else f"few spectra mix precursors ({mixed:.1f} %), so peaks match cleanly")
+    if sparse > 20:
+        out.append(f"{sparse:.1f} % of spectra have too few peaks to match")
+    out.append(f"{row['richness']} diagnostic ions are frequent" + (", more than plain matching makes use of" if row["richness"] >= 4 else ""))
+    if row["recommendation"] == "hybrid":
+        out.append("both sides weigh the same: match the clean spectra by peaks, the noisy and mixed ones by a model, and join the results")
+    return out

@@ -23,9 +23,9 @@ def peak_list(key: Column, n: Column, precursor: Column, seed: int = 0) -> Colum
 
     def fragment(i: Column) -> Column:
         mz = 50 + uniform(seed, key, i) * (precursor * 0.95 - 50)
-        return F.struct(F.round(mz, 4).alias("mz"), F.round(-500 * F.log(1 - uniform(seed + 2, key, i)) * (0.5 + 1.5 * uniform(seed + 3, key, i)), 2).alias("intensity"))
+        return F.struct(F.bround(mz, 4).alias("mz"), F.bround(-500 * F.log(1 - uniform(seed + 2, key, i)) * (0.5 + 1.5 * uniform(seed + 3, key, i)), 2).alias("intensity"))
 
-    last = F.struct(F.round(precursor + 0.2 * uniform(seed + 4, key) - 0.1, 4).alias("mz"), F.round(100 + 900 * uniform(seed + 5, key), 2).alias("intensity"))
+    last = F.struct(F.bround(precursor + 0.2 * uniform(seed + 4, key) - 0.1, 4).alias("mz"), F.bround(100 + 900 * uniform(seed + 5, key), 2).alias("intensity"))
     return F.concat(F.array_sort(F.transform(F.sequence(F.lit(1), n), fragment)), F.array(last)).cast(f"array<{PEAK}>")
 
 
@@ -34,7 +34,7 @@ def library(spark: SparkSession, n_spectra: int = 2500, seed: int = 42) -> DataF
     pool = table(spark, "compounds")
     size = pool.count()
     rows = spark.range(1, n_spectra + 1).select("id", F.floor(uniform(seed, F.col("id")) * size).cast("int").alias("compound_id"))
-    precursor = F.round(150 + 700 * uniform(seed + 10, F.col("compound_id")) + 0.05 * normal(seed + 11, F.col("id")), 4)
+    precursor = F.bround(150 + 700 * uniform(seed + 10, F.col("compound_id")) + 0.05 * normal(seed + 11, F.col("id")), 4)
     rows = rows.withColumn("precursor_mz", precursor).join(F.broadcast(pool), "compound_id")
     n = (8 + F.floor(33 * uniform(seed + 20, F.col("id")))).cast("int")
     return rows.select("id", "compound_name", "formula", "precursor_mz", (F.col("id") % 40).alias("run_id"), peak_list(F.col("id"), n, F.col("precursor_mz"), seed + 30).alias("peaks"))

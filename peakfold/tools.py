@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from .sources import files
 _LIST = "array<struct<mz:double,intensity:double>>"
 
 
-def ping(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("ok", f"peakfold {__version__} on Spark {spark.version}")], "status string, message string")
+def ping(spark: SparkSession, extra: str = "rdkit") -> DataFrame:
+    """status, message, and whether the optional chemistry module can be imported."""
+    return spark.createDataFrame([("ok", f"peakfold {__version__} on Spark {spark.version}", find_spec(extra) is not None)], "status string, message string, chem_extra boolean")
 
 
 def load_mzml_summary(spark: SparkSession, file_path: str, max_spectra: int = 5, noise_threshold: float = 0.0) -> str:
@@ -64,7 +66,7 @@ def generate_qc_summary(library: DataFrame) -> str:
 def search_library(jobs: Jobs, query: DataFrame, library: DataFrame, scoring_method: str = "classical") -> str:
     """Dispatch a search and return its job id at once."""
     similarity.check_method(scoring_method)
-    return jobs.dispatch(lambda: search.search(query, library, scoring_method).withColumn("library_size", F.lit(library.count())), f"search, {scoring_method}")
+    return jobs.dispatch(lambda: search.search(query, library, scoring_method).withColumns({"library_size": F.lit(library.count()), "scoring": F.lit(scoring_method)}), f"search, {scoring_method}")
 
 
 def check_search_status(jobs: Jobs, job_id: str) -> str:
@@ -73,5 +75,5 @@ def check_search_status(jobs: Jobs, job_id: str) -> str:
     if found["state"] == COMPLETED:
         hits = jobs.result(job_id)
         first = hits.first()
-        return render.hits_report(hits, first["library_size"] if first else 0)
+        return render.hits_report(hits, first["library_size"] if first else 0, method=first["scoring"] if first else None)
     return f"{found['message']}\n\n{found['error']}" if found["state"] == FAILED else found["message"]

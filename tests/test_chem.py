@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from peakfold.functions import chem, dims
 from peakfold.operators import render
 
+# The adducts' shifts, charges and expressions.
 GOLDEN = {
     "[M+H]+": (1.006728, 1, "M + 1.006728 Da"),
     "[M+Na]+": (22.989221, 1, "M + 22.989221 Da"),
@@ -70,6 +71,7 @@ def pattern(spark, *formulas):
 
 
 def test_isotopes(spark):
+    # Monoisotopic masses and shares of the next isotopologues.
     mono = {"CH4": 16.031300128, "H2O": 18.010564683, "C2H6O": 46.041864811, "C6H12O6": 180.063388098, "C7H6O": 106.041864811, "C8H10N4O2": 194.080375574}
     shares = {"H2O": (0.000611, 0.002055), "C6H12O6": (0.068560, 0.014680), "C8H10N4O2": (0.103212, 0.009436), "Cl": (0.319609, 0.051075)}
     got = pattern(spark, *mono, "Cl", "CaCl2", "Fe")

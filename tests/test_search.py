@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakfold.operators import qc, render, search, stats, summary
-from peakfold.operators.jobs import COMPLETED, FAILED, Jobs
+from peakfold.operators.jobs import CANCELLED, COMPLETED, FAILED, RUNNING, Jobs
 from peakfold.sources import files
 from peakfold.streaming import watch
 
@@ -104,6 +104,36 @@ def test_jobs(spark, tmp_path):
         jobs.result(bad)
 
 
+def test_cancelled_jobs(spark, tmp_path):
+    jobs = Jobs(spark, str(tmp_path), threads=1)
+    slow = jobs.dispatch(lambda: spark.range(0, 4, 1, 4).select(F.udf(lambda _: time.sleep(60))("id").alias("x")), "slow")
+    late = jobs.dispatch(lambda: spark.range(1), "late")
+    for _ in range(120):
+        if jobs.status(slow)["state"] == RUNNING:
+            break
+        time.sleep(0.25)
+    time.sleep(2)
+    for job in (late, slow):
+        jobs.cancel(job)
+    for job in (slow, late):
+        jobs.wait(job, 50)
+    assert jobs.status(slow)["state"] == jobs.status(late)["state"] == CANCELLED and "cancelled" in jobs.status(late)["message"]
+
+
+def test_null_draws_with_gaps(spark):
+    rows = [(n * n + 5, n / 100) for n in range(100)]
+    got = sorted(r.score for r in search.bootstrap_null(spark.createDataFrame(rows, "id long, score double")).collect())
+    assert got == sorted(rows[(n * 7919 + 13) % 100][1] for n in range(100))
+
+
+def test_reports_give_method_and_reasons(spark):
+    rows, _ = library(spark, 40)
+    query = spark.createDataFrame([([(60.0, 5.0), (61.0, 7.0)],)], f"query {LIST}")
+    assert "matched greedily" in render.hits_report(search.search(query, rows), 40, method="classical") and "dreams" in render.scoring("dreams")
+    text = render.qc_report(qc.graded(qc.summary(qc.metrics(rows))).first())
+    assert "because" in text and "136.076" in text
+
+
 def test_path_guards(tmp_path):
     assert "Unsupported vendor format '.raw'" in files.check_path("x.RAW") and ".d" in files.check_path("x.d")
     assert "Unrecognised" in files.check_path("x.txt") and "not found" in files.check_path(str(tmp_path / "x.mgf"))
