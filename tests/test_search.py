@@ -106,7 +106,7 @@ def test_jobs(spark, tmp_path):
 
 def test_cancelled_jobs(spark, tmp_path):
     jobs = Jobs(spark, str(tmp_path), threads=1)
-    slow = jobs.dispatch(lambda: spark.range(0, 4, 1, 4).select(F.udf(lambda _: time.sleep(60))("id").alias("x")), "slow")
+    slow = jobs.dispatch(lambda: spark.range(0, 2, 1, 2).select(F.udf(lambda _: time.sleep(60))("id").alias("x")), "slow")
     late = jobs.dispatch(lambda: spark.range(1), "late")
     for _ in range(120):
         if jobs.status(slow)["state"] == RUNNING:
