@@ -170,9 +170,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         found = exact_groups(docs, scratch=scratch).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
         odd = written(found.where("not kept or n > 1").withColumn("key", F.xxhash64("id", "sha")), "dropped")
     alone = without(rows, odd.select(*by), by)
-    again = odd.where("kept")  # rows that repeat with their id: one of them stays
-    once = rows.join(again, (rows["key"] == again["key"]) & rows["id"].eqNullSafe(again["id"]) & (rows["sha"] == again["sha"]), "left_semi").dropDuplicates(by)
-    return alone.unionByName(once).select("doc.*")
+    again = odd.where("kept").select(*by)
+    if not again.isEmpty():  # rows that repeat with their id: one of them stays
+        may = may_hold(BoundedFilter(again.select("key"), again.count()))
+        same = (rows["key"] == again["key"]) & rows["id"].eqNullSafe(again["id"]) & (rows["sha"] == again["sha"])
+        alone = alone.unionByName(rows.where(may("key")).join(again, same, "left_semi").dropDuplicates(by))
+    return alone.select("doc.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
