@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, let_go, small_batches
 
-MOVES = 400_000  # transitions held at once; all are made anew when there are more
+MOVES = 300_000  # transitions held at once; all are made anew when there are more
 LOOKAHEAD = 32  # bytes not settled from which the machine looks for tokens to emit
 FOLLOWS, SPINES = 100_000, 10_000  # pairs of tokens, and tokens, whose borders are remembered
 LONG = 200  # characters beyond which a piece is not remembered
-PIECES = 130_000  # encoded pieces in each of two generations that a task remembers
+PIECES = 90_000  # encoded pieces in each of two generations that a task remembers
 OUT_BYTES, OUT_ROWS = 1 << 20, 500  # ids and rows of a batch that goes out, about
 NEVER = 1 << 40
 

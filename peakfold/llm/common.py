@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import clean as _clean
+from ..operators.tables import shared_dir
+
 #: A word is a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +21,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of the bounded membership filter: 4 MB at most, whatever the input's size.
 FILTER_BITS = 1 << 25
 _SEGMENT = 1 << 12  # bytes of a filter that travel in one row
-_own_dir: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows and bytes of text that go to a Python worker at once, at most.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -48,16 +49,6 @@ def let_go() -> None:
         pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _own_dir:
-        _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="peakfold-")
-    return _own_dir["dir"]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
@@ -96,10 +87,7 @@ class Scratch:
 
 def clean(spark: SparkSession) -> None:
     """Delete the tables :func:`written` has left.  Results that read them must be stored first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "llm-*")) or []:
-        fs.delete(status.getPath(), True)
+    _clean(spark, "llm")
 
 
 def lowered(col) -> "F.Column":
