@@ -187,3 +187,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
+
+
+BASE_SQL = r"""
+WITH phrases AS (
+  SELECT string_split(phrase, ' ') AS p, label FROM (VALUES ('cc by', 'cc-by'), ('general public license', 'gpl'), ('all rights reserved', 'reserved')) t(phrase, label)),
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+places AS (
+  SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) JOIN phrases ON w[i:i + len(p) - 1] = p)
+SELECT doc_id, len(w)::BIGINT AS n_words, count(place)::BIGINT AS n_base, coalesce(min(place), -1)::BIGINT AS first_word, coalesce(max(place), -1)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM words LEFT JOIN places USING (doc_id) GROUP BY doc_id, w
+"""

@@ -266,3 +266,21 @@ def personal(docs: DataFrame, **options) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal(documents(spark, sf_dir))
+
+
+BASE_SQL = r"""
+WITH found AS (
+  SELECT doc_id,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+         regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards,
+         list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones
+  FROM documents)
+SELECT doc_id, len(emails)::BIGINT AS n_email,
+       len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda y: y::HUGEINT > 255)) = 0))::BIGINT AS n_ip,
+       len(list_filter(cards, lambda x: len(x) BETWEEN 14 AND 19 AND
+         list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE
+           WHEN i % 2 = 1 THEN reverse(x)[i]::INT WHEN reverse(x)[i]::INT > 4 THEN reverse(x)[i]::INT * 2 - 9 ELSE reverse(x)[i]::INT * 2 END)) % 10 = 0))::BIGINT AS n_card,
+       len(list_filter(phones, lambda x: len(x) BETWEEN 10 AND 15))::BIGINT AS n_phone
+FROM found
+"""
