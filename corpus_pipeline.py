@@ -9,12 +9,14 @@ from peakfold.llm.common import documents, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows teach; those without letters or in none go."""
+    """Documents in a language that the labelled rows teach; those without letters (null and empty texts
+    too) or in none go.  Columns, nulls in others and repeated rows stay as they are."""
     return language_id.in_language(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that with the largest doc_id."""
+    """One document of each text, that with the largest doc_id (null below all others); null counts as
+    empty, and of rows that repeat one stays."""
     return exact_dedup.deduplicated(docs)
 
 
@@ -25,18 +27,20 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as its source's target takes it."""
+    """Whole documents, each as often as its source's target takes it; a null source is one of its own,
+    and a document without words is taken once."""
     return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the check sums of ids and decoded bytes."""
+    """Token ids of every document, and the check sums of ids and decoded bytes; null counts as empty."""
     return bpe.encoded(docs, with_ids=True)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("byte-level BPE", encode)]
 
-#: The stages learn and hash in ways that SQL has no words for; the tests hold them against brute force.
+#: The stages learn and hash in ways that SQL has no words for; the operators are tested against brute
+#: force, the stages by the documents that stay.
 ORACLE_SQL = None
 
 
