@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, pii, token_files
+from . import alignment, bpe, class_lm, exact_dedup, fingerprints, language_id, license_scan, mixing, near_dedup, pieces, pii, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8,
     "op9_pii": pii.op9,
     "op10_byte_bpe": bpe.op10,
+    "op11_sentencepiece": pieces.op11,
+    "op12_alignment": alignment.op12,
 }
 #: Views on the rows of op 2 and op 9: the columns that SQL can state.
 QUERIES |= {
