@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import DIAGNOSTIC_IONS, table
 from ..functions.peaks import ion_mask
+from .quantiles import exact_quantile
+from .tables import materialized
 
 HALF_WINDOW = 0.7  # Da on either side of a precursor
 BLOCK = 70.0  # Da of precursor m/z that one window task gets
@@ -27,8 +29,9 @@ def co_isolated(spectra: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.expr(around)).where("home = block").select("id", F.col("n").cast("int").alias("n_co_isolated"))
 
 
-def metrics(library: DataFrame) -> DataFrame:
-    """id, snr, n_peaks, precursor_mz, diag_mask, is_chimeric, n_co_isolated of each spectrum.
+def metrics(library: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, snr, n_peaks, precursor_mz, diag_mask, is_chimeric, n_co_isolated of each spectrum, and the
+    columns to ``keep``.
 
     snr is the largest intensity over the exact 10th percentile (null without peaks).
     """
@@ -37,22 +40,36 @@ def metrics(library: DataFrame) -> DataFrame:
     low = F.floor(place).cast("int")
     below, above = F.get(x, low), F.coalesce(F.get(x, low + 1), F.get(x, low))
     tenth = below + (above - below) * (place - low)
-    own = library.select("id", "precursor_mz", F.size("peaks").alias("n_peaks"), F.when(F.size("peaks") > 0, F.array_max(x) / tenth).alias("snr"), ion_mask(F.col("peaks"), DIAGNOSTIC_IONS).alias("diag_mask"))
+    own = library.select("id", *keep, "precursor_mz", F.size("peaks").alias("n_peaks"), F.when(F.size("peaks") > 0, F.array_max(x) / tenth).alias("snr"), ion_mask(F.col("peaks"), DIAGNOSTIC_IONS).alias("diag_mask"))
     joined = own.join(co_isolated(library.select("id", "run_id", "precursor_mz")), "id")
-    return joined.select("id", "snr", "n_peaks", "precursor_mz", "diag_mask", (F.col("n_co_isolated") > 0).alias("is_chimeric"), "n_co_isolated")
+    return joined.select("id", "snr", "n_peaks", "precursor_mz", "diag_mask", (F.col("n_co_isolated") > 0).alias("is_chimeric"), "n_co_isolated", *keep)
 
 
 def _share(condition: Column) -> Column:
     return F.count_if(condition) / F.count("*") * 100
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """One row with all roll-ups, from one aggregation."""
+def summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All roll-ups, as one row or one for each group ``by``.  All but the exact medians are from one
+    aggregation; the medians are selected range by range (:mod:`.quantiles`), so no task holds the
+    values of all spectra, or of a large group."""
+    rows = materialized(rows.select(*by, "snr", "n_peaks", "diag_mask", "is_chimeric", "n_co_isolated"), "metrics")
+    out = _roll_up(rows, by)
+    for c, name in (("snr", "median_snr"), ("n_peaks", "median_peaks")):
+        middle = exact_quantile(rows, c, by=by).select(*[F.col(k).alias(f"_{k}") for k in by], F.col("quantile").alias(name))
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(middle, same, "left").drop(*[f"_{k}" for k in by])
+    return out
+
+
+def _roll_up(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     snr, n = F.col("snr"), F.col("n_peaks")
     bits = [F.count_if(F.col("diag_mask").bitwiseAND(1 << bit) > 0).alias(f"bit_{bit}") for bit, _, _ in DIAGNOSTIC_IONS]
-    return rows.agg(
-        F.count("*").alias("n_spectra"), F.avg(snr).alias("mean_snr"), F.median(snr).alias("median_snr"), _share(snr < 3).alias("pct_low_snr"), _share(snr > 100).alias("pct_high_snr"),
-        F.avg(n).alias("mean_peaks"), F.median(n).alias("median_peaks"), F.stddev_pop(n).alias("std_peaks"), _share(n < 5).alias("pct_sparse"), _share(n > 100).alias("pct_dense"),
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n_spectra"), F.avg(snr).alias("mean_snr"), _share(snr < 3).alias("pct_low_snr"), _share(snr > 100).alias("pct_high_snr"),
+        F.avg(n).alias("mean_peaks"), F.stddev_pop(n).alias("std_peaks"), _share(n < 5).alias("pct_sparse"), _share(n > 100).alias("pct_dense"),
         F.count_if(F.col("is_chimeric")).alias("n_chimeric"), _share(F.col("is_chimeric")).alias("pct_chimeric"),
         F.avg(F.when(F.col("n_co_isolated") > 0, F.col("n_co_isolated"))).alias("mean_co_isolated"), *bits,
     )

@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +40,23 @@ def clean(spark: SparkSession, *kinds: str) -> None:
             fs.delete(status.getPath(), True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """The tables that :func:`materialized` writes within go at the end; what is read from them must be
+    stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back.  Lineage ends here, so a lost executor costs a read."""
     path = f"{shared_dir(df.sparkSession)}/core-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -375,16 +375,21 @@ def library_search_mode(spark, d):
 ION_ROWS = [(b, n, m) for b, n, m in DIAGNOSTIC_IONS if m > 0]
 MASK_SQL = f"""masks AS (SELECT id, ({" + ".join(f"CASE WHEN bool_or(abs(mz - {m!r}::DOUBLE) <= 0.02::DOUBLE) THEN {1 << b} ELSE 0 END" for b, _, m in ION_ROWS)})::INT AS diag_mask
   FROM spectra LEFT JOIN peaks ON id = spectrum_id GROUP BY id)"""
-METRIC_SQL = f"""{PEAKS_SQL}, {SPECTRA_SQL}, {MASK_SQL},
-own AS (SELECT id, count(mz)::INT AS n_peaks, max(intensity) / quantile_cont(intensity, 0.1) AS snr FROM spectra LEFT JOIN peaks ON id = spectrum_id GROUP BY id),
-co AS (SELECT a.id, (count(*) - 1)::INT AS n_co_isolated FROM spectra a JOIN spectra b ON a.run_id = b.run_id AND b.precursor_mz BETWEEN a.precursor_mz - 0.7::DOUBLE AND a.precursor_mz + 0.7::DOUBLE GROUP BY a.id),
-metrics AS (SELECT id, snr, n_peaks, diag_mask, n_co_isolated > 0 AS is_chimeric, n_co_isolated FROM own JOIN masks USING (id) JOIN co USING (id)),
-totals AS (SELECT count(*) AS n, avg(snr) AS mean_snr, median(snr) AS median_snr, count(*) FILTER (snr < 3) * 100.0::DOUBLE / count(*) AS pct_low_snr,
+#: The roll-up columns over the rows of ``metrics``.
+TOTALS_SQL = f"""count(*) AS n, avg(snr) AS mean_snr, median(snr) AS median_snr, count(*) FILTER (snr < 3) * 100.0::DOUBLE / count(*) AS pct_low_snr,
   count(*) FILTER (snr > 100) * 100.0::DOUBLE / count(*) AS pct_high_snr, avg(n_peaks) AS mean_peaks, median(n_peaks) AS median_peaks, stddev_pop(n_peaks) AS std_peaks,
   count(*) FILTER (n_peaks < 5) * 100.0::DOUBLE / count(*) AS pct_sparse, count(*) FILTER (n_peaks > 100) * 100.0::DOUBLE / count(*) AS pct_dense,
   count(*) FILTER (is_chimeric) AS n_chimeric, count(*) FILTER (is_chimeric) * 100.0::DOUBLE / count(*) AS pct_chimeric,
   avg(n_co_isolated) FILTER (n_co_isolated > 0) AS mean_co_isolated,
-  ({" + ".join(f"CASE WHEN (count(*) FILTER (diag_mask & {1 << b} > 0))::DOUBLE / count(*) > 0.1 THEN 1 ELSE 0 END" for b, _, _ in DIAGNOSTIC_IONS)})::INT AS richness FROM metrics)"""
+  ({" + ".join(f"CASE WHEN (count(*) FILTER (diag_mask & {1 << b} > 0))::DOUBLE / count(*) > 0.1 THEN 1 ELSE 0 END" for b, _, _ in DIAGNOSTIC_IONS)})::INT AS richness"""
+METRIC_SQL = f"""{PEAKS_SQL}, {SPECTRA_SQL}, {MASK_SQL},
+own AS (SELECT id, count(mz)::INT AS n_peaks, max(intensity) / quantile_cont(intensity, 0.1) AS snr FROM spectra LEFT JOIN peaks ON id = spectrum_id GROUP BY id),
+co AS (SELECT a.id, (count(*) - 1)::INT AS n_co_isolated FROM spectra a JOIN spectra b ON a.run_id = b.run_id AND b.precursor_mz BETWEEN a.precursor_mz - 0.7::DOUBLE AND a.precursor_mz + 0.7::DOUBLE GROUP BY a.id),
+metrics AS (SELECT id, run_id, snr, n_peaks, diag_mask, n_co_isolated > 0 AS is_chimeric, n_co_isolated FROM own JOIN masks USING (id) JOIN co USING (id) JOIN spectra USING (id)),
+totals AS (SELECT {TOTALS_SQL} FROM metrics)"""
+POINTS_SQL = """(CASE WHEN pct_low_snr > 20 THEN -1 ELSE 2 END + CASE WHEN pct_chimeric > 20 THEN -2 WHEN pct_chimeric > 10 THEN 0 ELSE 2 END + CASE WHEN pct_sparse > 20 THEN -1 ELSE 0 END + CASE WHEN richness >= 4 THEN 0 ELSE 1 END)::INT AS score_classical,
+      (CASE WHEN pct_low_snr > 20 THEN 2 ELSE 0 END + CASE WHEN pct_chimeric > 20 THEN 3 WHEN pct_chimeric > 10 THEN 1 ELSE 0 END + CASE WHEN pct_sparse > 20 THEN 1 ELSE 0 END + CASE WHEN richness >= 4 THEN 1 ELSE 0 END)::INT AS score_ml"""
+VERDICT_SQL = "CASE WHEN score_ml > score_classical THEN 'ml' WHEN score_classical > score_ml THEN 'classical' ELSE 'hybrid' END AS recommendation"
 
 
 def _metrics(spark, d):
@@ -442,10 +447,7 @@ def qc_chimericity(spark, d):
 
 @query(
     "qc_route",
-    f"""WITH {METRIC_SQL}, points AS (SELECT
-      (CASE WHEN pct_low_snr > 20 THEN -1 ELSE 2 END + CASE WHEN pct_chimeric > 20 THEN -2 WHEN pct_chimeric > 10 THEN 0 ELSE 2 END + CASE WHEN pct_sparse > 20 THEN -1 ELSE 0 END + CASE WHEN richness >= 4 THEN 0 ELSE 1 END)::INT AS score_classical,
-      (CASE WHEN pct_low_snr > 20 THEN 2 ELSE 0 END + CASE WHEN pct_chimeric > 20 THEN 3 WHEN pct_chimeric > 10 THEN 1 ELSE 0 END + CASE WHEN pct_sparse > 20 THEN 1 ELSE 0 END + CASE WHEN richness >= 4 THEN 1 ELSE 0 END)::INT AS score_ml FROM totals)
-    SELECT *, CASE WHEN score_ml > score_classical THEN 'ml' WHEN score_classical > score_ml THEN 'classical' ELSE 'hybrid' END AS recommendation FROM points""",
+    f"WITH {METRIC_SQL}, points AS (SELECT {POINTS_SQL} FROM totals) SELECT *, {VERDICT_SQL} FROM points",
 )
 def qc_route(spark, d):
     return qc.graded(qc.summary(_metrics(spark, d))).select("score_classical", "score_ml", "recommendation")
