@@ -96,5 +96,26 @@ def isotope_patterns(df: DataFrame, col: str = "formula") -> DataFrame:
     return good.unionByName(bad.select("formula", null("label", "string"), null("mass", "double"), null("abundance", "double"), "error"))
 
 
+def isotope_columns(formula: Column) -> Column:
+    """struct<mass, m1, m2> of a formula: the monoisotopic mass and the abundances of M+1 and M+2 against M;
+    null for a formula with an error.  The same sums as :func:`isotope_patterns`, without a join or a
+    grouping, for columns of any size and for streams."""
+    known = []
+    for element, isotopes in ISOTOPES.items():
+        first = isotopes[0][1]
+        more = [isotopes[k][1] / first if k < len(isotopes) else 0.0 for k in (1, 2)]
+        known += [F.lit(element), F.struct(F.lit(isotopes[0][0]).alias("mass"), F.lit(more[0]).alias("p1"), F.lit(more[1]).alias("p2"))]
+    table_ = F.create_map(*known)
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("p1"), F.lit(0.0).alias("p2"))
+
+    def add(acc: Column, e: Column) -> Column:
+        one = F.try_element_at(table_, e["element"])
+        return F.struct(*[(acc[c] + e["n"] * one[c]).alias(c) for c in ("mass", "p1", "p2")])
+
+    total = F.aggregate(elements(formula), start, add)
+    made = F.struct(total["mass"].alias("mass"), total["p1"].alias("m1"), (total["p1"] * total["p1"] / 2 + total["p2"]).alias("m2"))
+    return F.when(formula_error(formula).isNull() & total["mass"].isNotNull(), made)
+
+
 def adduct_names() -> list[str]:
     return [a for a, _, _ in ADDUCTS]
