@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dims import ADDUCTS, ISOTOPES, NEUTRON, table
+from .smiles import composition, hill
 
 _TOKEN = "([A-Z][a-z]?)([0-9]*)"
 
@@ -40,11 +41,13 @@ def lookup_adducts(df: DataFrame, col: str = "adduct_string") -> DataFrame:
     return out.withColumn("rejected", F.col("canonical").isNull())
 
 
-def smiles_formula(df: DataFrame, col: str = "smiles") -> DataFrame:
-    """Adds formula: that of a known structure, else the string itself."""
+def smiles_formula(df: DataFrame, col: str = "smiles", read: bool = False) -> DataFrame:
+    """Adds formula: that of a known structure, else, with ``read``, that of the structure as written, in
+    Hill order; else the string itself."""
     known = table(df.sparkSession, "smiles").withColumnRenamed("smiles", "_known")
     out = df.join(F.broadcast(known), df[col] == F.col("_known"), "left")
-    return out.withColumn("formula", F.coalesce("known_formula", F.col(col))).drop("_known", "known_formula")
+    other = F.coalesce(hill(composition(F.col(col))), F.col(col)) if read else F.col(col)
+    return out.withColumn("formula", F.coalesce("known_formula", other)).drop("_known", "known_formula")
 
 
 def elements(formula: Column) -> Column:

@@ -239,6 +239,39 @@ def smiles_formula(spark, d):
     return chem.smiles_formula(spark.createDataFrame([(s,) for s in STRUCTURES], "smiles string"))
 
 
+#: Middles and ends of the structures that the parts table stands for, with their atoms.
+MIDDLES = [
+    ("", 0, 0, 0, 0, 0), ("c1ccc(cc1)", 6, 4, 0, 0, 0), ("C(=O)N", 1, 1, 1, 1, 0), ("N1CCN(CC1)", 4, 8, 2, 0, 0), ("[C@H](N)", 1, 3, 1, 0, 0), ("S(=O)(=O)", 0, 0, 0, 2, 1),
+    ("/C=C/", 2, 2, 0, 0, 0), ("c1ncc([nH]1)", 3, 2, 2, 0, 0), ("C%11CCC(CC%11)", 6, 10, 0, 0, 0), ("[13CH2]", 1, 2, 0, 0, 0), ("c1cc2ccccc2n1", 8, 5, 1, 0, 0),
+]
+TAILS = [
+    ("O", 0, 1, 0, 1, 0, "", ""), ("N", 0, 2, 1, 0, 0, "", ""), ("C(=O)O", 1, 1, 0, 2, 0, "", ""), ("C#N", 1, 0, 1, 0, 0, "", ""), ("Cl", 0, 0, 0, 0, 0, "Cl", ""), ("[N+](=O)[O-]", 0, 0, 1, 2, 0, "", ""),
+    ("OP(=O)(O)O", 0, 2, 0, 4, 0, "", "P"), ("[Si](C)(C)C", 3, 9, 0, 0, 0, "", "Si"), ("C(=O)[O-].[Na+]", 1, 0, 0, 2, 0, "", "Na"), ("S", 0, 1, 0, 0, 1, "", ""), ("C(F)(F)F", 1, 0, 0, 0, 0, "F3", ""),
+]
+_ROWS = lambda rows: ", ".join(f"({n}, " + ", ".join(repr(x) for x in r) + ")" for n, r in enumerate(rows))
+_COUNT = lambda e: f"CASE {e} WHEN 0 THEN '' WHEN 1 THEN upper('{e}') ELSE upper('{e}') || {e} END"
+
+
+def structures(spark, d) -> DataFrame:
+    """id and smiles: a chain of 1 to 12 carbons, a middle and a tail for each part."""
+    key = F.col("p_partkey")
+    pick = lambda rows, by: F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (by % len(rows) + 1).cast("int"))
+    text = F.concat(F.expr("repeat('C', cast(p_partkey % 12 + 1 as int))"), pick(MIDDLES, F.floor(key / 12)), pick(TAILS, F.floor(key / 7)))
+    return views.read(spark, d, "part").select(key.alias("id"), text.alias("smiles"))
+
+
+@query(
+    "structure_formulas",
+    f"""WITH middles(i, mid, c1, h1, n1, o1, s1) AS (VALUES {_ROWS(MIDDLES)}), tails(j, tail, c2, h2, n2, o2, s2, halogen, other) AS (VALUES {_ROWS(TAILS)}),
+    counted AS (SELECT p_partkey AS id, repeat('C', (p_partkey % 12 + 1)::INT) || mid || tail AS smiles, p_partkey % 12 + 1 + c1 + c2 AS c, 2 * (p_partkey % 12 + 1) + 1 + h1 + h2 AS h, n1 + n2 AS n,
+      o1 + o2 AS o, s1 + s2 AS s, halogen, other FROM part JOIN middles ON i = (p_partkey // 12) % {len(MIDDLES)} JOIN tails ON j = (p_partkey // 7) % {len(TAILS)})
+    SELECT id, smiles, {_COUNT("c")} || {_COUNT("h")} || halogen || {_COUNT("n")} || CASE other WHEN 'Na' THEN 'Na' ELSE '' END || {_COUNT("o")} || CASE other WHEN 'P' THEN 'P' ELSE '' END
+      || {_COUNT("s")} || CASE other WHEN 'Si' THEN 'Si' ELSE '' END AS formula FROM counted""",
+)
+def structure_formulas(spark, d):
+    return chem.smiles_formula(structures(spark, d), read=True)
+
+
 @query(
     "precursor_ppm",
     f"WITH {SPECTRA_SQL} SELECT id, round(abs(precursor_mz - e) / precursor_mz * 1e6::DOUBLE, 9) AS ppm, abs(precursor_mz - e) / precursor_mz * 1e6::DOUBLE <= 5.0::DOUBLE AS passed FROM (SELECT *, precursor_mz + (id % 21 - 10) * 0.0004::DOUBLE AS e FROM spectra)",

@@ -44,7 +44,7 @@ def predict_adduct_offset(spark: SparkSession, adduct_string: str) -> str:
 def annotate_isotopes(spark: SparkSession, identifier: str, is_smiles: bool = False) -> str:
     chem.require_length(identifier, 1, "identifier")
     rows = spark.createDataFrame([(identifier,)], "smiles string")
-    rows = chem.smiles_formula(rows) if is_smiles else rows.withColumn("formula", F.col("smiles"))
+    rows = chem.smiles_formula(rows, read=True) if is_smiles else rows.withColumn("formula", F.col("smiles"))
     return render.isotope_report(chem.isotope_patterns(rows).collect())
 
 
