@@ -44,44 +44,77 @@ def list_error(peaks: Column, label: str) -> Column:
     return F.when(F.coalesce(F.size(peaks), F.lit(0)) < 1, F.lit(f"{label} peaks must not be empty")).when(bad.isNotNull(), text)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used in there."""
+    return F.transform(F.array(value), body)[0]
+
+
+def lower_bound(items: Column, steps: Column, below) -> Column:
+    """The number of leading items for which ``below`` holds, which no later one follows for which it does:
+    a binary search by ``steps``, falling powers of two that sum to the length at least."""
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.size(items)) & below(F.get(items, at + s - 1)), at + s).otherwise(at))
+
+
+def halving(n: Column) -> Column:
+    """Falling powers of two whose sum is n at least."""
+    return F.transform(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+
+
 def greedy_match(query: Column, reference: Column, tolerance: Column | float = TOLERANCE) -> Column:
     """struct<score, n, unmatched> of the greedy one-to-one matching.
 
     The query's peaks are taken in their order.  Each takes the nearest peak of the reference within
     the tolerance (both ends of mz - tol .. mz + tol belong to it) that none has taken; of two equally
     near the lower m/z.  score is the cosine of the matched intensities, 0 without any.
+
+    The reference is sorted once.  A query peak finds the two ends of its window by binary search and
+    looks at that slice alone; taken peaks below the window are forgotten if the query rises in m/z.
     """
     tol = F.lit(float(tolerance)) if isinstance(tolerance, (int, float)) else tolerance
     valid = lambda p: p["mz"].isNotNull() & p["intensity"].isNotNull()
-    ref = F.transform(F.array_sort(F.filter(reference, valid)), lambda p, i: F.struct(p["mz"].alias("mz"), p["intensity"].alias("x"), i.alias("i")))
+    ordered = F.transform(F.array_sort(F.filter(reference, valid)), lambda p, i: F.struct(p["mz"].alias("mz"), p["intensity"].alias("x"), i.alias("i")))
+    own = F.filter(query, valid)
+    rises = F.array_sort(F.transform(own, lambda p: p["mz"])) == F.transform(own, lambda p: p["mz"])
+    sides = F.struct(ordered.alias("ref"), own.alias("query"), rises.alias("rises"), halving(F.greatest(F.size(ordered), F.lit(1))).alias("steps"))
     start = F.struct(
         F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{PEAK}>").alias("unmatched"),
         F.lit(0.0).alias("dot"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("n"),
     )
 
-    def step(acc: Column, p: Column) -> Column:
-        near = F.filter(ref, lambda r: (r["mz"] >= p["mz"] - tol) & (r["mz"] <= p["mz"] + tol) & ~F.array_contains(acc["used"], r["i"]))
-        best = F.array_min(F.transform(near, lambda r: F.struct(F.abs(r["mz"] - p["mz"]).alias("d"), r["i"].alias("i"), r["x"].alias("x"))))
-        own = F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"))
+    def matched(both: Column) -> Column:
+        ref, steps = both["ref"], both["steps"]
+
+        def step(acc: Column, p: Column) -> Column:
+            low = lower_bound(ref, steps, lambda r: r["mz"] < p["mz"] - tol)
+            high = lower_bound(ref, steps, lambda r: r["mz"] <= p["mz"] + tol)
+            return let(F.struct(low.alias("low"), high.alias("high")), lambda w: taken(acc, p, w))
+
+        def taken(acc: Column, p: Column, w: Column) -> Column:
+            near = F.filter(F.slice(ref, w["low"] + 1, w["high"] - w["low"]), lambda r: ~F.array_contains(acc["used"], r["i"]))
+            best = F.array_min(F.transform(near, lambda r: F.struct(F.abs(r["mz"] - p["mz"]).alias("d"), r["i"].alias("i"), r["x"].alias("x"))))
+            lost = F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"))
+            used = F.when(both["rises"], F.filter(acc["used"], lambda i: i >= w["low"])).otherwise(acc["used"])
+
+            def take(b: Column) -> Column:
+                return F.when(
+                    b.isNull(),
+                    F.struct(used.alias("used"), F.array_append(acc["unmatched"], lost).alias("unmatched"), acc["dot"].alias("dot"), acc["a"].alias("a"), acc["b"].alias("b"), acc["n"].alias("n")),
+                ).otherwise(
+                    F.struct(
+                        F.array_append(used, b["i"]).alias("used"), acc["unmatched"].alias("unmatched"), (acc["dot"] + p["intensity"] * b["x"]).alias("dot"),
+                        (acc["a"] + p["intensity"] * p["intensity"]).alias("a"), (acc["b"] + b["x"] * b["x"]).alias("b"), (acc["n"] + 1).alias("n"),
+                    )
+                )
 
-        def take(b: Column) -> Column:
-            return F.when(
-                b.isNull(),
-                F.struct(acc["used"].alias("used"), F.array_append(acc["unmatched"], own).alias("unmatched"), acc["dot"].alias("dot"), acc["a"].alias("a"), acc["b"].alias("b"), acc["n"].alias("n")),
-            ).otherwise(
-                F.struct(
-                    F.array_append(acc["used"], b["i"]).alias("used"), acc["unmatched"].alias("unmatched"), (acc["dot"] + p["intensity"] * b["x"]).alias("dot"),
-                    (acc["a"] + p["intensity"] * p["intensity"]).alias("a"), (acc["b"] + b["x"] * b["x"]).alias("b"), (acc["n"] + 1).alias("n"),
-                )
-            )
+            return let(best, take)
 
-        return F.transform(F.array(best), take)[0]
+        return F.aggregate(both["query"], start, step, finish)
 
     def finish(acc: Column) -> Column:
         zero = (acc["a"] == 0) | (acc["b"] == 0)
         return F.struct(F.when(zero, 0.0).otherwise(acc["dot"] / (F.sqrt(acc["a"]) * F.sqrt(acc["b"]))).alias("score"), acc["n"].alias("n"), acc["unmatched"].alias("unmatched"))
 
-    return F.aggregate(F.filter(query, valid), start, step, finish)
+    return let(sides, matched)
 
 
 def vector_cosine(a: Column, b: Column) -> Column:
