@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chem, peaks as pk
 from ..functions.dims import COMPOUNDS, DIAGNOSTIC_IONS, ISOTOPES, NEUTRON, table, values_sql
-from ..operators import qc, search as sr, similarity as sim, stats, summary
+from ..operators import qc, run_search, search as sr, similarity as sim, stats, summary
 from ..operators.tables import materialized
 from ..sources import files, views
 from ..sources.views import PEAKS_SQL, SPECTRA_SQL
@@ -403,6 +403,46 @@ def library_search_mode(spark, d):
     return rows.groupBy("mode").agg(F.count("*").alias("n_hits"), F.round(F.min("score"), 9).alias("lowest"))
 
 
+#: As MATCH_SQL, for all spectra whose id is divisible by 50 as queries; a step for each query peak that has candidates.
+RUN_SQL = f"""WITH RECURSIVE {PEAKS_SQL}, {SPECTRA_SQL},
+qp AS (SELECT spectrum_id AS q_id, mz, intensity AS x, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, intensity) AS o FROM peaks WHERE spectrum_id % 50 = 0),
+refs AS (SELECT spectrum_id AS id, mz, intensity AS x, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, intensity) AS i FROM peaks),
+hold AS (SELECT q_id, r.id, o, any_value(q.x) AS x, list({{'d': abs(r.mz - q.mz), 'i': r.i, 'x': r.x}} ORDER BY abs(r.mz - q.mz), r.i) AS near
+         FROM qp q JOIN refs r ON r.mz >= q.mz - 0.02::DOUBLE AND r.mz <= q.mz + 0.02::DOUBLE GROUP BY q_id, r.id, o),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY q_id, id ORDER BY o) AS k, count(*) OVER (PARTITION BY q_id, id) AS last FROM hold),
+steps AS (
+  SELECT DISTINCT q_id, id, last, 0::BIGINT AS k, []::BIGINT[] AS used, 0::DOUBLE AS dot, 0::DOUBLE AS a, 0::DOUBLE AS b, 0 AS n FROM numbered
+  UNION ALL
+  SELECT q_id, id, last, k + 1, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.i) END, dot + CASE WHEN p IS NULL THEN 0 ELSE x * p.x END,
+         a + CASE WHEN p IS NULL THEN 0 ELSE x * x END, b + CASE WHEN p IS NULL THEN 0 ELSE p.x * p.x END, n + CASE WHEN p IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT t.*, h.x, list_filter(h.near, lambda e: NOT list_contains(t.used, e.i))[1] AS p FROM steps t JOIN numbered h ON h.q_id = t.q_id AND h.id = t.id AND h.k = t.k + 1)),
+pairs AS (SELECT q_id, id, n AS n_match, round(CASE WHEN a = 0 OR b = 0 THEN 0 ELSE dot / (sqrt(a) * sqrt(b)) END, 9) AS score FROM steps WHERE k = last)"""
+RUN_HITS_SQL = f"""{RUN_SQL}, every AS (
+  SELECT q.q_id, s.id, coalesce(score, 0) AS score, coalesce(n_match, 0) AS n_match FROM (SELECT id AS q_id FROM spectra WHERE id % 50 = 0) q CROSS JOIN spectra s LEFT JOIN pairs p ON p.q_id = q.q_id AND p.id = s.id),
+ranked AS (SELECT *, rank() OVER (PARTITION BY q_id ORDER BY score DESC)::DOUBLE / (1 + count(*) OVER (PARTITION BY q_id)) AS p_value, count(*) OVER (PARTITION BY q_id) AS n_all FROM every),
+raws AS (SELECT *, least(p_value * n_all / count(*) OVER (PARTITION BY q_id ORDER BY p_value), 1.0) AS raw FROM ranked),
+tested AS (SELECT *, min(raw) OVER (PARTITION BY q_id ORDER BY p_value DESC) AS q_value FROM raws),
+hits AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id)::INT AS rank FROM tested WHERE CASE WHEN n_all >= 2000 THEN q_value ELSE p_value END <= 0.05)
+SELECT q_id, rank, id, score, n_match, round(p_value, 9) AS p_value, CASE WHEN n_all >= 2000 THEN round(q_value, 9) END AS q_value, CASE WHEN n_all >= 2000 THEN 'fdr' ELSE 'pvalue' END AS mode
+FROM hits WHERE rank <= 20"""
+
+
+def _run(spark, d):
+    rows = views.library(spark, d)
+    return rows.where("id % 50 = 0"), rows
+
+
+@query("run_scores", f"{RUN_SQL} SELECT q_id, id, score, n_match FROM pairs")
+def run_scores(spark, d):
+    return run_search.score_run(*_run(spark, d))
+
+
+@query("run_search_hits", RUN_HITS_SQL)
+def run_search_hits(spark, d):
+    rows = run_search.search_run(*_run(spark, d))
+    return rows.select("q_id", "rank", "id", "score", "n_match", _r("p_value"), _r("q_value"), "mode")
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 ION_ROWS = [(b, n, m) for b, n, m in DIAGNOSTIC_IONS if m > 0]
