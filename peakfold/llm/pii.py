@@ -1,10 +1,11 @@
-"""Personal data and secrets: fixed patterns as seeds, bootstrapped contexts for the rest."""
+"""Personal data and secrets: seed entities, and what the contexts that they teach find."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
 from hashlib import sha256
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from .common import attach, documents, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = 4  # the kinds of the fixed patterns; the method adds spans of these and secrets
+#: One in so many of the distinct strings that are given a name such as token seeds the secrets, by its
+#: hash; all others, named or not, must be found by contexts.
+SEED_SHARE = 4
 
 # The patterns whose matches must be found.  The lookbehind only keeps a run of digits
 # from being tried again from its middle, where it must fail as well.
@@ -27,7 +31,7 @@ _ANY = re.compile(r"[0-9@]")
 _NUMERIC = re.compile(r"[0-9][0-9()+./\x20-]*[0-9]")
 _AT = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}")
 _KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,512}(?![A-Za-z0-9_-])")
-_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?[\x20\t]{0,8}[:=][\x20\t]{0,8}[\"'][\"']?", re.I)  # names that seed secrets
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?[\x20\t]{0,8}[:=][\x20\t]{0,8}[\"'][\"']?", re.I)  # names whose strings may seed secrets
 _TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _RUNS = re.compile(r"[0-9]+|[A-Za-z]+")
@@ -37,7 +41,9 @@ MARKS = 3  # punctuation marks between an identifier and its context word, at mo
 SUPPORT = 5  # distinct known instances of a kind that a pattern must have
 GENERIC = 3  # kinds of seeds from which a pattern says nothing on the kind
 SURE = 0.9  # confidence from which patterns and instances count
-UNKNOWN = 0.1  # what an instance of which nothing is known counts against a pattern, one known to be none of the kind being 1
+#: What an instance of which nothing is known counts against a pattern, one known to be none of the kind
+#: being 1; of secrets, of which but a share is seeded, that share of it.
+UNKNOWN = 0.1
 
 
 def luhn(digits: str) -> bool:
@@ -127,15 +133,15 @@ def contexts(text: str, a: int, b: int) -> list[str]:
 
 def candidates(text: str, spans) -> list[tuple]:
     """(context patterns, instance, kinds it could be as bits, kinds it is not as bits, seed kind or -1,
-    start, end) of the seeds (the spans given and named secrets) and of other strings that look like an
-    identifier and overlap no seed."""
+    start, end) of the seeds (the spans given and a share of the strings with the name of a secret), of the
+    other strings with such a name, and of those that look like an identifier and overlap none of these."""
     found = []
     for a, k, b in spans:
         could, fails = _shapes(text[a:b]) if k else (0, 0)
         found.append((a, b, 1 << k | could, fails & ~(1 << k), k))
     named = [(a, b) for a, b in secrets(text)]
-    found += [(a, b, 16, 0, 4) for a, b in named]
-    starts, ends = [], []  # of the seeds' union
+    found += [(a, b, 16, 0, 4 if crc32(text[a:b].encode()) % SEED_SHARE == 0 else -1) for a, b in named]
+    starts, ends = [], []  # of the union of the spans and the named strings
     for a, b in sorted([(a, b) for a, _, b in spans] + named):
         if ends and a <= ends[-1]:
             ends[-1] = max(ends[-1], b)
@@ -195,8 +201,8 @@ def bootstrapped(found: DataFrame, size: int, support: int = SUPPORT, sure: floa
     another, as are strings that fail the kind's check (Luhn, parts of an address).  Each round, a
     pattern's confidence for a kind is the sum of its known instances' scores over that sum, the number
     of instances known to be none and ``UNKNOWN`` times the number of the rest.  Patterns with enough
-    known instances and confidence, unless seeds of ``GENERIC`` kinds have them, pass it on, and an instance of several trusted patterns is wrong only
-    if all of them are.  A trusted pattern stays trusted, and rounds go on until none is added.
+    known instances and confidence, unless seeds of ``GENERIC`` kinds have them, pass it on, and an
+    instance of several trusted patterns is wrong only if all of them are.  A trusted pattern stays trusted, and rounds go on until none is added.
     """
     edges = written(found.groupBy("pattern", "instance").agg(F.bit_or("kinds").alias("kinds"), F.bit_or("fails").alias("fails"), F.max("seed").alias("seed")), "graph", rows=size)
     kinds = F.explode(F.array(*[F.lit(n) for n in range(len(KINDS))]))
@@ -211,12 +217,13 @@ def bootstrapped(found: DataFrame, size: int, support: int = SUPPORT, sure: floa
     generic = nodes.where("seed").groupBy("pattern").count().where(f"count >= {GENERIC}")
     nodes = written(nodes.join(generic, "pattern", "left_anti").select("node", "n"), "specific", rows=2 * size)
     scores, trusted, last = leaves.where("seed").select("leaf", "edges", F.lit(1.0).alias("score")), None, 0
+    doubt = F.when(F.col("node").startswith(f"{BASE_KINDS}:"), UNKNOWN / SEED_SHARE).otherwise(UNKNOWN)
     while True:
         known = attach(rows, scores, "leaf", "edges", total).withColumn("score", F.when(~F.col("other"), F.col("score")))
         known = known.groupBy("node").agg(
             F.sum("score").alias("score"), F.count("score").alias("have"), F.sum(F.col("other").cast("int")).alias("others"), F.sum((F.col("score").isNull() & ~F.col("other")).cast("int")).alias("unknown")
         )
-        known = known.where(F.col("have") >= support).withColumn("trust", F.col("score") / (F.col("score") + F.col("others") + UNKNOWN * F.col("unknown")))
+        known = known.where(F.col("have") >= support).withColumn("trust", F.col("score") / (F.col("score") + F.col("others") + doubt * F.col("unknown")))
         known = known.where(F.col("trust") >= sure).select("node", "trust")
         if trusted is not None:
             known = known.unionByName(trusted.select("node", "trust")).groupBy("node").agg(F.max("trust").alias("trust"))
@@ -234,10 +241,13 @@ def bootstrapped(found: DataFrame, size: int, support: int = SUPPORT, sure: floa
 def personal(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every document.
 
-    The counts and base_sha256 are those of the fixed patterns; spans lists these and what the method
-    adds, as kind:start:end in code points, by start and then kind: named secrets, which seed a kind of
-    their own, and what the trusted contexts find.  Such a find has the shape of its kind, passes its
-    check (Luhn, parts of an address) and overlaps no seed.  n_spans is their number.
+    The counts and base_sha256 are those of the fixed patterns; spans lists these and what the trusted
+    contexts find, as kind:start:end in code points, by start and then kind.  Such a find has the shape of
+    its kind, passes its check (Luhn, parts of an address) and overlaps no span of the fixed patterns.
+    A secret is a string of 12 to 512 letters, digits, - and _ with at least one letter and one digit;
+    it is listed only if a trusted context holds it, whether it was a seed or not, so a table with too
+    few of them (``SUPPORT`` distinct seeds in one context) has none.  An address without a domain has at
+    most 64 characters on either side of its @.  n_spans is the number of spans.
 
     Null text is empty; documents without identifiers have zeros and empty spans; a very long text is
     searched whole, and a context is the ``CONTEXT`` characters on either side; rows that repeat are each
@@ -252,12 +262,11 @@ def personal(docs: DataFrame, **options) -> DataFrame:
     size = found.select(F.sum(F.size("patterns"))).first()[0] or 0
     trusted = bootstrapped(each.drop("row", "start", "end"), size, **options)
     kinds = F.explode(F.filter(F.array(*[F.lit(n) for n in range(len(KINDS))]), lambda k: F.col("kinds").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0))
-    open_ = each.where("seed < 0").select("row", "pattern", "start", "end", kinds.alias("kind"))
+    open_ = each.where(f"seed < 0 or seed >= {BASE_KINDS}").select("row", "pattern", "start", "end", kinds.alias("kind"))
     open_ = open_.withColumn("node", F.concat_ws(":", "kind", "pattern"))
     sizes = open_.groupBy("node").agg(F.count("*").alias("n")).join(trusted.select("node"), "node").withColumn("trusted", F.lit(True))
     more = attach(open_, written(sizes, "trusted", rows=size), "node", "n", size).where("trusted").select("row", "start", "kind", "end")
-    secret = found.where(f"seed >= {BASE_KINDS}").select("row", "start", F.col("seed").alias("kind"), "end")
-    more = more.unionByName(secret).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
+    more = more.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
