@@ -101,6 +101,11 @@ def mzml_roundtrip(spark, d):
     return _totals(files.roundtrip(views.library(spark, d), "mzml"))
 
 
+@query("mzml_groups_roundtrip", SQL["mgf_roundtrip"])
+def mzml_groups_roundtrip(spark, d):
+    return _totals(files.roundtrip(views.library(spark, d), "mzml-groups"))
+
+
 def _totals(rows: DataFrame) -> DataFrame:
     total = lambda f: F.aggregate("peaks", F.lit(0.0), lambda s, x: s + x[f])
     return rows.select(F.col("index").cast("bigint").alias("spectrum_id"), "precursor_mz", F.size("peaks").alias("n_peaks"), F.round(total("mz"), 6).alias("sum_mz"), total("intensity").alias("sum_intensity"))

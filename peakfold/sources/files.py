@@ -35,35 +35,58 @@ def check_path(path: str) -> str | None:
     return None
 
 
-def read_spectra(spark: SparkSession, path: str) -> DataFrame:
-    """index, ms_level, rt (minutes), precursor_mz, peaks of an .mzML or .mgf file or folder."""
+def read_spectra(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """index, ms_level, rt (minutes), precursor_mz, peaks of an .mzML or .mgf file or folder; with
+    ``errors`` also file and error, null or what is wrong with the record."""
     problem = check_path(path)
     if problem:
         raise ValueError(problem)
-    return read_mgf(spark, path) if path.lower().endswith(".mgf") else read_mzml(spark, path)
+    return (read_mgf if path.lower().endswith(".mgf") else read_mzml)(spark, path, errors)
+
+
+def scan_report(spectra: DataFrame) -> DataFrame:
+    """file, n_spectra, n_errors, first_error of every file that spectra were read from with ``errors``.
+    A broken file has its error here, and the others are read all the same; empty files have no row."""
+    bad = F.col("error").isNotNull()
+    return spectra.groupBy("file").agg(F.count_if(~bad).alias("n_spectra"), F.count_if(bad).alias("n_errors"), F.min("error").alias("first_error"))
+
+
+_PEAK_LINE = r"^[ \t]*([0-9.eE+-]+)[ \t]+([0-9.eE+-]+)[^\n]*$"
 
 
 def mgf_rows(text: Column) -> list[Column]:
     """The columns of one record of an MGF file."""
     field = lambda name: F.regexp_extract(text, rf"(?m)^{name}=\s*([^\s]+)", 1).try_cast("double")
-    line = r"(?m)^[ \t]*([0-9.eE+-]+)[ \t]+([0-9.eE+-]+)[^\n]*$"
+    line = f"(?m){_PEAK_LINE}"
     mz, x = (F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(k)), lambda v: v.try_cast("double")) for k in (1, 2))
     pairs = F.zip_with(mz, x, lambda a, b: F.struct(a.alias("mz"), b.alias("intensity")))
     return [field("SCANS").cast("int").alias("index"), F.coalesce(field("MSLEVEL").cast("int"), F.lit(2)).alias("ms_level"), (field("RTINSECONDS") / 60).alias("rt"), field("PEPMASS").alias("precursor_mz"), pairs.alias("peaks")]
 
 
-def read_mgf(spark: SparkSession, path: str) -> DataFrame:
-    """One record for each BEGIN IONS .. END IONS, split by Spark's own reader; JVM expressions only."""
-    text = spark.read.option("lineSep", "END IONS").text(path).where(F.col("value").contains("BEGIN IONS"))
-    return text.select(*mgf_rows(F.regexp_replace("value", "\r", "")))
+def read_mgf(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """One record for each BEGIN IONS .. END IONS, split by Spark's own reader; JVM expressions only.  A
+    record with lines that are neither peaks nor fields has its other peaks, and an error that counts them."""
+    text = spark.read.option("lineSep", "END IONS").text(path)
+    text = (text.select("value", F.col("_metadata.file_path").alias("file")) if errors else text).where(F.col("value").contains("BEGIN IONS"))
+    whole = F.regexp_replace("value", "\r", "")
+    rows = mgf_rows(whole)
+    if not errors:
+        return text.select(*rows)
+    body = F.filter(F.split(F.regexp_replace(whole, r"(?s)^.*BEGIN IONS", ""), "\n"), lambda x: F.trim(x) != "")
+    strange = F.size(F.filter(body, lambda x: ~x.rlike(rf"^[A-Za-z0-9_ ]+=|^[#;!/]|{_PEAK_LINE}")))
+    return text.select(*rows, "file", F.when(strange > 0, F.concat(strange.cast("string"), F.lit(" lines are neither peaks nor fields"))).alias("error"))
 
 
 _PARAM = "struct<_accession:string,_value:string>"
+_REFS = "referenceableParamGroupRef array<struct<_ref:string>>"
+_NESTED_REFS = _REFS.replace(" array", ":array")
 _MZML = (
-    f"_index int, cvParam array<{_PARAM}>, scanList struct<scan:array<struct<cvParam:array<struct<_accession:string,_value:string,_unitAccession:string>>>>>, "
-    f"precursorList struct<precursor:array<struct<selectedIonList:struct<selectedIon:array<struct<cvParam:array<{_PARAM}>>>>>>>, "
-    f"binaryDataArrayList struct<binaryDataArray:array<struct<cvParam:array<{_PARAM}>,binary:string>>>"
+    f"_index int, cvParam array<{_PARAM}>, {_REFS}, scanList struct<scan:array<struct<cvParam:array<struct<_accession:string,_value:string,_unitAccession:string>>>>>, "
+    f"precursorList struct<precursor:array<struct<selectedIonList:struct<selectedIon:array<struct<cvParam:array<{_PARAM}>,{_NESTED_REFS}>>>>>>, "
+    f"binaryDataArrayList struct<binaryDataArray:array<struct<cvParam:array<{_PARAM}>,{_NESTED_REFS},binary:string>>>, _corrupt_record string"
 )
+#: Files whose parameter groups are broadcast (some kB each); those of more files are joined by file.
+MOST_FILES = 2_000
 # Accessions of the mass spectrometry vocabulary.
 MS_LEVEL, SCAN_START, SELECTED_MZ, MZ_ARRAY, INTENSITY_ARRAY, FLOAT_32, FLOAT_64, ZLIB = "MS:1000511", "MS:1000016", "MS:1000744", "MS:1000514", "MS:1000515", "MS:1000521", "MS:1000523", "MS:1000574"
 SECONDS = "UO:0000010"
@@ -95,19 +118,51 @@ def _decoded(arrays: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def read_mzml(spark: SparkSession, path: str) -> DataFrame:
+def _param_groups(spark: SparkSession, path: str) -> DataFrame:
+    """file and groups, a map from a group's id to its parameters, of every file that has any."""
+    rows = spark.read.format("xml").option("rowTag", "referenceableParamGroup").schema(f"_id string, cvParam array<{_PARAM}>").load(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), "_id", F.coalesce("cvParam", F.array().cast(f"array<{_PARAM}>")).alias("params")).where("_id is not null")
+    one = rows.groupBy("file", "_id").agg(F.first("params").alias("params"))
+    return one.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("_id", "params"))).alias("groups"))
+
+
+def read_mzml(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
     """Spark's XML reader splits the file at <spectrum>; only the binary arrays are decoded in Python,
-    a batch at a time.  A spectrum whose arrays are broken has null peaks."""
-    rows = spark.read.format("xml").option("rowTag", "spectrum").schema(_MZML).load(path)
-    value = lambda params, key: F.filter(params, lambda p: p["_accession"] == key)
-    first = lambda params, key: F.get(value(params, key), F.lit(0))
+    a batch at a time.  Parameters that a spectrum takes from a group of its file count as its own; the
+    groups are read in a pass before.  A spectrum whose arrays are broken has null peaks.
+
+    With ``errors``, file and error are added, and what is no XML is a row with an error and nothing
+    else; without, it has no row.
+    """
+    rows = spark.read.format("xml").option("rowTag", "spectrum").option("columnNameOfCorruptRecord", "_corrupt_record").schema(_MZML).load(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"))
+    groups = _param_groups(spark, path)
+    n = groups.limit(MOST_FILES + 1).count()
+    if n:
+        rows = rows.join(F.broadcast(groups) if n <= MOST_FILES else groups, "file", "left")
+    else:
+        rows = rows.withColumn("groups", F.lit(None).cast(f"map<string,array<{_PARAM}>>"))
+    none = F.array().cast(f"array<{_PARAM}>")
+
+    def params(own: Column, refs: Column) -> Column:
+        taken = F.transform(F.coalesce(refs, F.array().cast("array<struct<_ref:string>>")), lambda r: F.coalesce(F.try_element_at("groups", r["_ref"]), none))
+        return F.concat(F.coalesce(own, none), F.flatten(taken))
+
+    first = lambda found, key: F.get(F.filter(found, lambda p: p["_accession"] == key), F.lit(0))
     scan = first(F.get("scanList.scan", F.lit(0))["cvParam"], SCAN_START)
     minutes = scan["_value"].try_cast("double") / F.when(scan["_unitAccession"] == SECONDS, 60.0).otherwise(1.0)
-    ion = F.get(F.get("precursorList.precursor", F.lit(0))["selectedIonList"]["selectedIon"], F.lit(0))["cvParam"]
-    return rows.select(
-        F.col("_index").alias("index"), first(F.col("cvParam"), MS_LEVEL)["_value"].try_cast("int").alias("ms_level"), minutes.alias("rt"),
-        first(ion, SELECTED_MZ)["_value"].try_cast("double").alias("precursor_mz"), _decoded("binaryDataArrayList.binaryDataArray").alias("peaks"),
+    ion = F.get(F.get("precursorList.precursor", F.lit(0))["selectedIonList"]["selectedIon"], F.lit(0))
+    arrays = F.transform("binaryDataArrayList.binaryDataArray", lambda a: F.struct(params(a["cvParam"], a["referenceableParamGroupRef"]).alias("cvParam"), a["binary"].alias("binary")))
+    # what is no XML has no index either; Spark's reader wants a second column beside that of broken records
+    broken = F.col("_corrupt_record").isNotNull() & F.col("_index").isNull()
+    out = rows.select(
+        F.col("_index").alias("index"), first(params(F.col("cvParam"), F.col("referenceableParamGroupRef")), MS_LEVEL)["_value"].try_cast("int").alias("ms_level"), minutes.alias("rt"),
+        first(params(ion["cvParam"], ion["referenceableParamGroupRef"]), SELECTED_MZ)["_value"].try_cast("double").alias("precursor_mz"), _decoded(arrays).alias("peaks"), "file", broken.alias("broken"),
     )
+    if not errors:
+        return out.where("not broken").drop("file", "broken")
+    error = F.when(F.col("broken"), "not well-formed XML").when(F.col("peaks").isNull(), "the m/z or intensity array is missing or broken")
+    return out.withColumn("error", error).drop("broken")
 
 
 def write_mgf(spectra: DataFrame, path: str) -> None:
@@ -117,8 +172,13 @@ def write_mgf(spectra: DataFrame, path: str) -> None:
     spectra.select(F.concat(head, lines, F.lit("\nEND IONS")).alias("value")).write.text(path)
 
 
-def _encoded(values: Column, kind: str) -> Column:
-    return F.concat(F.lit(f'<binaryDataArray><cvParam accession="{FLOAT_64}" value=""/><cvParam accession="{ZLIB}" value=""/><cvParam accession="{kind}" value=""/><binary>'), _packed(values), F.lit("</binary></binaryDataArray>"))
+def _encoded(values: Column, kind: str, groups: bool) -> Column:
+    says = f'<referenceableParamGroupRef ref="{kind}"/>' if groups else _kinds(kind)
+    return F.concat(F.lit(f"<binaryDataArray>{says}<binary>"), _packed(values), F.lit("</binary></binaryDataArray>"))
+
+
+def _kinds(kind: str) -> str:
+    return "".join(f'<cvParam accession="{a}" value=""/>' for a in (FLOAT_64, ZLIB, kind))
 
 
 @F.pandas_udf(T.StringType())
@@ -126,29 +186,40 @@ def _packed(values: pd.Series) -> pd.Series:
     return values.map(lambda v: base64.b64encode(zlib.compress(np.asarray(v, "<f8").tobytes())).decode())
 
 
-def write_mzml(spectra: DataFrame, path: str) -> None:
-    """One document for each partition; ``spectra``: index, ms_level, rt, precursor_mz, peaks."""
+def write_mzml(spectra: DataFrame, path: str, groups: bool = False) -> None:
+    """One document for each partition; ``spectra``: index, ms_level, rt, precursor_mz, peaks.  With
+    ``groups`` what all spectra have in common is written once, as parameter groups."""
     p = lambda key, value, more="": F.concat(F.lit(f'<cvParam accession="{key}"{more} value="'), value.cast("string"), F.lit('"/>'))
-    arrays = [_encoded(F.col(f"peaks.{f}"), kind) for f, kind in (("mz", MZ_ARRAY), ("intensity", INTENSITY_ARRAY))]
+    arrays = [_encoded(F.col(f"peaks.{f}"), kind, groups) for f, kind in (("mz", MZ_ARRAY), ("intensity", INTENSITY_ARRAY))]
     text = F.concat(
         F.lit('<spectrum index="'), F.col("index").cast("string"), F.lit('">'), p(MS_LEVEL, F.col("ms_level")), F.lit("<scanList><scan>"), p(SCAN_START, F.coalesce("rt", F.lit(0.0)), ' unitAccession="UO:0000031"'),
         F.lit("</scan></scanList><precursorList><precursor><selectedIonList><selectedIon>"), p(SELECTED_MZ, F.col("precursor_mz")), F.lit("</selectedIon></selectedIonList></precursor></precursorList><binaryDataArrayList>"),
         *arrays, F.lit("</binaryDataArrayList></spectrum>"),
     )
-    spectra.select(text.alias("value")).mapInArrow(_document, "value string").write.text(path)
+    spectra.select(text.alias("value")).mapInArrow(_document(groups), "value string").write.text(path)
 
 
-def _document(batches):
+def _document(groups: bool):
     line = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], ["value"])
-    yield line("<mzML><run><spectrumList>")
-    yield from batches
-    yield line("</spectrumList></run></mzML>")
+    shared = "".join(f'<referenceableParamGroup id="{k}">{_kinds(k)}</referenceableParamGroup>' for k in (MZ_ARRAY, INTENSITY_ARRAY))
+    head = f"<referenceableParamGroupList>{shared}</referenceableParamGroupList>" if groups else ""
+
+    def document(batches):
+        yield line(f"<mzML>{head}<run><spectrumList>")
+        yield from batches
+        yield line("</spectrumList></run></mzML>")
+
+    return document
 
 
 def roundtrip(library: DataFrame, kind: str) -> DataFrame:
-    """Write a library to the session's shared folder in a format and read it back."""
+    """Write a library to the session's shared folder in a format (mgf, mzml, or mzml-groups, which has
+    parameter groups) and read it back."""
     spark = library.sparkSession
-    path = f"{shared_dir(spark)}/spectra-{uuid.uuid4().hex}.{kind}"
+    path = f"{shared_dir(spark)}/spectra-{uuid.uuid4().hex}.{kind.split('-')[0]}"
     rows = library.select(F.col("id").cast("int").alias("index"), F.lit(2).alias("ms_level"), F.lit(0.0).alias("rt"), "precursor_mz", "peaks")
-    (write_mgf if kind == "mgf" else write_mzml)(rows, path)
-    return read_mgf(spark, path) if kind == "mgf" else read_mzml(spark, path)
+    if kind == "mgf":
+        write_mgf(rows, path)
+        return read_mgf(spark, path)
+    write_mzml(rows, path, groups=kind == "mzml-groups")
+    return read_mzml(spark, path)
