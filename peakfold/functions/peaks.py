@@ -130,6 +130,8 @@ def mz_bin(mz: Column) -> Column:
 
 
 def fmt_intensity(x: Column) -> Column:
+    """Two decimals, or two and a power of ten from a million on.  Half is rounded up by the shortest
+    decimal that stands for the double, as Java does; C and Python look at the double itself."""
     return F.when(F.abs(x) >= 1e6, F.format_string("%.2e", x)).otherwise(F.format_string("%.2f", x))
 
 

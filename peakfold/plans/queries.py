@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chem, peaks as pk
-from ..functions.dims import COMPOUNDS, DIAGNOSTIC_IONS, ISOTOPES, NEUTRON, table, values_sql
+from ..functions.dims import ADDUCTS, COMPOUNDS, DIAGNOSTIC_IONS, ISOTOPES, NEUTRON, table, values_sql
 from ..operators import qc, run_search, search as sr, similarity as sim, stats, summary
 from ..operators.tables import materialized
 from ..sources import files, views
@@ -88,7 +88,9 @@ def library_nested_stats(spark, d):
 
 @query("compound_masses", None)
 def compound_masses(spark, d):
-    return chem.isotope_patterns(table(spark, "compounds")).where("label = 'M'").select("formula", _r("mass"))
+    """The mass of every spectrum's compound, without a join: the same sums as a column."""
+    rows = views.spectra(spark, d).select("id", "compound_name", "formula", chem.isotope_columns(F.col("formula")).alias("i"))
+    return rows.select("id", "compound_name", "formula", F.round("i.mass", 9).alias("mass"), F.round("i.m1", 9).alias("m1"), F.round("i.m2", 9).alias("m2"))
 
 
 @query("mgf_roundtrip", f"WITH {PEAKS_SQL}, {SPECTRA_SQL} SELECT id AS spectrum_id, precursor_mz, count(mz)::INT AS n_peaks, round(coalesce(sum(mz), 0), 6) AS sum_mz, coalesce(sum(intensity), 0) AS sum_intensity FROM spectra LEFT JOIN peaks ON id = spectrum_id GROUP BY ALL")
@@ -161,27 +163,58 @@ def peak_list_errors(spark, d):
     return rows.select("spectrum_id", pk.list_error(low, "Query").alias("error")).where("error is not null")
 
 
+@query(
+    "peak_formats",
+    f"""WITH {PEAKS_SQL}, sums AS (SELECT spectrum_id AS id, max(mz) AS top_mz, sum(intensity) * 1234.5678123::DOUBLE AS total, count(*) AS n FROM peaks GROUP BY spectrum_id),
+    texts AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'x' || n WHEN id % 3 = 1 THEN '' || n ELSE n || '.5' END AS t FROM sums)
+    SELECT id, printf('%.4f', top_mz) AS mz, CASE WHEN id % 5 = 0 THEN 'N/A' ELSE printf('%.2f', id * 0.5::DOUBLE) END AS rt,
+      CASE WHEN total >= 1e6 THEN printf('%.2e', total) ELSE printf('%.2f', total) END AS intensity, TRY_CAST(t AS DOUBLE) AS number, CASE WHEN id % 3 = 1 THEN t ELSE '?' END AS level, top_mz AS precursor FROM texts""",
+)
+def peak_formats(spark, d):
+    """What reports print: m/z, minutes, intensities, numbers out of text, and the precursor that is taken where none is given."""
+    sums = views.peaks(spark, d).groupBy(F.col("spectrum_id").alias("id")).agg(F.max("mz").alias("precursor"), (F.sum("intensity") * 1234.5678123).alias("total"), F.count("*").cast("string").alias("n"))
+    kind = F.col("id") % 3
+    rows = sums.withColumn("t", F.when(kind == 0, F.concat(F.lit("x"), "n")).when(kind == 1, F.col("n")).otherwise(F.concat("n", F.lit(".5"))))
+    rt = F.when(F.col("id") % 5 != 0, F.col("id") * 0.5)
+    t = F.col("t")
+    return rows.select("id", pk.fmt_mz(F.col("precursor")).alias("mz"), pk.fmt_rt(rt).alias("rt"), pk.fmt_intensity(F.col("total")).alias("intensity"), pk.to_double(t).alias("number"), pk.maybe_int(t).alias("level"), "precursor")
+
+
 # --- chemistry -------------------------------------------------------------------------------------
 
 OFFSET_SQL = "CASE WHEN charge = 1 THEN t || ' Da' ELSE '(' || t || ') / |' || charge || '| Da' END"
 ADDUCT_SQL = f"""adduct_rows AS (SELECT adduct, shift, charge, polarity, {OFFSET_SQL} AS "offset" FROM
   (SELECT *, 'M ' || CASE WHEN shift >= 0 THEN '+' ELSE '-' END || ' ' || printf('%.6f', abs(shift)) AS t FROM {values_sql("adducts")}))"""
-ASKED = ["[M+H]+", " [m+na]+", "[M-h]- ", "[M+H2O]+", "M+H", "   ", "[m+NH4]+", "[M+2h]2+", "[M+Li]+"]
-ASKED_SQL = ", ".join(f"('{a}')" for a in ASKED)
+#: What is asked for each spectrum: an adduct of the table as it is, in other cases, with spaces, or something that is none.
+ASKED_SQL = f"""asked AS (SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN upper(adduct) WHEN 1 THEN lower(adduct) WHEN 2 THEN '  ' || adduct || ' ' WHEN 3 THEN replace(adduct, 'M', 'M ')
+  WHEN 4 THEN repeat(' ', (p_partkey % 4)::INT) WHEN 5 THEN adduct || (p_partkey % 3) ELSE adduct END AS adduct_string
+  FROM part JOIN (SELECT *, row_number() OVER (ORDER BY adduct) - 1 AS place FROM adduct_rows) ON place = p_partkey % {len(ADDUCTS)})"""
 
 
-@query("adduct_table", f"WITH {ADDUCT_SQL} SELECT * FROM adduct_rows")
+@query("adduct_table", f"WITH {SPECTRA_SQL}, {ADDUCT_SQL} SELECT r.*, (SELECT count(*) FROM spectra WHERE (precursor_mz + shift) / abs(charge) BETWEEN 100 AND 1000) AS n_in_range FROM adduct_rows r")
 def adduct_table(spark, d):
-    return chem.adduct_table(spark)
+    """The adducts, and for how many spectra the ion would lie in the range that is scanned."""
+    mz = chem.ion_mz(F.col("precursor_mz"), F.col("shift"), F.col("charge"))
+    rows = views.spectra(spark, d).select("precursor_mz").crossJoin(F.broadcast(chem.adduct_table(spark)))
+    return rows.groupBy("adduct", "shift", "charge", "polarity", "offset").agg(F.count_if(mz.between(100, 1000)).alias("n_in_range"))
 
 
 @query(
     "adduct_lookup",
-    f"""WITH {ADDUCT_SQL} SELECT adduct_string, adduct AS canonical, shift, coalesce(charge, 0)::INT AS charge, polarity, "offset", adduct IS NULL AS rejected
-    FROM (VALUES {ASKED_SQL}) AS t(adduct_string) LEFT JOIN adduct_rows ON lower(trim(adduct_string)) = lower(adduct)""",
+    f"""WITH {ADDUCT_SQL}, {ASKED_SQL} SELECT id, adduct_string, adduct AS canonical, shift, coalesce(charge, 0)::INT AS charge, polarity, "offset", adduct IS NULL AS rejected
+    FROM asked LEFT JOIN adduct_rows ON lower(trim(adduct_string)) = lower(adduct)""",
 )
 def adduct_lookup(spark, d):
-    rows = chem.lookup_adducts(spark.createDataFrame([(a,) for a in ASKED], "adduct_string string"))
+    key, names = F.col("p_partkey"), sorted(chem.adduct_names())
+    adduct = F.element_at(F.array(*[F.lit(n) for n in names]), (key % len(names) + 1).cast("int"))
+    forms = [
+        F.upper(adduct), F.lower(adduct), F.concat(F.lit("  "), adduct, F.lit(" ")), F.replace(adduct, F.lit("M"), F.lit("M ")), F.repeat(F.lit(" "), (key % 4).cast("int")),
+        F.concat(adduct, (key % 3).cast("string")),
+    ]
+    text = adduct
+    for n, form in enumerate(forms):
+        text = F.when(key % 9 == n, form).otherwise(text)
+    rows = chem.lookup_adducts(views.read(spark, d, "part").select(key.alias("id"), text.alias("adduct_string")))
     return rows.withColumn("charge", F.coalesce("charge", F.lit(0)))
 
 
@@ -191,9 +224,11 @@ def adduct_mz(spark, d):
     return rows.select("id", "adduct", F.round(chem.ion_mz(F.col("precursor_mz"), F.col("shift"), F.col("charge")), 9).alias("mz"))
 
 
-FORMULAS = [f for _, f in COMPOUNDS] + ["CH3CH3", "C60", "CaCl2", "42", "", "(CH3)2", "NaCl", "C6H12O6", "CH4", "XyZ", "Fe2Se3"]
-FORMULA_SQL = ", ".join(f"('{f}')" for f in FORMULAS)
-TOKENS_SQL = f"""asked AS (SELECT DISTINCT formula FROM (VALUES {FORMULA_SQL}) AS t(formula)),
+#: A formula for each spectrum: its compound's with atoms added, or with something that is no formula.
+FORMULA_CASES = [("7", "'Xy' || (p_partkey % 5)"), ("11", "'(' || 'CH3' || ')2'"), ("13", "'Na'"), ("1", "'H' || (p_partkey % 20 + 1) || 'Cl'")]
+NO_FORMULA = "CASE WHEN p_partkey % 34 = 0 THEN '' ELSE '' || p_partkey END"
+FORMULA_EXPR = f"CASE WHEN p_partkey % 17 = 0 THEN {NO_FORMULA} ELSE formula || CASE " + " ".join(f"WHEN p_partkey % {n} = 0 THEN {x}" for n, x in FORMULA_CASES) + " END END"
+TOKENS_SQL = f"""asked AS (SELECT DISTINCT trim({FORMULA_EXPR}) AS formula FROM part JOIN (SELECT * FROM {values_sql("compounds")}) ON compound_id = p_partkey % {len(COMPOUNDS)}),
 tokens AS (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS element, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) AS digits,
   unnest(range(len(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)')))) AS o FROM asked),
 unknown AS (SELECT formula, arg_min(element, o) AS element FROM tokens WHERE element NOT IN ({", ".join(f"'{e}'" for e in ISOTOPES)}) GROUP BY formula),
@@ -204,18 +239,19 @@ parsed AS (
   SELECT formula, element, sum(CASE WHEN digits = '' THEN 1 ELSE digits::BIGINT END)::BIGINT AS n FROM tokens WHERE formula NOT IN (SELECT formula FROM problems) GROUP BY ALL)"""
 
 
-def _formulas(spark):
-    return spark.createDataFrame([(f,) for f in FORMULAS], "formula string")
+def _formulas(spark, d):
+    rows = views.spectra(spark, d).withColumn("p_partkey", F.col("id"))
+    return rows.select(F.expr(FORMULA_EXPR).alias("formula"))
 
 
 @query("formula_parse", f"WITH {TOKENS_SQL} SELECT * FROM parsed")
 def formula_parse(spark, d):
-    return chem.parse_formulas(_formulas(spark))
+    return chem.parse_formulas(_formulas(spark, d))
 
 
 @query("formula_errors", f"WITH {TOKENS_SQL} SELECT * FROM problems")
 def formula_errors(spark, d):
-    return _formulas(spark).distinct().select("formula", chem.formula_error(F.col("formula")).alias("error")).where("error is not null")
+    return _formulas(spark, d).distinct().select("formula", chem.formula_error(F.col("formula")).alias("error")).where("error is not null")
 
 
 ISOTOPE_SQL = f"""iso AS (SELECT element, max(mass) FILTER (k = 0) AS mass, max(abundance) FILTER (k = 0) AS a0, max(abundance) FILTER (k = 1) AS a1,
@@ -232,16 +268,24 @@ sums AS (SELECT formula, sum(n * mass) AS mono, sum(n * coalesce(a1 / a0, 0)) AS
     UNION ALL SELECT formula, NULL, NULL, NULL, error FROM problems""",
 )
 def isotope_pattern(spark, d):
-    return chem.isotope_patterns(_formulas(spark)).select("formula", "label", _r("mass"), _r("abundance"), "error")
+    return chem.isotope_patterns(_formulas(spark, d)).select("formula", "label", _r("mass"), _r("abundance"), "error")
 
 
-SQL["compound_masses"] = f"WITH {TOKENS_SQL}, {ISOTOPE_SQL} SELECT formula, round(mono, 9) AS mass FROM sums WHERE formula IN ({', '.join(repr(f) for _, f in COMPOUNDS)})"
+PLAIN_TOKENS_SQL = TOKENS_SQL.replace(f"trim({FORMULA_EXPR})", "formula")
+SQL["compound_masses"] = f"""WITH {SPECTRA_SQL}, {PLAIN_TOKENS_SQL}, {ISOTOPE_SQL}
+SELECT id, compound_name, formula, round(mono, 9) AS mass, round(p1, 9) AS m1, round(p1 * p1 / 2 + p2, 9) AS m2 FROM spectra JOIN sums USING (formula)"""
 STRUCTURES = ["CCO", "c1ccccc1", "O", "[Na+].[Cl-]", "C1CC1", "CC(=O)O", "N"]
 
 
-@query("smiles_formula", f"SELECT asked AS smiles, coalesce(known_formula, asked) AS formula FROM (VALUES {', '.join(f'({s!r})' for s in STRUCTURES)}) AS t(asked) LEFT JOIN (SELECT * FROM {values_sql('smiles')}) ON asked = smiles")
+@query(
+    "smiles_formula",
+    f"""SELECT p_partkey AS id, asked AS smiles, coalesce(known_formula, asked) AS formula
+    FROM part JOIN (VALUES {', '.join(f'({n}, {s!r})' for n, s in enumerate(STRUCTURES))}) AS t(n, asked) ON n = p_partkey % {len(STRUCTURES)} LEFT JOIN (SELECT * FROM {values_sql('smiles')}) ON asked = smiles""",
+)
 def smiles_formula(spark, d):
-    return chem.smiles_formula(spark.createDataFrame([(s,) for s in STRUCTURES], "smiles string"))
+    key = F.col("p_partkey")
+    text = F.element_at(F.array(*[F.lit(x) for x in STRUCTURES]), (key % len(STRUCTURES) + 1).cast("int"))
+    return chem.smiles_formula(views.read(spark, d, "part").select(key.alias("id"), text.alias("smiles")))
 
 
 #: Middles and ends of the structures that the parts table stands for, with their atoms.
@@ -402,6 +446,14 @@ def library_search_topk(spark, d):
     return rows.select("rank", "id", "compound_name", "formula", "precursor_mz", _r("score"), "n_match", _r("p_value"), _r("q_value"), "mode")
 
 
+@query("library_search_bootstrap", SQL["library_search_topk"])
+def library_search_bootstrap(spark, d):
+    """The same hits, judged by a null of as many draws from the library as it has spectra; as many, and
+    each once, for every size that has no common factor with the draws' step."""
+    rows = sr.search(views.query(spark, d), views.library(spark, d), null="bootstrap")
+    return rows.select("rank", "id", "compound_name", "formula", "precursor_mz", _r("score"), "n_match", _r("p_value"), _r("q_value"), "mode")
+
+
 @query("library_search_mode", f"{HITS_SQL} SELECT mode, count(*) AS n_hits, round(min(score), 9) AS lowest FROM hits GROUP BY mode")
 def library_search_mode(spark, d):
     rows = sr.search(views.query(spark, d), views.library(spark, d), top=None)
@@ -540,8 +592,9 @@ def job_status_latest(spark, d):
     return rows.groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("ts"))
 
 
-@query("ping", "SELECT 'ok' AS status, 'peakfold 0.1.0 is ready' AS message, false AS chem_extra")
+@query("ping", "SELECT 'ok' AS status, 'peakfold 0.1.0 is ready' AS message, false AS chem_extra, (SELECT count(*) FROM part) AS n_spectra")
 def ping(spark, d):
+    """Whether the engine answers, and how many spectra it reaches."""
     from .. import __version__
 
     try:
@@ -550,4 +603,5 @@ def ping(spark, d):
         extra = True
     except ImportError:
         extra = False
-    return spark.createDataFrame([("ok", f"peakfold {__version__} is ready", extra)], "status string, message string, chem_extra boolean")
+    says = [F.lit("ok").alias("status"), F.lit(f"peakfold {__version__} is ready").alias("message"), F.lit(extra).alias("chem_extra")]
+    return views.spectra(spark, d).agg(F.count("*").alias("n_spectra")).select(*says, "n_spectra")
