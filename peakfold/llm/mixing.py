@@ -12,6 +12,8 @@ from .common import WORD, documents, whole, written
 #: Rows of one bucket of the shuffled order and of the queue, about, and buckets of the queue, at most;
 #: prefix sums are taken within a bucket and over the buckets' sums.
 BUCKET_ROWS, MOST_BUCKETS = 5_000, 1 << 16
+#: Sources whose targets are broadcast (some 100 bytes each); those of more sources are joined.
+MOST_SOURCES = 10_000
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -56,15 +58,17 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     start and finish: the source's cumulative words, before and after, over its target.  All offers that
     start before virtual time 1, when every source has its target, make one queue, sorted by virtual
     finish, whose cumulative words are cut at the total budget, the sum of the targets.  The queue's unit
-    is the offer; the one of each source during which time 1 passes is queued word by word, so that a
-    long document waits no longer than its words do.  With ``split`` the words before the cut are taken;
+    is the offer; of the one of each source during which time 1 passes, the words before time 1 are a
+    unit and those after it are units of a word each, as far as the cut can lie (:func:`_edges`).  With ``split`` the words before the cut are taken;
     without, an offer is one unit, queued by its middle, and taken if the middle of its words is before
     the cut.  taken sums a document's offers, times counts those taken, virtual_finish is the first one's.
 
-    All prefix sums are two-level: sums of buckets first, then a window within a bucket, so that a
-    source with a third of all rows is many small groups.
+    All prefix sums are by levels: sums of buckets and of runs of buckets first, then a window within
+    a bucket, so that a source with a third of all rows is many small groups.  The targets, a row for each
+    source, are broadcast up to ``MOST_SOURCES`` of them.
 
-    Null text or one without words has size 0 and takes 0; a very long text is counted whole; a null
+    Null text or one without words has size 0 and takes 0; a very long text is counted whole, and its
+    words are never rows; a null
     source is a source of its own; rows that repeat each count, null ids too; columns but doc_id, text
     and source are left out; an empty table gives no rows.
     """
@@ -73,12 +77,10 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     digits = max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16)))
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))
     base = base.withColumns({"key": key, "bucket": F.substring("draw", 1, digits)})
-    sums = base.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    aims = targets(base, weights, share, float(most)).withColumn("key", key).drop("source")
+    sums = _before_buckets(base.groupBy("key", "bucket").agg(F.sum("size").alias("words")), digits)
+    aims = written(targets(base, weights, share, float(most)).withColumn("key", key).drop("source"), "aims")
     within = Window.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.join(sums, ["key", "bucket"]).join(aims, "key")
+    placed = base.join(sums, ["key", "bucket"]).join(F.broadcast(aims) if aims.count() <= MOST_SOURCES else aims, "key")
     placed = placed.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = written(placed.select("row", "doc_id", "tie", "draw", "key", "size", "source_size", "target", "before"), "placed")
 
@@ -86,9 +88,10 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     offers = offers.withColumn("start", F.col("before") + F.col("pass") * F.col("source_size")).where("start < target")
     if split:
         whole_offer = F.col("start") + F.col("size") <= F.col("target")
-        units = F.when(whole_offer, F.array(F.struct(F.col("size").alias("end"), F.col("size").alias("words"))))
-        units = units.otherwise(F.transform(F.sequence(F.lit(1).cast("long"), "size"), lambda w: F.struct(w.alias("end"), F.lit(1).cast("long").alias("words"))))
-        queue = offers.withColumn("unit", F.explode(units)).select("row", "pass", "key", "draw", "doc_id", "unit.words", "unit.end", ((F.col("start") + F.col("unit.end")) / F.col("target")).alias("time"))
+        parts = [c for c in ("row", "pass", "key", "draw", "doc_id")]
+        time = ((F.col("start") + F.col("end")) / F.col("target")).alias("time")
+        queue = offers.where(whole_offer).select(*parts, F.col("size").alias("words"), F.col("size").alias("end"), "start", "target")
+        queue = queue.unionByName(_edges(offers.where(~whole_offer).select(*parts, "size", "start", "target"))).select(*parts, "words", "end", time)
     else:
         queue = offers.select("row", "pass", "key", "draw", "doc_id", F.col("size").alias("words"), F.col("size").alias("end"), ((F.col("start") + F.col("size") / 2) / F.col("target")).alias("time")).where("time <= 1")
     buckets = max(1, min(MOST_BUCKETS, math.ceil(most * rows / BUCKET_ROWS)))
@@ -108,6 +111,39 @@ def schedule(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     )
 
 
+def _before_buckets(sums: DataFrame, digits: int) -> DataFrame:
+    """key, bucket and base, the words of a source in the buckets before, by runs of buckets first."""
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("run", F.substring("bucket", 1, max(1, digits // 2)))
+    runs = sums.groupBy("key", "run").agg(F.sum("words").alias("all"))
+    runs = runs.select("key", "run", F.coalesce(F.sum("all").over(earlier("key").orderBy("run")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("words").over(earlier("key", "run").orderBy("bucket")), F.lit(0))
+    return sums.join(runs, ["key", "run"]).select("key", "bucket", (F.col("base") + inside).alias("base"))
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    """The units of the offers during which virtual time 1 passes, one a source at most.
+
+    By time 1 every source has been given the whole words of its target, which together are at most the
+    budget; what is left is less than a word a source.  So the cut lies among the first words after time 1,
+    as many as there are sources in all.  How far in virtual time these reach is searched on the sources'
+    rows: a source has as many words by a time as its target grows by then.
+    """
+    edges = written(edges.withColumn("early", F.floor("target") - F.col("start")), "edges")
+    n, total = edges.agg(F.count("*"), F.sum("target")).first()
+    reach, left = 4.0 * (n + 1) / (total or 1.0), F.col("size") - F.col("early")
+    while n:
+        late = F.least(left, F.floor((1 + reach) * F.col("target")) - F.floor("target"))
+        found, rest = edges.agg(F.sum(late), F.sum(left)).first()
+        if found >= min(n, rest):
+            break
+        reach *= 4
+    whole_part = edges.where("early > 0").withColumns({"words": F.col("early"), "end": F.col("early")})
+    late = F.least(left, F.floor((1 + reach) * F.col("target")) - F.floor("target") + 1)
+    single = edges.withColumn("end", F.explode(F.sequence(F.col("early") + 1, F.col("early") + late))).withColumn("words", F.lit(1).cast("long"))
+    return whole_part.unionByName(single).drop("size", "early")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The schedule, documents sorted by virtual finish over all partitions."""
     return schedule(docs, **options).orderBy("virtual_finish", "doc_id")
