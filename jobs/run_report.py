@@ -51,7 +51,7 @@ def run(spark: SparkSession, tables: str, out: str, config: dict) -> dict[str, i
         rows = materialized(qc.metrics(views.library(spark, tables), keep=("run_id",)), "metrics")
         graded = qc.graded(qc.summary(rows, by=("run_id",)))
         runs = graded.withColumns({c: F.round(c, 9) for c in ROUNDED}).withColumn("reliable", F.col("n_spectra") >= config["least_spectra"]).select(COLUMNS)
-        runs.coalesce(1).write.mode("overwrite").partitionBy("recommendation").parquet(f"{out}/report")
+        runs.repartition("recommendation").write.mode("overwrite").partitionBy("recommendation").parquet(f"{out}/report")
         # one row for each run: a side that Spark broadcasts if it is small, and against which it splits hot runs if not
         verdict = report(spark, out).select(F.col("run_id").alias("_run"), "recommendation")
         work = rows.join(verdict, F.col("run_id").eqNullSafe(F.col("_run"))).select("id", "run_id", F.round("snr", 9).alias("snr"), "n_peaks", "is_chimeric", "recommendation")

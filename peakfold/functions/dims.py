@@ -53,7 +53,7 @@ ISOTOPES = {
 }
 
 # Diagnostic ions as (bit, name, m/z).  m/z 0 stands for a heuristic, -1 for a neutral
-# loss; neither is matched by mass.
+# loss; neither is matched by mass, and they need no name.
 DIAGNOSTIC_IONS = [
     (0, "Tyrosine immonium", 136.0757),
     (1, "Phenylalanine immonium", 120.0808),
@@ -63,12 +63,12 @@ DIAGNOSTIC_IONS = [
     (5, "Proline immonium", 70.0651),
     (6, "Leu/Ile immonium", 86.0964),
     (7, "Methionine immonium", 104.0528),
-    (8, "a2 (heuristic)", 0.0),
-    (9, "b2 (heuristic)", 0.0),
-    (10, "y1 (heuristic)", 0.0),
-    (11, "loss of H2O", -1.0),
-    (12, "loss of NH3", -1.0),
-    (13, "loss of H3PO4", -1.0),
+    (8, None, 0.0),
+    (9, None, 0.0),
+    (10, None, 0.0),
+    (11, None, -1.0),
+    (12, None, -1.0),
+    (13, None, -1.0),
     (14, "Oxonium (glycan)", 163.0601),
     (15, "Oxonium (HexNAc)", 204.0867),
 ]
@@ -113,7 +113,7 @@ def values_sql(name: str) -> str:
     """The same table as a SQL VALUES list with a column list, to stand behind FROM."""
 
     def literal(x) -> str:
-        return f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+        return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
 
     rows, kinds = _rows(name)
     cols = ", ".join(c.split()[0] for c in kinds.split(", "))

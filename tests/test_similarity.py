@@ -38,6 +38,7 @@ def brute(q, r, tol):
     return (float((a * b).sum() / norm) if len(a) and norm else 0.0), len(a), lost
 
 
+# Peak lists at and beside the ends of the tolerance, and how many match.
 @pytest.mark.parametrize(
     ("q", "r", "tol", "n"),
     [
@@ -87,6 +88,7 @@ def test_vector_cosine(spark):
         assert r.c == pytest.approx(cases[r.n][2], abs=1e-9)
 
 
+# Masses at and beside the limit of five parts in a million.
 @pytest.mark.parametrize(("t", "e", "ok"), [(1e6, 999995.0, True), (1e6, 1000005.0, True), (1e6, 999994.999, False), (1e6, 1000005.001, False), (100.0, 100.0004, True), (100.0, 100.0006, False)])
 def test_ppm(spark, t, e, ok):
     assert spark.createDataFrame([(t, e)], "t double, e double").select(pk.ppm_ok(F.col("t"), F.col("e")).alias("ok")).first().ok is ok
