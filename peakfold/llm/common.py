@@ -201,6 +201,17 @@ class BoundedFilter:
             own[at : at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
         self.bits, self.sent = bits, spark.sparkContext.broadcast(own.tobytes())
 
+    @classmethod
+    def of(cls, spark: SparkSession, keys: np.ndarray) -> "BoundedFilter":
+        """One over keys that the driver has, with ample room, of the same bound."""
+        out = cls.__new__(cls)
+        out.bits = 1 << max(15, min(int(math.log2(FILTER_BITS)), math.ceil(math.log2(max(len(keys), 1) * 96))))
+        own = np.zeros(out.bits // 8, np.uint8)
+        for at in _positions(keys, out.bits):
+            np.bitwise_or.at(own, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+        out.sent = spark.sparkContext.broadcast(own.tobytes())
+        return out
+
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         own, found = np.frombuffer(self.sent.value, np.uint8), np.ones(len(keys), bool)
         for at in _positions(keys, self.bits):

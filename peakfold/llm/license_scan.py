@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, written
+from .common import BoundedFilter, documents, small_batches, written
 from .textops import _LOWER, buffers, chunks, rolling, span_hashes, word_spans
 
 K = 4  # words of a run that votes
@@ -21,6 +24,14 @@ APART[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 # The phrases that must be found, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: Rows of the template table up to which it is broadcast (some 100 bytes each); a larger one is joined.
+MOST_ROWS = 200_000
+
+# Labels of the whole license texts in the folder ``licenses``, as their publishers give them.
+WHOLE = {
+    "apache-2.0": "apache-2.0", "cc0-1.0": "cc0", "gpl-2.0": "gpl", "gpl-3.0": "gpl", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "mpl-2.0": "mpl-2.0",
+}
+
 # Notices and texts of well-known licenses, with the labels the method adds.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -85,11 +96,18 @@ def _words(data: np.ndarray, offs: np.ndarray):
     return low, starts, ends, at, span_hashes(low, starts, ends)
 
 
-def _template_rows() -> list[tuple]:
+@cache
+def templates() -> list[tuple[str, str]]:
+    """(label, text) of all notices and whole texts."""
+    folder = Path(__file__).with_name("licenses")
+    return TEMPLATES + [(label, (folder / f"{name}.txt").read_text()) for name, label in WHOLE.items()]
+
+
+def _template_rows(known: list[tuple[str, str]]) -> list[tuple]:
     """(template, j, hash, words of the run, words of the template, label) of each run of ``K`` words."""
-    low, starts, ends, at, hashes = _words(*buffers(pa.array([text for _, text in TEMPLATES])))
+    low, starts, ends, at, hashes = _words(*buffers(pa.array([text for _, text in known])))
     run, out = rolling(hashes, K), []
-    for n, (label, _) in enumerate(TEMPLATES):
+    for n, (label, _) in enumerate(known):
         size = int(at[n + 1] - at[n])
         for j in range(size - K + 1):
             i = int(at[n]) + j
@@ -101,9 +119,9 @@ _VOTE = pa.struct([("at", pa.int64()), ("hash", pa.int64()), ("run", pa.string()
 _OUT = "row long, doc_id {}, n_words long, n_base long, first_word long, last_word long, base_labels string, votes array<struct<at:long,hash:long,run:string>>"
 
 
-def _scanned(known: np.ndarray, phrases: list[tuple[list[bytes], str]]):
-    """Of each text, the words, the places of the phrases, and the runs of words whose hash a template has.
-    ``known``: the templates' hashes, sorted."""
+def _scanned(known: BoundedFilter, phrases: list[tuple[list[bytes], str]]):
+    """Of each text, the words, the places of the phrases, and the runs of words whose hash a template may
+    have by a filter of bounded size."""
     firsts = [span_hashes(np.frombuffer(b" ".join(p), np.uint8), *_spans(p)) for p, _ in phrases]
 
     def scan(batches):
@@ -124,8 +142,8 @@ def _scanned(known: np.ndarray, phrases: list[tuple[list[bytes], str]]):
                             places.setdefault(row, []).append((x - int(at[row]), label))
                 run = rolling(hashes, K)
                 votes: dict[int, list] = {}
-                if len(run) and len(known):
-                    for x in np.flatnonzero(known[np.minimum(np.searchsorted(known, run), len(known) - 1)] == run).tolist():
+                if len(run):
+                    for x in np.flatnonzero(known.may_hold(run.astype(np.int64))).tolist():
                         row = int(np.searchsorted(at, x, "right")) - 1
                         if x + K <= at[row + 1]:
                             votes.setdefault(row, []).append({"at": x - int(at[row]), "hash": int(run[x].astype(np.int64)), "run": b" ".join(word(x + k) for k in range(K)).decode()})
@@ -145,11 +163,12 @@ def _spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ends - size, ends
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
-    The runs of ``K`` words of every text are hashed in one rolling pass, and those whose hash a template
-    has are votes; the templates are a fixed table, so what is looked up is too.  Spark joins the votes
+    The runs of ``K`` words of every text are hashed in one rolling pass.  All but those that no template
+    can have are votes: a Bloom filter, of 4 MB at most whatever the number of templates, keeps the rest
+    from being written, and misses none.  Which runs a template has is decided by Spark, which joins them
     to the template positions by hash and by the words themselves.  A vote at word i for place j of a
     template lies on diagonal i - j.  Votes are summed by diagonal, diagonals within ``SHIFT`` of each
     other are merged, and a merged span counts if the runs found in it have ``LEAST`` of the template's
@@ -162,13 +181,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = _template_rows()
+    rows = _template_rows(templates() if known is None else known)
     table = spark.createDataFrame(rows, "template int, j long, hash long, run string, size long, label string")
-    known = np.unique(np.array([r[2] for r in rows], np.int64).view(np.uint64))
+    held_hashes = BoundedFilter.of(spark, np.unique(np.array([r[2] for r in rows], np.int64)))
     phrases = [([w.encode() for w in phrase.split()], label) for phrase, label in BASE.items()]
     each = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = written(each.mapInArrow(_scanned(known, phrases), _OUT.format(docs.schema["doc_id"].dataType.simpleString())), "scanned")
-    votes = base.select("row", F.explode("votes").alias("v")).select("row", "v.*").join(F.broadcast(table), ["hash", "run"])
+    base = written(each.mapInArrow(_scanned(held_hashes, phrases), _OUT.format(docs.schema["doc_id"].dataType.simpleString())), "scanned")
+    votes = base.select("row", F.explode("votes").alias("v")).select("row", "v.*").join(F.broadcast(table) if len(rows) <= MOST_ROWS else table, ["hash", "run"])
     lines = votes.groupBy("row", "template", (F.col("at") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("js"), F.first("size").alias("size"), F.first("label").alias("label"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT, F.lit(True))
