@@ -17,8 +17,8 @@ from .textops import _STEPS, mixed, row_shingles
 NO_ID = (1 << 63) - 1  # stands for a null id, above all others
 #: At 40 bands of 6 bins, two sets of similarity 0.85 miss all bands once in 10**8.
 BANDS, BAND_ROWS = 40, 6
-#: Members of one side of a block, about, and shingles of it that are compared at once.
-BLOCK, STRIPE = 256, 4096
+#: Members and shingles of one side of a block, about, and different shingles of it that are compared at once.
+BLOCK, SHINGLES, STRIPE = 256, 1 << 18, 4096
 
 
 def shingle_sets(col: pa.Array, k: int):
@@ -145,9 +145,12 @@ def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Deal the members of each open group to blocks: those outside its largest component (one side)
     to rows of blocks and all (other side) to columns, so that each pair of a member outside and any
-    other meets in one block.  A block has about ``BLOCK`` members of either side, whatever the group's
-    size, and the largest component's members are not compared with each other."""
-    size = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("cols"), F.ceil(F.sum((F.col("comp") != F.col("most")).cast("int")) / BLOCK).alias("rows"))
+    other meets in one block.  A block has about ``BLOCK`` members of either side, and about ``SHINGLES``
+    shingles of these, whatever the group's size and its texts' length, and the largest component's
+    members are not compared with each other."""
+    share = F.greatest(F.lit(1 / BLOCK), F.col("n") / SHINGLES)  # of a block that a member takes
+    outside = F.when(F.col("comp") != F.col("most"), share).otherwise(0.0)
+    size = left.groupBy("key").agg(F.ceil(F.round(F.sum(share), 9)).alias("cols"), F.ceil(F.round(F.sum(outside), 9)).alias("rows"))
     dealt = left.join(size, "key").select("key", "node", "comp", F.col("comp") != F.col("most"), "rows", "cols").toDF("key", "node", "comp", "outside", "rows", "cols")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
