@@ -35,6 +35,7 @@ CONFIG = Path(__file__).with_suffix(".json")
 #: Words are runs of letters and digits; a formula's numbers have four digits at most.
 WORD, FORMULA = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"^([A-Z][a-z]?[0-9]{0,4})+$"
 MENTION = "doc_id long, formula string, n_mentions long, first_word long, n_atoms long, mass double, m1 double, m2 double, mh_mz double, source string"
+TOTAL = "formula string, mass double, mh_mz double, n_documents long, n_mentions long"
 PROTONATED = next(a for a in ADDUCTS if a[0] == "[M+H]+")
 
 
@@ -74,9 +75,9 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
     stream.awaitTermination()
     read = sum(p["numInputRows"] for p in stream.recentProgress)
     index = indexed(spark, out)
-    totals = index.groupBy("formula").agg(F.first("mass").alias("mass"), F.first("mh_mz").alias("mh_mz"), F.count("*").alias("n_documents"), F.sum("n_mentions").alias("n_mentions"))
-    totals.write.mode("overwrite").parquet(f"{out}/formulas")
-    counts = {"documents read": read, "mentions in the index": index.count(), "formulas in the index": spark.read.parquet(f"{out}/formulas").count()}
+    rolled = index.groupBy("formula").agg(F.first("mass").alias("mass"), F.first("mh_mz").alias("mh_mz"), F.count("*").alias("n_documents"), F.sum("n_mentions").alias("n_mentions"))
+    rolled.write.mode("overwrite").parquet(f"{out}/formulas")
+    counts = {"documents read": read, "mentions in the index": index.count(), "formulas in the index": totals(spark, out).count()}
     for what, n in counts.items():
         log.info("%s: %d", what, n)
     return counts
@@ -86,16 +87,22 @@ def indexed(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(MENTION).parquet(f"{out}/mentions")
 
 
+def totals(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(TOTAL).parquet(f"{out}/formulas")
+
+
 def job2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables as they stand after two runs into one folder: the mentions, each with its formula's numbers."""
     base = f"{shared_dir(spark)}/job2-{uuid.uuid4().hex}"
     for _ in range(2):
         # a glob, as a file stream takes no plain path of a single file
         run(spark, f"{sf_dir}/documents.parque[t]", f"{base}/out", f"{base}/checkpoint", json.loads(CONFIG.read_text()))
-    return indexed(spark, f"{base}/out")
+    both = totals(spark, f"{base}/out").select("formula", F.col("n_documents").alias("all_documents"), F.col("n_mentions").alias("all_mentions"))
+    return indexed(spark, f"{base}/out").join(both, "formula")
 
 
 _KNOWN = ", ".join(f"('{e}', {iso[0][0]!r}::DOUBLE, {(iso[1][1] / iso[0][1] if len(iso) > 1 else 0.0)!r}::DOUBLE, {(iso[2][1] / iso[0][1] if len(iso) > 2 else 0.0)!r}::DOUBLE)" for e, iso in ISOTOPES.items())
-JOB2_SQL = rf"""WITH known(element, mass, p1, p2) AS (VALUES {_KNOWN}),
+JOB2_SQL = rf"""SELECT *, count(*) OVER (PARTITION BY formula) AS all_documents, (sum(n_mentions) OVER (PARTITION BY formula))::BIGINT AS all_mentions FROM (WITH known(element, mass, p1, p2) AS (VALUES {_KNOWN}),
 split AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
 found AS (SELECT doc_id, source, words, list_filter(words, lambda w: regexp_matches(w, '{FORMULA}')) AS hits FROM split),
 each_ AS (SELECT doc_id, source, words, hits, unnest(list_distinct(hits)) AS formula FROM found WHERE len(hits) > 0),
@@ -106,7 +113,7 @@ sums AS (
   FROM (SELECT formula, element, CASE WHEN digits = '' THEN 1 ELSE digits::BIGINT END AS n FROM tokens) LEFT JOIN known USING (element) GROUP BY formula)
 SELECT doc_id, formula, len(list_filter(hits, lambda w: w = formula))::BIGINT AS n_mentions, list_position(words, formula)::BIGINT - 1 AS first_word, n_atoms,
   round(mass, 9) AS mass, round(p1, 9) AS m1, round(p1 * p1 / 2 + p2, 9) AS m2, round((mass + {float(PROTONATED[1])!r}::DOUBLE) / {abs(PROTONATED[2])}, 9) AS mh_mz, source
-FROM each_ JOIN sums USING (formula) WHERE n = n_known AND n_atoms >= {json.loads(CONFIG.read_text())["least_atoms"]}"""
+FROM each_ JOIN sums USING (formula) WHERE n = n_known AND n_atoms >= {json.loads(CONFIG.read_text())["least_atoms"]})"""
 
 
 def main() -> None:

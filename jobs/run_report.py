@@ -75,18 +75,20 @@ def worklist(spark: SparkSession, out: str) -> DataFrame:
 
 
 def job1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables as they stand after two runs into one folder: the work list, each spectrum with its run's row."""
     out = f"{shared_dir(spark)}/job1-{uuid.uuid4().hex}"
     for _ in range(2):
         run(spark, sf_dir, out, json.loads(CONFIG.read_text()))
-    return report(spark, out)
+    runs = report(spark, out).drop("recommendation").withColumnRenamed("run_id", "_run")
+    return worklist(spark, out).join(runs, F.col("run_id").eqNullSafe(F.col("_run"))).drop("_run")
 
 
 JOB1_SQL = f"""WITH {METRIC_SQL}, runs AS (SELECT run_id, {TOTALS_SQL} FROM metrics GROUP BY run_id), points AS (SELECT *, {POINTS_SQL} FROM runs)
-SELECT run_id, n AS n_spectra, {", ".join(f"round({c}, 9) AS {c}" for c in ROUNDED)}, n_chimeric, richness,
+SELECT m.id, run_id, round(m.snr, 9) AS snr, m.n_peaks, m.is_chimeric, n AS n_spectra, {", ".join(f"round({c}, 9) AS {c}" for c in ROUNDED)}, n_chimeric, richness,
   CASE WHEN pct_low_snr > 30 THEN 'POOR' WHEN pct_low_snr > 10 THEN 'FAIR' ELSE 'GOOD' END AS snr_grade,
   CASE WHEN pct_sparse > 20 THEN 'SPARSE' WHEN pct_dense > 20 THEN 'DENSE' ELSE 'NORMAL' END AS density_grade,
   CASE WHEN pct_chimeric > 25 THEN 'HIGH' WHEN pct_chimeric > 10 THEN 'MODERATE' ELSE 'LOW' END AS chimericity_grade,
-  score_classical, score_ml, n >= {json.loads(CONFIG.read_text())["least_spectra"]} AS reliable, {VERDICT_SQL} FROM points"""
+  score_classical, score_ml, n >= {json.loads(CONFIG.read_text())["least_spectra"]} AS reliable, {VERDICT_SQL} FROM points JOIN metrics m USING (run_id)"""
 
 
 def main() -> None:

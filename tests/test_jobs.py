@@ -112,7 +112,7 @@ def test_index_grows_by_what_is_new(spark, tmp_path):
     assert [t["documents read"] for t in taken] == [parts[0].count() + parts[1].count(), 0, parts[2].count() + parts[3].count()]
     assert taken[0]["mentions in the index"] == taken[1]["mentions in the index"] < taken[2]["mentions in the index"]
     formula_index.run(spark, str(DATA / "documents.parque[t]"), str(tmp_path / "o2"), str(tmp_path / "c2"), INDEX)
-    for read in (lambda o: formula_index.indexed(spark, o), lambda o: spark.read.parquet(f"{o}/formulas")):
+    for read in (lambda o: formula_index.indexed(spark, o), lambda o: formula_index.totals(spark, o)):
         assert rows(read(out)) == rows(read(str(tmp_path / "o2")))
 
 
