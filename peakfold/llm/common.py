@@ -49,6 +49,19 @@ def let_go() -> None:
         pass
 
 
+def giving_back(work):
+    """A function over batches that gives its worker's free memory back at the end of a task.  Workers wait
+    for their next task, some for one of another kind, and what they keep is taken from the executor."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            let_go()
+
+    return run
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 

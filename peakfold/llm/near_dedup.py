@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, Scratch, attach, documents, may_hold, small_batches, whole, without, written
+from .common import BoundedFilter, Scratch, attach, documents, giving_back, let_go, may_hold, small_batches, whole, without, written
 from .fingerprints import bin_minima, densified
 from .textops import _STEPS, mixed, row_shingles
 
@@ -203,6 +203,8 @@ def _linked(percent: int):
             if p != q:
                 root[max(p, q)] = min(p, q)
                 out.append((c, d))
+        if len(flat) > SHINGLES:
+            let_go()
         return pa.table([pa.array([c for c, _ in out], pa.int64()), pa.array([d for _, d in out], pa.int64())], names=["a", "b"])
 
     return link
@@ -240,7 +242,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int, scrat
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     names = [f"more{n}" for n in range(len(more))]
     wide = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), *[c.alias(n) for c, n in zip(more, names)])
-    signed = written(wide.mapInArrow(_signed(k, bands, rows), ", ".join(["id long, n_shingles long, set_id binary, bands array<long>", *[f"{n} long" for n in names]])), "signed", scratch)
+    signed = written(wide.mapInArrow(giving_back(_signed(k, bands, rows)), ", ".join(["id long, n_shingles long, set_id binary, bands array<long>", *[f"{n} long" for n in names]])), "signed", scratch)
     total = signed.count()
     with Scratch(docs.sparkSession) as own_scratch:
         nodes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("label"), F.count("*").alias("n_docs"), F.first("bands").alias("bands"))
@@ -254,7 +256,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int, scrat
         inner = members.select("node").distinct()
         wanted = slim.join(inner, "node", "left_semi")
         ids = wanted.select("label")
-        own = base.mapInArrow(_sets_of(k, BoundedFilter(ids, ids.count())), "id long, set_id binary, hashes array<long>")
+        own = base.mapInArrow(giving_back(_sets_of(k, BoundedFilter(ids, ids.count()))), "id long, set_id binary, hashes array<long>")
         sets = own.join(wanted.select("node", "set_id", "label"), (own["set_id"] == wanted["set_id"]) & (own["id"] == F.col("label")))
         sets = written(sets.select("node", F.size("hashes").alias("n"), "hashes").dropDuplicates(["node"]), "sets", own_scratch)
         star = members.where("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
