@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, Scratch, documents, may_hold, small_batches, whole, without, written
+from .common import BoundedFilter, Scratch, documents, giving_back, may_hold, small_batches, whole, without, written
 
 MEMTABLE = 400_000  # entries of a memtable
 SHARD = 400_000  # documents for each shard of the index, about
@@ -113,7 +113,7 @@ def index(entries: DataFrame, rows: int, scratch: Scratch | None = None) -> Data
     """digest, keep_id, group_size of every digest that more than one row has.  ``entries``: digest, id."""
     shards = max(1, math.ceil(rows / SHARD))
     bits = 1 << math.ceil(math.log2(min(rows, SHARD) * FILTER_PER_ENTRY + 8))
-    runs = written(entries.mapInArrow(flush(shards, bits), RUN), "lsm-runs", scratch)
+    runs = written(entries.mapInArrow(giving_back(flush(shards, bits)), RUN), "lsm-runs", scratch)
     return runs.groupBy("shard").applyInArrow(compact(bits), "digest long, keep_id long, group_size long")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, ranged, small_batches
+from .common import NO_ID, documents, giving_back, ranged, small_batches
 from .textops import mixed, row_shingles
 
 EMPTY = np.uint64((1 << 64) - 1)
@@ -143,7 +143,7 @@ def fingerprinted(docs: DataFrame, k: int = 5, bins: int = 512, bits: int = 4) -
     that repeat too; null ids come first.  A lone row is followed by itself; columns but doc_id and text
     are left out; an empty table gives no rows.
     """
-    return with_next(docs).mapInArrow(_walk(k, bins, bits), OUT)
+    return with_next(docs).mapInArrow(giving_back(_walk(k, bins, bits)), OUT)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

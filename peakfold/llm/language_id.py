@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_rest, documents, small_batches, unused
+from .common import crc_rest, documents, giving_back, small_batches, unused
 from .textops import chunks, mixed
 
 ORDERS = (1, 2, 3, 4)  # characters of an n-gram
@@ -130,7 +130,7 @@ class NaiveBayes:
         self.langs, self.orders, self.buckets = [r["lang"] for r in found], orders, buckets
         logs = np.full((buckets, max(1, len(found))), -np.log(buckets), np.float32)
         if found:
-            each = rows.select(F.coalesce("text", F.lit("")).alias("text"), "lang").mapInArrow(_counter(self.langs, orders, buckets), "lang int, gram int, n long")
+            each = rows.select(F.coalesce("text", F.lit("")).alias("text"), "lang").mapInArrow(giving_back(_counter(self.langs, orders, buckets)), "lang int, gram int, n long")
             table = each.groupBy("lang", "gram").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(_dense(buckets), "lang int, counts binary")
             for r in table.toLocalIterator():
                 n = np.frombuffer(r["counts"], np.int64)
@@ -188,7 +188,7 @@ def identified(docs: DataFrame, model: NaiveBayes, names: tuple[str, ...] = ("la
     if set(names) & set(docs.columns):
         raise ValueError(f"the table has a column {' or '.join(names)} already")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_tagger(model, names), f"{kinds}, `{names[0]}` string, `{names[1]}` double" + f", `{names[-1]}` double" * (len(names) - 2))
+    return docs.mapInArrow(giving_back(_tagger(model, names)), f"{kinds}, `{names[0]}` string, `{names[1]}` double" + f", `{names[-1]}` double" * (len(names) - 2))
 
 
 def in_language(docs: DataFrame, least: float = 0.5, margin: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedFilter, documents, small_batches, written
+from .common import BoundedFilter, documents, giving_back, small_batches, written
 from .textops import _LOWER, buffers, chunks, rolling, span_hashes, word_spans
 
 K = 4  # words of a run that votes
@@ -186,7 +186,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFra
     held_hashes = BoundedFilter.of(spark, np.unique(np.array([r[2] for r in rows], np.int64)))
     phrases = [([w.encode() for w in phrase.split()], label) for phrase, label in BASE.items()]
     each = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = written(each.mapInArrow(_scanned(held_hashes, phrases), _OUT.format(docs.schema["doc_id"].dataType.simpleString())), "scanned")
+    base = written(each.mapInArrow(giving_back(_scanned(held_hashes, phrases)), _OUT.format(docs.schema["doc_id"].dataType.simpleString())), "scanned")
     votes = base.select("row", F.explode("votes").alias("v")).select("row", "v.*").join(F.broadcast(table) if len(rows) <= MOST_ROWS else table, ["hash", "run"])
     lines = votes.groupBy("row", "template", (F.col("at") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("js"), F.first("size").alias("size"), F.first("label").alias("label"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, documents, small_batches, written
+from .common import attach, documents, giving_back, small_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = 4  # the kinds of the fixed patterns; the method adds spans of these and secrets
@@ -256,7 +256,7 @@ def personal(docs: DataFrame, **options) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    base = written(rows.mapInArrow(_find, f"row long, doc_id {kind}, {_OUT}"), "identifiers")
+    base = written(rows.mapInArrow(giving_back(_find), f"row long, doc_id {kind}, {_OUT}"), "identifiers")
     found = base.select("row", F.explode("found").alias("f")).select("row", "f.*")
     each = found.select("row", F.explode("patterns").alias("pattern"), "instance", "kinds", "fails", "seed", "start", "end")
     size = found.select(F.sum(F.size("patterns"))).first()[0] or 0
