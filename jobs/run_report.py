@@ -18,6 +18,7 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import math
 import uuid
 from pathlib import Path
 
@@ -43,8 +44,8 @@ COLUMNS = [c.split()[0] for c in REPORT.split(", ")]
 def run(spark: SparkSession, tables: str, out: str, config: dict) -> dict[str, int]:
     """Write both tables; the numbers of rows read and written.
 
-    ``config``: ``least_spectra``, below which a run is marked as not reliable; ``files``, into which the
-    work list of one recommendation goes.  A run without any peaks has null ratios and is graded by what
+    ``config``: ``least_spectra``, below which a run is marked as not reliable; ``rows_per_file`` of the
+    work list, about, so that its files grow in number and not in size.  A run without any peaks has null ratios and is graded by what
     is there; runs may hold any share of the spectra.
     """
     with scratch(spark):
@@ -55,8 +56,8 @@ def run(spark: SparkSession, tables: str, out: str, config: dict) -> dict[str, i
         # one row for each run: a side that Spark broadcasts if it is small, and against which it splits hot runs if not
         verdict = report(spark, out).select(F.col("run_id").alias("_run"), "recommendation")
         work = rows.join(verdict, F.col("run_id").eqNullSafe(F.col("_run"))).select("id", "run_id", F.round("snr", 9).alias("snr"), "n_peaks", "is_chimeric", "recommendation")
-        spread = F.pmod(F.xxhash64("id"), F.lit(config["files"]))
-        work.repartition("recommendation", spread).write.mode("overwrite").partitionBy("recommendation").parquet(f"{out}/worklist")
+        files = math.ceil(rows.count() / config["rows_per_file"])
+        work.repartition(max(files, 1), F.xxhash64("recommendation", F.pmod(F.xxhash64("id"), F.lit(max(files, 1))))).write.mode("overwrite").partitionBy("recommendation").parquet(f"{out}/worklist")
     counts = {
         "spectra read": views.read(spark, tables, "part").count(), "peaks read": views.read(spark, tables, "lineitem").count(),
         "runs written": report(spark, out).count(), "spectra written": worklist(spark, out).count(),

@@ -64,6 +64,12 @@ def test_report_is_replaced_as_a_whole(spark, tmp_path):
     assert {r["recommendation"] for r in run_report.worklist(spark, out).select("recommendation").distinct().collect()} <= {"ml", "classical", "hybrid"}
 
 
+def test_work_list_files_grow_in_number(spark, tmp_path):
+    run_report.run(spark, str(DATA), str(tmp_path / "o"), {"least_spectra": 5, "rows_per_file": 20})
+    sizes = [spark.read.parquet(str(f)).count() for f in (tmp_path / "o" / "worklist").rglob("*.parquet")]
+    assert len(sizes) >= 5 and max(sizes) < 60 and sum(sizes) == spark.read.parquet(str(DATA / "part.parquet")).count()
+
+
 def test_report_leaves_no_tables_behind(spark, tmp_path):
     from peakfold.operators.tables import shared_dir
 
@@ -76,7 +82,7 @@ def test_report_leaves_no_tables_behind(spark, tmp_path):
 def test_tables_without_rows(spark, tmp_path):
     for name in ("part", "lineitem"):
         spark.read.parquet(str(DATA / f"{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"t/{name}.parquet"))
-    counts = run_report.run(spark, str(tmp_path / "t"), str(tmp_path / "o"), {"least_spectra": 1, "files": 2})
+    counts = run_report.run(spark, str(tmp_path / "t"), str(tmp_path / "o"), {"least_spectra": 1, "rows_per_file": 50})
     assert set(counts.values()) == {0}
 
 
