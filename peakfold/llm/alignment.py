@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Spelling, splitter
 from .common import Scratch, attach, documents, let_go, small_batches, written
-from .pieces import loaded
+from .pieces import CHUNK, loaded
 from .textops import chunks
 
 PIECES = 200_000  # encoded pieces in each of two generations that a task remembers
@@ -174,7 +174,7 @@ def _rows(byte_path: str, pattern: str, piece_path: str):
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for i, j, data, offs in chunks(texts):
+            for i, j, data, offs in chunks(texts, CHUNK):
                 n_a, n_b, n_groups, digests, pair, often, at = _aligned_chunk(texts.slice(i, j - i), data, offs, byte, piece)
                 lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (pair, often.astype(np.int32))]
                 cols = [pa.array(np.arange(number, number + j - i)), ids.slice(i, j - i), *map(pa.array, (n_a, n_b, n_groups, n_groups)), pa.array(digests), *lists]
