@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialized
 
 BINS = 4096
 
@@ -49,30 +48,3 @@ def benjamini_hochberg(rows: DataFrame, p: str = "p_value") -> DataFrame:
     levels = levels.withColumn("_raw", F.least(F.col(p) * F.col("_total") / F.col("_rank"), F.lit(1.0)))
     levels = _running(levels, p, "_raw", "q_value", descending=True, inclusive=True, kind=F.min)
     return rows.join(levels.select(p, "q_value"), p)
-
-
-def grouped_levels(asked: DataFrame, scored: DataFrame, n: int) -> DataFrame:
-    """q_id, score, p_value, q_value of every distinct score of every query (q_id) in ``asked``, out of
-    ``n`` scores each, of which those without a row in ``scored`` are 0.
-
-    p is (1 + scores above) / (1 + n) and q its Benjamini-Hochberg value.  p falls strictly as the score
-    rises, so both run along the scores.  As above, a window runs within a range of a query's scores and
-    another over the ranges' totals.
-    """
-    levels = scored.groupBy("q_id", "score").agg(F.count("*").alias("n"))
-    zeros = asked.join(levels.groupBy("q_id").agg(F.sum("n").alias("n")), "q_id", "left")
-    zeros = zeros.select("q_id", F.lit(0.0).alias("score"), (F.lit(n) - F.coalesce("n", F.lit(0))).alias("n"))
-    levels = levels.unionByName(zeros.where("n > 0")).groupBy("q_id", "score").agg(F.sum("n").alias("n")).withColumn("_bin", _bin(F.col("score")))
-    levels = materialized(levels, "runlevels")
-    falling, rising = F.col("score").desc(), F.col("score").asc()
-    before = levels.groupBy("q_id", "_bin").agg(F.sum("n").alias("_all"))
-    above = Window.partitionBy("q_id").orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("q_id", "_bin", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("q_id", "_bin").orderBy(falling).rowsBetween(Window.unboundedPreceding, -1)
-    rows = levels.join(before, ["q_id", "_bin"]).withColumn("_above", F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("_before"))
-    rows = rows.withColumn("p_value", (F.col("_above") + 1.0) / F.lit(n + 1.0))
-    rows = materialized(rows.withColumn("_raw", F.least(F.col("p_value") * F.lit(float(n)) / (F.col("_above") + F.col("n")), F.lit(1.0))), "runranks")
-    low = rows.groupBy("q_id", "_bin").agg(F.min("_raw").alias("_low"))
-    low = low.select("q_id", "_bin", F.min("_low").over(Window.partitionBy("q_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_lower"))
-    own = Window.partitionBy("q_id", "_bin").orderBy(rising).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(low, ["q_id", "_bin"]).select("q_id", "score", "p_value", F.least(F.min("_raw").over(own), F.col("_lower")).alias("q_value"))
