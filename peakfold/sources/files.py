@@ -8,8 +8,8 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +85,8 @@ _MZML = (
     f"precursorList struct<precursor:array<struct<selectedIonList:struct<selectedIon:array<struct<cvParam:array<{_PARAM}>,{_NESTED_REFS}>>>>>>, "
     f"binaryDataArrayList struct<binaryDataArray:array<struct<cvParam:array<{_PARAM}>,{_NESTED_REFS},binary:string>>>, _corrupt_record string"
 )
+#: Spectra whose arrays are decoded at once.
+ROWS = 500
 #: Files whose parameter groups are broadcast (some kB each); those of more files are joined by file.
 MOST_FILES = 2_000
 # Accessions of the mass spectrometry vocabulary.
@@ -92,7 +94,7 @@ MS_LEVEL, SCAN_START, SELECTED_MZ, MZ_ARRAY, INTENSITY_ARRAY, FLOAT_32, FLOAT_64
 SECONDS = "UO:0000010"
 
 
-def _decode(data: str | None, kinds) -> list[float] | None:
+def _decode(data: str | None, kinds) -> np.ndarray | None:
     if data is None:
         return None
     raw = base64.b64decode(data)
@@ -101,21 +103,33 @@ def _decode(data: str | None, kinds) -> list[float] | None:
     return np.frombuffer(raw, "<f4" if FLOAT_32 in kinds else "<f8").astype(float)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())])))
-def _decoded(arrays: pd.Series) -> pd.Series:
-    """Peaks from the encoded arrays; null where one is missing or broken."""
-    out = []
-    for parts in arrays:
-        found = {}
-        try:
-            for part in parts if parts is not None else []:
-                kinds = {p["_accession"] for p in (part["cvParam"] if part["cvParam"] is not None else [])}
-                for name in kinds & {MZ_ARRAY, INTENSITY_ARRAY}:
-                    found[name] = _decode(part["binary"], kinds)
-            out.append([{"mz": a, "intensity": b} for a, b in zip(found[MZ_ARRAY], found[INTENSITY_ARRAY], strict=True)])
-        except (KeyError, ValueError, TypeError, zlib.error):
-            out.append(None)
-    return pd.Series(out, dtype=object)
+def _columns(parts) -> tuple[np.ndarray, np.ndarray] | None:
+    """m/z and intensities of one spectrum's encoded arrays; null where one is missing or broken."""
+    found = {}
+    try:
+        for part in parts if parts is not None else []:
+            kinds = {p["_accession"] for p in (part["cvParam"] if part["cvParam"] is not None else [])}
+            for name in kinds & {MZ_ARRAY, INTENSITY_ARRAY}:
+                found[name] = _decode(part["binary"], kinds)
+        mz, x = found[MZ_ARRAY], found[INTENSITY_ARRAY]
+        return (mz, x) if len(mz) == len(x) else None
+    except (KeyError, ValueError, TypeError, zlib.error):
+        return None
+
+
+def _lists(parts: list) -> pa.Array:
+    made = [_columns(p) for p in parts]
+    good = [m for m in made if m is not None]
+    ends = np.cumsum([0, *(0 if m is None else len(m[0]) for m in made)])
+    mz, x = (pa.array(np.concatenate([np.zeros(0), *(m[k] for m in good)]), from_pandas=True) for k in (0, 1))  # NaN stands for a missing number
+    peaks = pa.StructArray.from_arrays([mz, x], ["mz", "intensity"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), peaks, mask=pa.array([m is None for m in made], pa.bool_()))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())])))
+def _decoded(arrays: pa.Array) -> pa.Array:
+    """Peaks from the encoded arrays, few spectra at a time; no object is made for a peak."""
+    return pa.concat_arrays([_lists(arrays.slice(at, ROWS).to_pylist()) for at in range(0, max(len(arrays), 1), ROWS)])
 
 
 def _param_groups(spark: SparkSession, path: str) -> DataFrame:
@@ -181,9 +195,10 @@ def _kinds(kind: str) -> str:
     return "".join(f'<cvParam accession="{a}" value=""/>' for a in (FLOAT_64, ZLIB, kind))
 
 
-@F.pandas_udf(T.StringType())
-def _packed(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: base64.b64encode(zlib.compress(np.asarray(v, "<f8").tobytes())).decode())
+@F.arrow_udf(T.StringType())
+def _packed(values: pa.Array) -> pa.Array:
+    flat, ends = values.flatten().to_numpy(zero_copy_only=False).astype("<f8", copy=False), np.cumsum([0, *(n or 0 for n in pc.list_value_length(values).to_pylist())]).tolist()
+    return pa.array([base64.b64encode(zlib.compress(flat[a:b].tobytes())).decode() for a, b in zip(ends, ends[1:])], pa.string())
 
 
 def write_mzml(spectra: DataFrame, path: str, groups: bool = False) -> None:

@@ -1,9 +1,11 @@
 """Spectra files: parameter groups, broken records and files."""
 
 import base64
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from peakfold.sources import files
@@ -87,3 +89,24 @@ def test_mgf_records_with_strange_lines(spark, tmp_path):
     got = {r["index"]: r for r in files.read_spectra(spark, str(tmp_path / "x.mgf"), errors=True).collect()}
     assert {k: (len(r.peaks), r.error) for k, r in got.items()} == {1: (2, None), 2: (1, "2 lines are neither peaks nor fields"), 3: (1, "1 lines are neither peaks nor fields")}
     assert tuple(files.scan_report(files.read_mgf(spark, str(tmp_path / "x.mgf"), errors=True)).first())[1:] == (1, 2, "1 lines are neither peaks nor fields")
+
+
+def test_decoding_makes_no_object_for_a_peak():
+    n = 20_000
+    packed = [base64.b64encode(np.arange(n, dtype="<f8").tobytes()).decode() for _ in range(2)]
+    kinds = [[{"_accession": files.FLOAT_64, "_value": ""}, {"_accession": a, "_value": ""}] for a in (files.MZ_ARRAY, files.INTENSITY_ARRAY)]
+    rows = pa.array([[{"cvParam": k, "binary": b} for k, b in zip(kinds, packed)]] * 40)
+    tracemalloc.start()
+    out = files._decoded.func(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 40 and out[39][n - 1].as_py() == {"mz": n - 1.0, "intensity": n - 1.0}
+    assert peak < 100 * 40 * n
+
+
+def test_missing_numbers_and_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROWS", 2)
+    rows = [(1, 2, 0.0, 5.0, [(1.0, None), (None, 2.0), (3.0, 4.0)]), *((i, 2, 0.0, 5.0, [(float(i), k + 1.0) for k in range(i % 4)]) for i in range(2, 9))]
+    files.write_mzml(spark.createDataFrame(rows, files.SPECTRUM).coalesce(1), str(tmp_path / "a.mzml"))
+    got = files.read_mzml(spark, str(tmp_path / "a.mzml")).orderBy("index").collect()
+    assert [[tuple(p) for p in r["peaks"]] for r in got] == [r[4] for r in rows]
