@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dims import ADDUCTS, ISOTOPES, NEUTRON, table
+from .peaks import let
 from .smiles import composition, hill
 
 _TOKEN = "([A-Z][a-z]?)([0-9]*)"
@@ -115,9 +116,17 @@ def isotope_columns(formula: Column) -> Column:
         one = F.try_element_at(table_, e["element"])
         return F.struct(*[(acc[c] + e["n"] * one[c]).alias(c) for c in ("mass", "p1", "p2")])
 
-    total = F.aggregate(elements(formula), start, add)
-    made = F.struct(total["mass"].alias("mass"), total["p1"].alias("m1"), (total["p1"] * total["p1"] / 2 + total["p2"]).alias("m2"))
-    return F.when(formula_error(formula).isNull() & total["mass"].isNotNull(), made)
+    def made(total: Column) -> Column:
+        return F.when(total["mass"].isNotNull(), F.struct(total["mass"].alias("mass"), total["p1"].alias("m1"), (total["p1"] * total["p1"] / 2 + total["p2"]).alias("m2")))
+
+    return F.when(formula_error(formula).isNull(), let(F.aggregate(elements(formula), start, add), made))
+
+
+def formula_masses(df: DataFrame, col: str = "formula") -> DataFrame:
+    """Adds mass, m1, m2 (see :func:`isotope_columns`), made once for each distinct formula."""
+    known = df.select(F.col(col).alias("_formula")).distinct().withColumn("_i", isotope_columns(F.col("_formula")))
+    known = known.select("_formula", "_i.*").where("mass is not null")
+    return df.join(known, df[col] == F.col("_formula"), "left").drop("_formula")
 
 
 def adduct_names() -> list[str]:

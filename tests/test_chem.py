@@ -89,3 +89,14 @@ def test_isotopes(spark):
 def test_smiles(spark):
     got = {r.smiles: r.formula for r in chem.smiles_formula(spark.createDataFrame([(s,) for s in [*dims.SMILES, "C1CC1"]], "smiles string")).collect()}
     assert got == dims.SMILES | {"C1CC1": "C1CC1"}
+
+
+def test_masses_once_a_formula(spark):
+    names = ["C6H12O6", "C2H6O", "Xx2", "", None, "H2O", "C" * 30]
+    rows = spark.range(3_000).select("id", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")).alias("formula"))
+    found = chem.formula_masses(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.index("Aggregate [") > plan.index("Join")  # the sums stand above a grouping of formulas
+    got = {(r.id, r.formula, r.mass, r.m1, r.m2) for r in found.collect()}
+    want = rows.select("id", "formula", chem.isotope_columns(F.col("formula")).alias("i")).select("id", "formula", "i.mass", "i.m1", "i.m2")
+    assert got == {tuple(r) for r in want.collect()} and len(got) == 3_000
